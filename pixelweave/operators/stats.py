@@ -149,7 +149,9 @@ def contrast_std(luminance: DataFrame) -> DataFrame:
     return luminance.groupBy(*FRAME).agg(F.stddev_pop("v").alias("quality"))
 
 
-def upper_sigma_clip(df: DataFrame, keys: list[str], k: float = 3.0, rounds: int = 3, value: str = "v") -> DataFrame:
+def upper_sigma_clip(
+    df: DataFrame, keys: list[str], k: float = 3.0, rounds: int = 3, value: str = "v", keep_flat: bool = True
+) -> DataFrame:
     """Median after clipping the upper tail at median + k*1.4826*mad, at most ``rounds`` times.
 
     A round that removes nothing, or a spread under 1e-9, leaves the survivors as they
@@ -162,6 +164,7 @@ def upper_sigma_clip(df: DataFrame, keys: list[str], k: float = 3.0, rounds: int
         mad = dev.groupBy(*keys).agg(
             F.median(F.abs(F.col(value) - F.col("_m"))).alias("_mad"), F.first("_m").alias("_m")
         )
-        limit = F.when(F.col("_mad") < 1e-9, F.lit(float("inf"))).otherwise(F.col("_m") + k * mad_sigma(F.col("_mad")))
+        cut = F.col("_m") + k * mad_sigma(F.col("_mad"))
+        limit = F.when(F.col("_mad") < 1e-9, F.lit(float("inf"))).otherwise(cut) if keep_flat else cut
         alive = alive.join(mad.select(*keys, limit.alias("_limit")), keys).filter(F.col(value) <= F.col("_limit")).select(*keys, value)
     return alive.groupBy(*keys).agg(F.median(value).alias("clipped_median"), F.count("*").alias("kept"))
