@@ -1 +1,308 @@
-"""Queries."""
+"""Registration and warp queries.
+
+Star lists come from the vectors: the 14 largest values of a 64-long vector are stars at
+positions spread over a 640 x 480 field, so frames of a session differ; for registration
+proper the session's first frame is moved by a known similarity per frame.
+"""
+
+from __future__ import annotations
+
+from dataclasses import replace
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..config import REGISTRATION, Registration
+from ..functions import geometry as geo
+from ..model import FRAME
+from ..operators import register as G
+from ..operators import warp as W
+from . import fixtures as fx
+from .registry import query
+
+N = 14
+CFG = Registration(max_stars=12)
+STARS = [
+    fx.VECTORS,
+    f"""stars AS (SELECT session, frame_id, frame_number, rn - 1 AS star_idx, x, y FROM (
+      SELECT session, frame_id, frame_number, ((p % 8) * 80 + (p * 37) % 61 + (frame_id * 7 + p * 3) % 5)::DOUBLE AS x, ((p // 8) * 60 + (p * 29) % 47 + (frame_id * 5 + p) % 3)::DOUBLE AS y,
+        row_number() OVER (PARTITION BY session, frame_id ORDER BY embedding[p + 1] DESC, p) AS rn FROM vectors, range(0, 64) t(p)) WHERE rn <= {N})""",
+]
+
+
+def stars(spark, sf):
+    v = fx.numbered_vectors(spark, sf).select("session", "frame_id", "frame_number", F.posexplode("embedding").alias("p", "e"))
+    w = Window.partitionBy(*FRAME).orderBy(F.col("e").desc(), "p")
+    p, i = F.col("p"), F.col("frame_id")
+    x = (p % 8) * 80 + (p * 37) % 61 + (i * 7 + p * 3) % 5
+    y = F.floor(p / 8) * 60 + (p * 29) % 47 + (i * 5 + p) % 3
+    r = v.withColumn("star_idx", F.row_number().over(w) - 1).filter(F.col("star_idx") < N)
+    return r.select(*FRAME, "frame_number", "star_idx", x.cast("double").alias("x"), y.cast("double").alias("y"))
+
+
+def triangle_ctes(lo: float, hi: float, n: int) -> list[str]:
+    return [
+        f"top AS (SELECT * FROM stars WHERE star_idx < {n})",
+        """pair AS (SELECT a.session, a.frame_id, a.star_idx AS i, b.star_idx AS j, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d
+           FROM top a JOIN top b ON b.session = a.session AND b.frame_id = a.frame_id AND a.star_idx < b.star_idx)""",
+        f"""tri0 AS (SELECT p.session, p.frame_id, p.i, p.j, q.j AS k, p.d AS ij, q.d AS jk, r.d AS ki, list_sort([p.d, q.d, r.d]) AS s
+           FROM pair p JOIN pair q ON q.session = p.session AND q.frame_id = p.frame_id AND q.i = p.j JOIN pair r ON r.session = p.session AND r.frame_id = p.frame_id AND r.i = p.i AND r.j = q.j
+           WHERE p.d BETWEEN {lo} AND {hi} AND q.d BETWEEN {lo} AND {hi} AND r.d BETWEEN {lo} AND {hi})""",
+    ]
+
+
+ADAPT = [
+    "bnd AS (SELECT session, frame_id, greatest(m * 0.1::DOUBLE, 10.0::DOUBLE) AS lo, least(m * 4.0::DOUBLE, 600.0::DOUBLE) AS hi FROM (SELECT session, frame_id, list_sort(list(d))[count(*) // 2 + 1] AS m FROM pair WHERE j < 20 GROUP BY session, frame_id))",
+    """tri1 AS (SELECT t.*, (ij BETWEEN lo AND hi) AND (jk BETWEEN lo AND hi) AND (ki BETWEEN lo AND hi) AS fit FROM tri0 t JOIN bnd USING (session, frame_id))""",
+    "tri AS (SELECT * FROM (SELECT *, sum(fit::INT) OVER (PARTITION BY session, frame_id) AS nfit FROM tri1) WHERE fit OR nfit < 10)",
+]
+TCOLS = "session:i frame_id:i i:i j:i k:i s0:d s1:d s2:d d0:d d1:d"
+TSEL = "SELECT session, frame_id, i, j, k, s[1] AS s0, s[2] AS s1, s[3] AS s2, s[1] / s[3] AS d0, s[2] / s[3] AS d1 FROM {t}"
+
+
+def flat(t):
+    return t.select(*FRAME, "i", "j", "k", *[F.col("sides")[n].alias(f"s{n}") for n in range(3)], "d0", "d1")
+
+
+@query("triangles_fixed", TCOLS, [*STARS, *triangle_ctes(30.0, 300.0, 12)], TSEL.format(t="tri0"))
+def _(spark, sf):
+    return flat(G.triangles(stars(spark, sf), replace(CFG, min_triangle_side=30.0, max_triangle_side=300.0), adaptive=False))
+
+
+@query("triangles_adaptive", TCOLS, [*STARS, *triangle_ctes(10.0, 600.0, 12), *ADAPT], TSEL.format(t="tri"))
+def _(spark, sf):
+    return flat(G.triangles(stars(spark, sf), CFG))
+
+
+@query("triangle_side_bounds", "session:i frame_id:i lo:d hi:d", [*STARS, *triangle_ctes(10.0, 600.0, 12), ADAPT[0]], "SELECT * FROM bnd")
+def _(spark, sf):
+    a = G.star_arrays(stars(spark, sf), CFG.max_stars).withColumn("b", G.side_bounds(F.col("stars"), CFG))
+    return a.select(*FRAME, F.col("b.low").alias("lo"), F.col("b.high").alias("hi"))
+
+
+MATCH = [
+    *STARS,
+    *triangle_ctes(10.0, 600.0, 12),
+    *ADAPT,
+    "ft AS (SELECT t.*, s[1] / s[3] AS d0, s[2] / s[3] AS d1, [i, j, k] AS st, [jk / s[3], ki / s[3], ij / s[3]] AS op FROM tri t)",
+    "ref AS (SELECT ft.* FROM ft JOIN vectors USING (session, frame_id) WHERE frame_number = 1)",
+    "tgt AS (SELECT ft.* FROM ft JOIN vectors USING (session, frame_id) WHERE frame_number > 1)",
+]
+
+
+def matched(tol: str) -> str:
+    return f"SELECT t.session, t.frame_id, r.st AS rs, t.st AS ts, r.op AS ro, t.op AS top, greatest(abs(t.d0 - r.d0), abs(t.d1 - r.d1)) AS dist FROM tgt t JOIN ref r ON r.session = t.session WHERE abs(t.d0 - r.d0) < {tol} AND abs(t.d1 - r.d1) < {tol}"
+
+
+def sides(spark, sf):
+    s = stars(spark, sf)
+    tri = G.triangles(s, CFG)
+    first = s.filter("frame_number = 1").select(*FRAME).distinct()
+    return tri.join(first, FRAME, "left_anti"), tri.join(first, FRAME, "left_semi")
+
+
+@query("triangle_matches", "session:i frame_id:i matches:i total:d", [*MATCH, f"m AS ({matched('0.02::DOUBLE')})"], "SELECT session, frame_id, count(*) AS matches, sum(dist) AS total FROM m GROUP BY session, frame_id")
+def _(spark, sf):
+    t, r = sides(spark, sf)
+    return G.match_triangles(t, r, 0.02).groupBy(*FRAME).agg(F.count("*").alias("matches"), F.sum("distance").alias("total"))
+
+
+VOTES = [
+    *MATCH,
+    f"m AS ({matched('0.003::DOUBLE')})",
+    """lev AS (SELECT session, frame_id, CASE WHEN count(*) FILTER (dist < 0.001::DOUBLE) >= 10 THEN 1.0::DOUBLE WHEN count(*) FILTER (dist < 0.0015::DOUBLE) >= 10 THEN 1.5::DOUBLE
+      WHEN count(*) FILTER (dist < 0.002::DOUBLE) >= 10 THEN 2.0::DOUBLE WHEN count(*) >= 10 THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END AS lev FROM m GROUP BY session, frame_id)""",
+    "mm AS (SELECT m.*, lev FROM m JOIN lev USING (session, frame_id) WHERE dist < 0.001::DOUBLE * lev)",
+    "vt AS (SELECT session, frame_id, rs[a.a] AS ref, ts[b.b] AS tgt, count(*) AS votes FROM mm, range(1, 4) a(a), range(1, 4) b(b) WHERE abs(ro[a.a] - top[b.b]) < 0.002::DOUBLE GROUP BY session, frame_id, rs[a.a], ts[b.b])",
+]
+TIGHT = replace(CFG, descriptor_tolerance=0.001)
+
+
+@query(
+    "match_level",
+    "session:i frame_id:i level:i matches:i",
+    VOTES,
+    "SELECT lev.session, lev.frame_id, CASE lev.lev WHEN 1.0 THEN 0 WHEN 1.5 THEN 1 WHEN 2.0 THEN 2 ELSE 3 END AS level, count(mm.session) AS matches FROM lev LEFT JOIN mm USING (session, frame_id) GROUP BY lev.session, lev.frame_id, lev.lev",
+)
+def _(spark, sf):
+    return G.votes(*sides(spark, sf), TIGHT)[1]
+
+
+@query("star_votes", "session:i frame_id:i ref:i tgt:i votes:i", VOTES, "SELECT * FROM vt")
+def _(spark, sf):
+    return G.votes(*sides(spark, sf), TIGHT)[0]
+
+
+@query(
+    "star_one_to_one",
+    "session:i frame_id:i ref:i tgt:i",
+    [
+        *VOTES,
+        "vo AS (SELECT *, row_number() OVER (PARTITION BY session, frame_id ORDER BY votes DESC, ref, tgt) AS k FROM vt)",
+        """gr AS (SELECT session, frame_id, 0::BIGINT AS k, []::BIGINT[] AS ru, []::BIGINT[] AS tu, false AS taken, -1::BIGINT AS ref, -1::BIGINT AS tgt FROM (SELECT DISTINCT session, frame_id FROM vo)
+          UNION ALL SELECT v.session, v.frame_id, v.k, CASE WHEN list_contains(ru, v.ref) OR list_contains(tu, v.tgt) THEN ru ELSE list_append(ru, v.ref::BIGINT) END,
+            CASE WHEN list_contains(ru, v.ref) OR list_contains(tu, v.tgt) THEN tu ELSE list_append(tu, v.tgt::BIGINT) END, NOT (list_contains(ru, v.ref) OR list_contains(tu, v.tgt)), v.ref, v.tgt
+          FROM gr JOIN vo v ON v.session = gr.session AND v.frame_id = gr.frame_id AND v.k = gr.k + 1)""",
+    ],
+    "SELECT session, frame_id, ref, tgt FROM gr WHERE taken",
+)
+def _(spark, sf):
+    return G.one_to_one(G.votes(*sides(spark, sf), TIGHT)[0])
+
+
+PAIRS = [
+    *STARS,
+    "prs AS (SELECT s.session, s.frame_id, s.star_idx, s.x, s.y, s.x * 0.98::DOUBLE + s.y * 0.05::DOUBLE + (s.frame_id % 11) AS rx, s.y * 0.98::DOUBLE - s.x * 0.05::DOUBLE + (s.star_idx % 3) * 0.4::DOUBLE AS ry FROM stars s)",
+]
+
+
+def pairs(spark, sf):
+    s = stars(spark, sf)
+    x, y = F.col("x"), F.col("y")
+    return s.withColumn("rx", x * 0.98 + y * 0.05 + F.col("frame_id") % 11).withColumn("ry", y * 0.98 - x * 0.05 + (F.col("star_idx") % 3) * 0.4)
+
+
+FIT = [
+    *PAIRS,
+    "cen AS (SELECT session, frame_id, avg(x) AS cx, avg(y) AS cy, avg(rx) AS cu, avg(ry) AS cv FROM prs GROUP BY session, frame_id)",
+    """sm AS (SELECT p.session, p.frame_id, any_value(cx) AS cx, any_value(cy) AS cy, any_value(cu) AS cu, any_value(cv) AS cv, sum(pow(x - cx, 2) + pow(y - cy, 2)) AS t,
+      sum((x - cx) * (rx - cu) + (y - cy) * (ry - cv)) AS s1, sum((x - cx) * (ry - cv) - (y - cy) * (rx - cu)) AS s2 FROM prs p JOIN cen USING (session, frame_id) GROUP BY p.session, p.frame_id)""",
+    "fit0 AS (SELECT *, atan2(s2, s1) AS rotation, least(greatest(sqrt(s1 * s1 + s2 * s2) / t, 0.9::DOUBLE), 1.1::DOUBLE) AS scale FROM sm)",
+    "fit AS (SELECT session, frame_id, rotation, scale, cu - scale * (cos(rotation) * cx - sin(rotation) * cy) AS tx, cv - scale * (sin(rotation) * cx + cos(rotation) * cy) AS ty FROM fit0)",
+]
+
+
+@query("similarity_fit", "session:i frame_id:i rotation:d scale:d tx:d ty:d", FIT, "SELECT * FROM fit")
+def _(spark, sf):
+    return G.fit(pairs(spark, sf))
+
+
+@query(
+    "transform_points",
+    "session:i frame_id:i star_idx:i px:d py:d back_x:d back_y:d res:d m0:d m4:d r2:d s2:d",
+    FIT,
+    """SELECT session, frame_id, star_idx, px, py, (cos(rotation) * (px - tx) + sin(rotation) * (py - ty)) / scale AS back_x, (cos(rotation) * (py - ty) - sin(rotation) * (px - tx)) / scale AS back_y,
+       sqrt(pow(px - rx, 2) + pow(py - ry, 2)) AS res, scale * cos(rotation) AS m0, scale * cos(rotation) AS m4, rotation AS r2, scale AS s2
+       FROM (SELECT p.*, f.rotation, f.scale, f.tx, f.ty, scale * (cos(rotation) * x - sin(rotation) * y) + tx AS px, scale * (sin(rotation) * x + cos(rotation) * y) + ty AS py FROM prs p JOIN fit f USING (session, frame_id))""",
+)
+def _(spark, sf):
+    p = pairs(spark, sf)
+    j = p.join(G.fit(p), FRAME)
+    px, py = geo.forward(F.col("x"), F.col("y"))
+    j = j.withColumn("px", px).withColumn("py", py).withColumn("m", geo.matrix())
+    bx, by = geo.inverse(F.col("px"), F.col("py"))
+    back = geo.from_matrix(F.col("m"))
+    return j.select(
+        *FRAME, "star_idx", "px", "py", bx.alias("back_x"), by.alias("back_y"),
+        geo.residual(F.col("x"), F.col("y"), F.col("rx"), F.col("ry")).alias("res"),
+        F.col("m")[0].alias("m0"), F.col("m")[4].alias("m4"), back["rotation"].alias("r2"), back["scale"].alias("s2"),
+    )
+
+
+def moved_stars(spark, sf):
+    """Every frame sees the session's first star list under its own rotation, scale and shift.
+
+    Stars are put where the inverse of (rotation, scale, tx, ty) takes them, so that
+    transform is the truth; every ninth frame lost all but two stars.
+    """
+    s = stars(spark, sf)
+    base = s.filter("frame_number = 1").select("session", "star_idx", "x", "y")
+    fr = s.select(*FRAME, "frame_number").distinct()
+    i = F.col("frame_id")
+    t = fr.withColumn("rotation", F.when(F.col("frame_number") == 1, 0.0).otherwise(((i % 17) - 8) * 0.01))
+    t = t.withColumn("scale", F.when(F.col("frame_number") == 1, 1.0).otherwise(1.0 + ((i % 5) - 2) * 0.01))
+    t = t.withColumn("tx", F.when(F.col("frame_number") == 1, 0.0).otherwise((i % 23) - 11.0))
+    t = t.withColumn("ty", F.when(F.col("frame_number") == 1, 0.0).otherwise((i % 19) - 9.0))
+    j = t.join(base, "session")
+    bx, by = geo.inverse(F.col("x"), F.col("y"))
+    j = j.select(*FRAME, "frame_number", "star_idx", bx.alias("x"), by.alias("y"))
+    return j.filter((F.col("frame_number") == 1) | (F.col("frame_id") % 9 != 0) | (F.col("star_idx") < 2))
+
+
+TRUTH = """truth AS (SELECT session, frame_id, ((frame_id % 17) - 8) * 0.01::DOUBLE AS rotation, 1.0::DOUBLE + ((frame_id % 5) - 2) * 0.01::DOUBLE AS scale,
+  (frame_id % 23) - 11.0::DOUBLE AS tx, (frame_id % 19) - 9.0::DOUBLE AS ty, frame_id % 9 = 0 AS lost FROM vectors WHERE frame_number > 1)"""
+
+
+@query(
+    "register_frames",
+    "session:i frame_id:i rotation:d scale:d tx:d ty:d matched:i residual:d config:s attempts:i status:s reason:s",
+    [fx.VECTORS, TRUTH],
+    f"""SELECT session, frame_id, CASE WHEN NOT lost THEN rotation END AS rotation, CASE WHEN NOT lost THEN scale END AS scale, CASE WHEN NOT lost THEN tx END AS tx, CASE WHEN NOT lost THEN ty END AS ty,
+       CASE WHEN lost THEN 0 ELSE {N} END AS matched, CASE WHEN NOT lost THEN 0.0 END AS residual, CASE WHEN NOT lost THEN 'fast' END AS config, CASE WHEN lost THEN 2 ELSE 1 END AS attempts,
+       CASE WHEN lost THEN 'failed' ELSE 'ok' END AS status, CASE WHEN lost THEN 'All registration strategies failed. Last error: robust: Not enough stars in target frame (need at least 3)' END AS reason FROM truth""",
+)
+def _(spark, sf):
+    s = moved_stars(spark, sf)
+    fr = s.select(*FRAME, "frame_number").distinct()
+    return G.register(s, fr.filter("frame_number = 1").select(*FRAME), fr.filter("frame_number > 1"))
+
+
+@query(
+    "register_one_preset",
+    "session:i frame_id:i rotation:d scale:d tx:d ty:d status:s reason:s",
+    [fx.VECTORS, TRUTH],
+    """SELECT session, frame_id, CASE WHEN NOT lost THEN rotation END AS rotation, CASE WHEN NOT lost THEN scale END AS scale, CASE WHEN NOT lost THEN tx END AS tx, CASE WHEN NOT lost THEN ty END AS ty,
+       CASE WHEN lost THEN 'failed' ELSE 'ok' END AS status, CASE WHEN lost THEN 'Not enough stars in target frame (need at least 3)' END AS reason FROM truth""",
+)
+def _(spark, sf):
+    s = moved_stars(spark, sf)
+    fr = s.select(*FRAME, "frame_number").distinct()
+    return G.attempt(s, fr.filter("frame_number = 1").select(*FRAME), fr.filter("frame_number > 1"), REGISTRATION["default"])
+
+
+@query(
+    "registration_diagnostics",
+    "session:i frame_id:i matched:i residual:d",
+    [fx.VECTORS, TRUTH],
+    f"SELECT session, frame_id, CASE WHEN lost THEN 2 ELSE {N} END AS matched, 0.0 AS residual FROM truth",
+)
+def _(spark, sf):
+    s = moved_stars(spark, sf)
+    fr = s.select(*FRAME, "frame_number").distinct()
+    i = F.col("frame_id")
+    t = fr.filter("frame_number > 1").select(
+        *FRAME, (((i % 17) - 8) * 0.01).alias("rotation"), (1.0 + ((i % 5) - 2) * 0.01).alias("scale"),
+        ((i % 23) - 11.0).alias("tx"), ((i % 19) - 9.0).alias("ty"),
+    )
+    return G.diagnostics(s, fr.filter("frame_number = 1").select(*FRAME), t, 16.0)
+
+
+@query("robust_fit_outliers", "session:i frame_id:i rotation:d scale:d tx:d ty:d used:i mean_residual:d sampled:b")
+def _(spark, sf):
+    p = pairs(spark, sf).withColumn("pair_idx", F.col("star_idx"))
+    wrong = F.col("star_idx") % 5 == 3
+    p = p.withColumn("rx", F.when(wrong, F.col("rx") + 90.0).otherwise(F.col("rx")))
+    return G.robust_fit(p, REGISTRATION["robust"])
+
+
+WARP = """tf AS (SELECT session, frame_id, ((frame_id % 17) - 8) * 0.02::DOUBLE AS rotation, 1.0::DOUBLE + ((frame_id % 5) - 2) * 0.04::DOUBLE AS scale,
+  ((frame_id % 7) - 3) * 0.45::DOUBLE AS tx, ((frame_id % 3) - 1) * 0.6::DOUBLE AS ty FROM vectors),
+grid AS (SELECT t.session, t.frame_id, y.y, x.x, (cos(rotation) * (x.x - tx) + sin(rotation) * (y.y - ty)) / scale AS sx, (cos(rotation) * (y.y - ty) - sin(rotation) * (x.x - tx)) / scale AS sy
+  FROM tf t, range(0, 8) y(y), range(0, 8) x(x)),
+warped AS (SELECT g.session, g.frame_id, 0 AS ch, g.y, g.x, sum(p.v * (1 - abs(p.x - sx)) * (1 - abs(p.y - sy))) AS v FROM grid g JOIN pixels p USING (session, frame_id)
+  WHERE sx >= 0 AND sx < 6 AND sy >= 0 AND sy < 6 AND p.x IN (floor(sx), floor(sx) + 1) AND p.y IN (floor(sy), floor(sy) + 1) GROUP BY g.session, g.frame_id, g.y, g.x)"""
+
+
+def warp_transforms(spark, sf):
+    i = F.col("frame_id")
+    return fx.frames(spark, sf).select(
+        *FRAME, (((i % 17) - 8) * 0.02).alias("rotation"), (1.0 + ((i % 5) - 2) * 0.04).alias("scale"),
+        (((i % 7) - 3) * 0.45).alias("tx"), (((i % 3) - 1) * 0.6).alias("ty"),
+    )
+
+
+@query("warp_frames", "session:i frame_id:i ch:i y:i x:i v:d", [*fx.F1, WARP], "SELECT * FROM warped")
+def _(spark, sf):
+    return W.warp(fx.pixels(spark, sf), warp_transforms(spark, sf), fx.frames(spark, sf))
+
+
+@query(
+    "warp_and_stack",
+    "session:i ch:i y:i x:i mean:d n:i",
+    [*fx.F1, WARP],
+    "SELECT session, ch, y, x, avg(v) AS mean, count(*) AS n FROM warped WHERE abs(v) >= 1e-6 GROUP BY session, ch, y, x",
+)
+def _(spark, sf):
+    from ..operators import stack as K
+
+    return K.stack(W.warp(fx.pixels(spark, sf), warp_transforms(spark, sf), fx.frames(spark, sf)))
