@@ -127,7 +127,11 @@ def match_triangles(targets: DataFrame, references: DataFrame, tolerance: float,
     r = r.withColumn("_c1", F.explode(F.transform(around, lambda d: F.col("_b1") + d)))
     r = r.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).drop("_b0", "_b1")
     need = F.greatest(F.abs(F.col("d0") - F.col("_r0")), F.abs(F.col("d1") - F.col("_r1")))
-    j = t.join(r, ["session", "_salt", "_c0", "_c1"]).withColumn("distance", need).filter(F.col("distance") < tolerance)
+    keys = ["session", "_salt", "_c0", "_c1"]
+    # the output is far larger than the input, so small inputs must not be coalesced into few tasks
+    partitions = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    t = t.repartition(partitions, *keys)
+    j = t.join(r, keys).withColumn("distance", need).filter(F.col("distance") < tolerance)
     return j.select(
         *FRAME,
         F.array("i", "j", "k").alias("tgt_stars"),
