@@ -8,3 +8,10 @@ sessions at once.
 """
 
 __version__ = "0.1.0"
+
+import sys as _sys
+
+from pyspark import cloudpickle as _cloudpickle
+
+# executors get the Python functions themselves, so they need no copy of the package
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])

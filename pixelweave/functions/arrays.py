@@ -22,7 +22,7 @@ def sorted_median(a: Column) -> Column:
 
 
 def sorted_mad(a: Column, median: Column) -> Column:
-    return let(F.array_sort(F.transform(a, lambda v: F.abs(v - median))), sorted_median)
+    return let(F.sort_array(F.transform(a, lambda v: F.abs(v - median))), sorted_median)
 
 
 def clip_upper(a: Column, k: float, rounds: int) -> Column:

@@ -84,7 +84,7 @@ def node_values(pixels: DataFrame, frames: DataFrame, config: Background = Backg
     A box is a few thousand samples at most (1.5 % of the width, squared).
     """
     boxes = node_boxes(pixels, frames, config).groupBy(*FRAME, "ch", "row", "col").agg(F.collect_list("v").alias("_a"))
-    clipped = clip_upper(F.array_sort("_a"), C.NODE_CLIP_SIGMA, C.NODE_CLIP_ROUNDS)
+    clipped = clip_upper(F.sort_array("_a"), C.NODE_CLIP_SIGMA, C.NODE_CLIP_ROUNDS)
     return boxes.select(*FRAME, "ch", "row", "col", let(clipped, sorted_median).alias("value"))
 
 
@@ -96,7 +96,7 @@ def to_grids(nodes: DataFrame, frames: DataFrame, config: Background) -> DataFra
     )
     filled = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.try_element_at("_m", i))
     per_frame = per_channel.select(*FRAME, "ch", filled.alias("_g")).groupBy(*FRAME).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("ch", "_g"))), lambda s: s["_g"]).alias("grids")
+        F.transform(F.sort_array(F.collect_list(F.struct("ch", "_g"))), lambda s: s["_g"]).alias("grids")
     )
     return per_frame.join(frames.select(*FRAME, "width", "height", "channels"), FRAME)
 
@@ -126,7 +126,7 @@ def pruned(grid: Column, config: Background) -> Column:
 
     def stage2(g: Column) -> Column:
         def keep(v: Column, i: Column) -> Column:
-            around = F.array_sort(_neighbours(g, i, config, AROUND))
+            around = F.sort_array(_neighbours(g, i, config, AROUND))
             return let(
                 around,
                 lambda a: F.when(v.isNotNull() & ((F.size(a) == 0) | (v <= sorted_median(a) * C.PRUNE_NEIGHBOUR_FACTOR)), v),
@@ -134,7 +134,7 @@ def pruned(grid: Column, config: Background) -> Column:
 
         return F.transform(g, keep)
 
-    values = F.array_sort(not_null(grid))
+    values = F.sort_array(not_null(grid))
     return F.when(F.size(values) < 4, grid).otherwise(let(let(values, stage1), stage2))
 
 
@@ -169,7 +169,7 @@ def build_model(nodes: DataFrame, frames: DataFrame, config: Background = Backgr
     judge = F.get("grids", F.when(F.col("channels") > 1, 1).otherwise(0))
     g = g.withColumn("_kept", pruned(judge, config))
     masked = F.transform("grids", lambda grid: F.transform(grid, lambda v, i: F.when(F.get("_kept", i).isNotNull(), v)))
-    survivors = F.array_sort(not_null(F.col("_kept")))
+    survivors = F.sort_array(not_null(F.col("_kept")))
     g = g.withColumn("valid_nodes", F.size(survivors))
     flat = F.array_repeat(F.coalesce(sorted_median(survivors), F.lit(0.0)), config.rows * config.cols)
     done = F.when(F.col("valid_nodes") < C.MIN_VALID_NODES, F.transform("grids", lambda _: flat)).otherwise(
@@ -259,7 +259,7 @@ def evaluate(pixels: DataFrame, model: DataFrame, config: Background = Backgroun
 
 
 def reference_level(grid: Column, percentile: float) -> Column:
-    return let(F.array_sort(grid), lambda a: F.get(a, F.floor((F.size(a) - 1) * F.lit(percentile)).cast("int")))
+    return let(F.sort_array(grid), lambda a: F.get(a, F.floor((F.size(a) - 1) * F.lit(percentile)).cast("int")))
 
 
 def auto_aggressiveness(grid: Column) -> Column:

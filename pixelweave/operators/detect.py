@@ -118,7 +118,7 @@ def measure(luminance: DataFrame, levels: DataFrame, candidates: DataFrame, conf
         F.sum(F.col("y") * F.col("_net")).alias("_sy"),
         F.coalesce(F.max(F.when(lit, F.col("v"))), F.lit(0.0)).alias("peak"),
         F.sum((lit & (F.col("v") > F.col("threshold") * 0.5)).cast("int")).alias("bright_pixels"),
-        F.array_sort(F.collect_list(F.when(on_ring, F.col("v")))).alias("_ring"),
+        F.sort_array(F.collect_list(F.when(on_ring, F.col("v")))).alias("_ring"),
         F.collect_list(F.when(in_window, F.struct(slot.alias("slot"), F.col("v")))).alias("_win"),
     )
     local_sky = F.get("_ring", F.floor(F.size("_ring") / 2).cast("int"))

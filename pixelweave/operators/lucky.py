@@ -102,6 +102,88 @@ def best_shift(surface: DataFrame) -> DataFrame:
     ).select(*FRAME, "_b.dx", "_b.dy", "ncc")
 
 
+SURFACE_LIMIT = 8  # search radius up to which shifts are rows
+
+
+def _best_by_fft(search: int, subpixel: bool):
+    """Function for one frame's region: best shift from correlations of all shifts at once.
+
+    Cross terms come from a Fourier transform, means and deviations of every placement
+    from running sums.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def placements(a, h, w):
+        s = np.pad(a, ((1, 0), (1, 0))).cumsum(0).cumsum(1)
+        return s[h:, w:] - s[:-h, w:] - s[h:, :-w] + s[:-h, :-w]
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf.iloc[0]
+        rx, ry, rw, rh = (int(first[c]) for c in ("roi_x", "roi_y", "roi_w", "roi_h"))
+        y0, x0 = max(ry - search, 0), max(rx - search, 0)
+        y1, x1 = min(ry + rh + search, int(first["height"])), min(rx + rw + search, int(first["width"]))
+        area = np.zeros((y1 - y0, x1 - x0))
+        ref = np.zeros_like(area)
+        ys, xs = pdf["y"].to_numpy() - y0, pdf["x"].to_numpy() - x0
+        area[ys, xs] = pdf["v"].to_numpy()
+        ref[ys, xs] = pdf["_ref"].fillna(0.0).to_numpy()
+        patch = ref[ry - y0 : ry - y0 + rh, rx - x0 : rx - x0 + rw]
+        patch = patch - patch.mean()
+        sr, n = patch.std(), patch.size
+        base = area - area.mean()
+        shape = base.shape
+        cross = np.fft.irfft2(np.fft.rfft2(base) * np.conj(np.fft.rfft2(patch, shape)), shape)
+        mean = placements(base, rh, rw) / n
+        var = np.maximum(placements(base * base, rh, rw) / n - mean * mean, 0.0)
+        std = np.sqrt(var)
+        with np.errstate(all="ignore"):
+            placed = np.where((std >= 1e-6) & (sr >= 1e-6), cross[: mean.shape[0], : mean.shape[1]] / (n * sr * std), np.nan)
+
+        def value(dx: int, dy: int) -> float:
+            cy, cx = max(ry + dy, 0) - y0, max(rx + dx, 0) - x0
+            return placed[cy, cx] if cy < placed.shape[0] and cx < placed.shape[1] else np.nan
+
+        steps = range(-search, search + 1)
+        surface = np.array([[value(dx, dy) for dx in steps] for dy in steps])
+        if np.isnan(surface).all():
+            return pd.DataFrame([], columns=["session", "frame_id", "dx", "dy", "ncc", "sub_dx", "sub_dy"])
+        # equal up to rounding counts as a tie, and the first in (dy, dx) order wins
+        top = np.nanmax(surface)
+        iy, ix = np.argwhere(surface >= top - 1e-9)[0]
+        sub = [0.0, 0.0]
+        if subpixel and 0 < ix < 2 * search and 0 < iy < 2 * search:
+            c = np.nan_to_num(surface)
+            for k, (lo, hi) in enumerate(((c[iy, ix - 1], c[iy, ix + 1]), (c[iy - 1, ix], c[iy + 1, ix]))):
+                denom = lo + hi - 2.0 * c[iy, ix]
+                sub[k] = float(np.clip((lo - hi) / (2.0 * denom), -0.5, 0.5)) if abs(denom) > 1e-6 else 0.0
+        row = [first["session"], first["frame_id"], int(ix) - search, int(iy) - search, float(top), *sub]
+        return pd.DataFrame([row], columns=["session", "frame_id", "dx", "dy", "ncc", "sub_dx", "sub_dy"])
+
+    return one
+
+
+def wide_shift(luminance: DataFrame, reference: DataFrame, rois: DataFrame, frames: DataFrame, search: int, subpixel: bool = True) -> DataFrame:
+    """Best shift with its sub-pixel part for a large search radius.
+
+    With shifts as rows a region would be repeated (2*search+1)^2 times; here the region of
+    one frame (bounded by the region plus the search radius) is one group.
+    """
+    region = rois.select(*FRAME, "roi_x", "roi_y", "roi_w", "roi_h").join(frames.select(*FRAME, "width", "height"), FRAME)
+    px = luminance.select(*FRAME, "y", "x", "v").join(region, FRAME)
+    near = (
+        (F.col("x") >= F.col("roi_x") - search)
+        & (F.col("x") < F.col("roi_x") + F.col("roi_w") + search)
+        & (F.col("y") >= F.col("roi_y") - search)
+        & (F.col("y") < F.col("roi_y") + F.col("roi_h") + search)
+    )
+    ref = reference.select("session", "y", "x", F.col("v").alias("_ref"))
+    j = px.filter(near).join(ref, ["session", "y", "x"], "left")
+    session_type = luminance.schema["session"].dataType.simpleString()
+    out = f"session {session_type}, frame_id bigint, dx int, dy int, ncc double, sub_dx double, sub_dy double"
+    return j.groupBy(*FRAME).applyInPandas(_best_by_fft(search, subpixel), out)
+
+
 def parabola(c0: Column, c1: Column, c2: Column) -> Column:
     denom = c0 + c2 - 2.0 * c1
     return clamp(F.when(F.abs(denom) > 1e-6, (c0 - c2) / (2.0 * denom)).otherwise(0.0), -0.5, 0.5)
@@ -147,9 +229,12 @@ def alignment(
     The correlation result is negated.  Where the reference region is flat or the best
     correlation stays under 0.3 the difference of centroids is used.
     """
-    surface = ncc_surface(luminance, reference, rois, frames, search)
-    best = best_shift(surface)
-    refined = refine_shift(surface, best, search) if subpixel else best.withColumn("sub_dx", F.lit(0.0)).withColumn("sub_dy", F.lit(0.0))
+    if search > SURFACE_LIMIT:
+        refined = wide_shift(luminance, reference, rois, frames, search, subpixel)
+    else:
+        surface = ncc_surface(luminance, reference, rois, frames, search)
+        best = best_shift(surface)
+        refined = refine_shift(surface, best, search) if subpixel else best.withColumn("sub_dx", F.lit(0.0)).withColumn("sub_dy", F.lit(0.0))
     own = centroid(luminance, frames)
     dims = frames.groupBy("session").agg(F.first("width").alias("width"), F.first("height").alias("height"))
     ref_frames = dims.withColumn("frame_id", F.lit(0).cast("long"))

@@ -40,7 +40,7 @@ def collect_frames(pixels: DataFrame, frames: DataFrame) -> DataFrame:
     arrays = (
         with_index(pixels, frames)
         .groupBy(*FRAME)
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "v"))), lambda s: s["v"]).alias("data"))
+        .agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", "v"))), lambda s: s["v"]).alias("data"))
     )
     dims = frames.select(*FRAME, "width", "height", "channels")
     expected = F.col("width") * F.col("height") * F.col("channels")

@@ -33,7 +33,7 @@ def star_arrays(stars: DataFrame, max_stars: int | None = None) -> DataFrame:
     """Stars of a frame as one array ordered by star_idx."""
     s = stars if max_stars is None else stars.filter(F.col("star_idx") < max_stars)
     packed = F.struct(F.col("star_idx").alias("i"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    return s.groupBy(*FRAME).agg(F.array_sort(F.collect_list(packed)).alias("stars"))
+    return s.groupBy(*FRAME).agg(F.sort_array(F.collect_list(packed)).alias("stars"))
 
 
 def _apart(a: Column, b: Column) -> Column:
@@ -49,7 +49,7 @@ def side_bounds(stars: Column, config: Registration) -> Column:
     pairs = F.flatten(
         F.transform(few, lambda a: F.transform(F.filter(few, lambda b: b["i"] > a["i"]), lambda b: _apart(a, b)))
     )
-    mid = let(F.array_sort(pairs), lambda d: F.get(d, F.floor(F.size(d) / 2).cast("int")))
+    mid = let(F.sort_array(pairs), lambda d: F.get(d, F.floor(F.size(d) / 2).cast("int")))
     bounds = let(
         mid,
         lambda m: F.struct(
@@ -85,7 +85,7 @@ def triangles(stars: DataFrame, config: Registration = Registration(), adaptive:
         k = k.withColumn("_in", within).withColumn("_n", F.sum(F.col("_in").cast("int")).over(Window.partitionBy(*FRAME)))
         k = k.filter(F.col("_in") | (F.col("_n") < 10))
     longest = F.greatest(F.greatest("_ij", "_jk", "_ki"), F.lit(1e-6))
-    ordered = F.array_sort(F.array("_ij", "_jk", "_ki"))
+    ordered = F.sort_array(F.array("_ij", "_jk", "_ki"))
     return k.select(
         *FRAME,
         F.col("_si.i").alias("i"),
@@ -200,7 +200,7 @@ def one_to_one(vote_rows: DataFrame) -> DataFrame:
 
     At most max_stars^2 vote rows per frame are folded in order: frame, pair_idx, ref, tgt.
     """
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("n"), "ref", "tgt")))
+    ordered = F.sort_array(F.collect_list(F.struct((-F.col("votes")).alias("n"), "ref", "tgt")))
     g = vote_rows.groupBy(*FRAME).agg(ordered.alias("_v"))
     empty = F.array().cast("array<struct<ref:int,tgt:int>>")
 
@@ -318,7 +318,7 @@ def robust_fit(pairs: DataFrame, config: Registration) -> DataFrame:
     its inliers, inliers taken again.  Otherwise, or when sampling finds nothing, all pairs.
     """
     if config.use_ransac:
-        a = pairs.groupBy(*FRAME).agg(F.array_sort(F.collect_list(F.struct("pair_idx", "x", "y", "rx", "ry"))).alias("_p"))
+        a = pairs.groupBy(*FRAME).agg(F.sort_array(F.collect_list(F.struct("pair_idx", "x", "y", "rx", "ry"))).alias("_p"))
         arrays = [F.col(f"_p.{c}") for c in ("x", "y", "rx", "ry")]
         a = a.withColumn("_ok", consensus(config.ransac_iterations, config.ransac_threshold)(*arrays))
         sampled = (F.size("_p") >= 4) & F.col("_ok").isNotNull()

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Stats
+from ..functions.arrays import sorted_mad, sorted_median
 from ..functions.columns import clamp, mad_sigma
 from ..model import FRAME
 from .pixels import luma_luminance, mean_luminance, strided_sample
@@ -23,20 +24,21 @@ def median_by(df: DataFrame, keys: list[str], value: str = "v", accuracy: int |
 
 
 def robust_stats(sample: DataFrame, keys: list[str], value: str = "v") -> DataFrame:
-    """median, mad, sigma = 1.4826*mad, min, max, n per group (two passes)."""
-    first = sample.groupBy(*keys).agg(
-        F.median(value).alias("median"), F.min(value).alias("min"), F.max(value).alias("max"), F.count(value).alias("n")
-    )
-    second = (
-        sample.join(first.select(*keys, "median"), keys)
-        .groupBy(*keys)
-        .agg(F.median(F.abs(F.col(value) - F.col("median"))).alias("mad"))
-    )
-    return (
-        first.join(second, keys)
-        .withColumn("sigma", mad_sigma(F.col("mad")))
-        .select(*keys, "median", "mad", "sigma", "min", "max", "n")
-    )
+    """median, mad, sigma = 1.4826*mad, min, max, n per group, in one pass.
+
+    Meant for samples: a group is at most ``max_samples`` values (100 000 by default), so
+    it is sorted as one array and both medians are read off without a second scan.
+    """
+    g = sample.groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias("_a"))
+    g = g.withColumn("median", sorted_median(F.col("_a")))
+    return g.select(
+        *keys,
+        "median",
+        sorted_mad(F.col("_a"), F.col("median")).alias("mad"),
+        F.get("_a", F.lit(0)).alias("min"),
+        F.element_at("_a", -1).alias("max"),
+        F.size("_a").alias("n"),
+    ).select(*keys, "median", "mad", mad_sigma(F.col("mad")).alias("sigma"), "min", "max", "n")
 
 
 def image_stats(pixels: DataFrame, frames: DataFrame, config: Stats = Stats()) -> DataFrame:

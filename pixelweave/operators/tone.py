@@ -83,7 +83,7 @@ def grid_white_balance(pixels: DataFrame, frames: DataFrame, grid: int, percenti
     n = grid * grid
     index = min(int(percentile / 100.0 * n), n - 1)
     # a frame has grid*grid blocks, a fixed number
-    levels = med.groupBy(*FRAME, "ch").agg(F.element_at(F.array_sort(F.collect_list("m")), index + 1).alias("_level"))
+    levels = med.groupBy(*FRAME, "ch").agg(F.element_at(F.sort_array(F.collect_list("m")), index + 1).alias("_level"))
     green = levels.filter("ch = 1").select(*FRAME, F.greatest("_level", F.lit(1e-6)).alias("_green"))
     m = F.when(F.col("ch") == 1, 1.0).when(F.col("_level") > 1e-6, F.col("_green") / F.col("_level")).otherwise(1.0)
     out = levels.join(green, FRAME).select(*FRAME, "ch", clamp(m, 0.5, 2.0).alias("multiplier"))

@@ -47,18 +47,17 @@ BEAR = "(degrees(atan2(sin(radians(tr - ra)) * cos(radians(td)), cos(radians(dec
 @query(
     "pointing_direction",
     "position_id:i entry_id:i distance_deg:d angle_deg:d is_close:b direction_hint:s",
-    [*fx.F6, "pr AS (SELECT p.*, c.entry_id, c.ra AS tr, c.dec AS td FROM catalogue c JOIN positions p ON p.position_id = c.entry_id % (SELECT count(*) FROM supplier) + 1)",
+    [*fx.F6, "pr AS (SELECT p.*, c.entry_id, c.ra AS tr, c.dec AS td FROM catalogue c JOIN positions p ON c.entry_id = p.position_id * 3 + 1)",
      f"pb AS (SELECT *, {SEP.format(r0='ra', d0='dec', r1='tr', d1='td')} AS dist, {BEAR} AS b FROM pr)"],
     """SELECT position_id, entry_id, dist AS distance_deg, (b - rotation + 720.0::DOUBLE) % 360.0::DOUBLE AS angle_deg, dist < 1 AS is_close,
        CASE WHEN dist < 1 THEN 'OK' ELSE ['N', 'NE', 'E', 'SE', 'S', 'SW', 'W', 'NW'][floor((b + 22.5) / 45)::INT % 8 + 1] END AS direction_hint FROM pb""",
 )
 def _(spark, sf):
     pos, cat = fx.positions(spark, sf), fx.catalogue(spark, sf)
-    n = fx.table(spark, sf, "supplier").agg(F.count("*").alias("n"))
-    c = cat.crossJoin(n).select(  # n is a single row
-        (F.col("entry_id") % F.col("n") + 1).alias("position_id"), "entry_id", F.col("ra").alias("target_ra"), F.col("dec").alias("target_dec")
-    )
-    return N.pointing(pos.join(c, "position_id"))
+    c = cat.select(F.col("entry_id"), F.col("ra").alias("target_ra"), F.col("dec").alias("target_dec"))
+    pos = pos.withColumn("entry_id", F.col("position_id") * 3 + 1)
+    return N.pointing(pos.join(c, "entry_id"))
+
 
 
 @query(

@@ -1 +1,229 @@
-"""Queries."""
+"""End-to-end plans and round trips through files."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import functions as F
+
+from ..config import DeepSky, Lucky, Rejection, Render
+from ..functions import udtf
+from ..model import FRAME
+from ..operators import background as B
+from ..operators import pixels as P
+from ..operators import stack as K
+from ..session import ensure_checkpoint_dir
+from ..sources import fits, raw, ser
+from ..streaming import live
+from . import deep_sky, planetary, render
+from . import fixtures as fx
+from .q_background import CFG as BG
+from .q_detection import CFG as DET
+from .q_stacking import BALANCED, WSTACK
+from .registry import query
+
+PX = "session:i frame_id:i ch:i y:i x:i v:d"
+
+
+def scratch(spark) -> str:
+    """A new folder beside the checkpoints: shared on a cluster, temporary in tests."""
+    ensure_checkpoint_dir(spark)
+    base = spark.sparkContext.getCheckpointDir()
+    if base.startswith("file:"):
+        return tempfile.mkdtemp(prefix="files-", dir=base.removeprefix("file:").replace("///", "/"))
+    raise RuntimeError("the file round trips need a checkpoint folder mounted on every node")
+
+
+@query("frame_pixels_udtf", PX, fx.F1, "SELECT session, frame_id, ch, y, x, embedding[y*8+x+1] AS v FROM pixels JOIN vectors USING (session, frame_id)")
+def _(spark, sf):
+    udtf.register(spark)
+    fx.frame_arrays(spark, sf).select("session", "frame_id", F.col("data").cast("array<double>").alias("data"), "width", "channels").createOrReplaceTempView("pixelweave_frames")
+    return spark.sql("SELECT session, frame_id, p.* FROM pixelweave_frames, LATERAL frame_pixels(data, width, channels) p")
+
+
+@query(
+    "fits_round_trip",
+    "session:i frame_id:i width:i height:i channels:i n:i total:d exposure_s:d",
+    fx.F1,
+    "SELECT session, frame_id, 8 AS width, 8 AS height, 1 AS channels, 64 AS n, sum(floor(v * 65535.0::DOUBLE + 0.5::DOUBLE) / 65535.0::DOUBLE) AS total, (frame_id % 30) / 2.0::DOUBLE AS exposure_s FROM pixels GROUP BY session, frame_id",
+)
+def _(spark, sf):
+    path = scratch(spark)
+    px, fr = fx.pixels(spark, sf), fx.frames(spark, sf)
+    out = P.collect_frames(px, fr).select(*FRAME, "width", "height", "channels", "data", ((F.col("frame_id") % 30) / 2.0).alias("exposure_s"))
+    fits.write_fits(out, path)
+    back, _ = fits.fits_frames(spark, path)
+    ids = F.regexp_extract("path", r"(\d+)/raw_0*(\d+)\.fits$", 1), F.regexp_extract("path", r"/raw_(\d+)\.fits$", 1)
+    return back.select(
+        ids[0].cast("long").alias("session"), ids[1].cast("long").alias("frame_id"), "width", "height", "channels", "exposure_s",
+        F.size("data").alias("n"), F.aggregate("data", F.lit(0.0), lambda a, b: a + b).alias("total"),
+    )
+
+
+@query(
+    "fits_header_catalogue",
+    "session:i files:i width:i exposure_s:d",
+    fx.F1[:1],
+    "SELECT session, count(*) AS files, 8 AS width, avg((frame_id % 30) / 2.0::DOUBLE) AS exposure_s FROM vectors GROUP BY session",
+)
+def _(spark, sf):
+    path = scratch(spark)
+    out = P.collect_frames(fx.pixels(spark, sf), fx.frames(spark, sf)).select(
+        *FRAME, "width", "height", "channels", "data", ((F.col("frame_id") % 30) / 2.0).alias("exposure_s")
+    )
+    fits.write_fits(out, path, kind="stacked")
+    h = fits.fits_headers(spark, path).withColumn("session", F.regexp_extract("path", r"/(\d+)/stacked_\d+\.fits$", 1).cast("long"))
+    return h.groupBy("session").agg(F.count("*").alias("files"), F.max("width").alias("width"), F.avg("exposure_s").alias("exposure_s"))
+
+
+@query(
+    "ser_round_trip",
+    "session:i frame_number:i channels:i n:i total:d",
+    fx.F1,
+    "SELECT session, frame_number, 3 AS channels, 192 AS n, 3 * sum(floor(v * 65535.0::DOUBLE + 0.5::DOUBLE) / 65535.0::DOUBLE) AS total FROM pixels GROUP BY session, frame_number",
+)
+def _(spark, sf):
+    path = scratch(spark)
+    fr = fx.frames(spark, sf)
+    data = P.collect_frames(fx.pixels(spark, sf), fr).join(fr.select(*FRAME, "frame_number"), FRAME)
+    ser.write_ser(data, path, part_frames=16).foreach(lambda r: None)
+    s = ser.ser_frames(spark, path)
+    part = F.regexp_extract("path", r"/(\d+)/part_(\d+)\.ser$", 2).cast("long")
+    return s.select(
+        F.regexp_extract("path", r"/(\d+)/part_\d+\.ser$", 1).cast("long").alias("session"),
+        (part * 16 + F.col("frame_number")).alias("frame_number"), "channels", F.size("data").alias("n"),
+        F.aggregate("data", F.lit(0.0), lambda a, b: a + b).alias("total"),
+    )
+
+
+@query(
+    "session_parquet_round_trip",
+    PX,
+    fx.F1,
+    "SELECT session, frame_id, ch, y, x, v FROM pixels",
+)
+def _(spark, sf):
+    path = scratch(spark)
+    raw.save_session(fx.pixels(spark, sf), path, "raw")
+    return raw.load_session(spark, path, "raw")
+
+
+@query(
+    "raw_bytes_decode",
+    "session:i frame_id:i n:i total:d",
+    fx.F1,
+    "SELECT session, frame_id, 64 AS n, sum(floor(v * 255.0::DOUBLE + 0.5::DOUBLE) / 255.0::DOUBLE) AS total FROM pixels GROUP BY session, frame_id",
+)
+def _(spark, sf):
+    px = P.to_8bit(fx.pixels(spark, sf)).withColumn("v", F.col("u8").cast("double"))
+    f = P.collect_frames(px.drop("u8"), fx.frames(spark, sf))
+    hexed = F.array_join(F.transform("data", lambda v: F.lpad(F.hex(v.cast("long")), 2, "0")), "")
+    good, _ = raw.decode_raw(f.select(*FRAME, "width", "height", "channels", F.unhex(hexed).alias("content"), F.lit("Rgb8").alias("pixel_format")))
+    return good.select(*FRAME, F.size("data").alias("n"), F.aggregate("data", F.lit(0.0), lambda a, b: a + b).alias("total"))
+
+
+@query(
+    "raw_bytes_rejects",
+    "session:i frame_id:i reason:s",
+    fx.F1[:1],
+    "SELECT session, frame_id, 'Invalid data size: expected 128 bytes, got 64' AS reason FROM vectors",
+)
+def _(spark, sf):
+    f = fx.frames(spark, sf).select(*FRAME, "width", "height", "channels", F.unhex(F.repeat(F.lit("7f"), 64)).alias("content"), F.lit("Bayer16Be").alias("pixel_format"))
+    return raw.decode_raw(f)[1]
+
+
+@query(
+    "live_stack_batches",
+    "session:i ch:i y:i x:i w:d mean:d m2:d n:i coverage:d",
+    [*fx.F4, BALANCED, WSTACK],
+    "SELECT s.*, n / frames::DOUBLE AS coverage FROM wstack s JOIN (SELECT session, count(*) AS frames FROM weights GROUP BY session) USING (session)",
+)
+def _(spark, sf):
+    path, source = scratch(spark), scratch(spark)
+    q = fx.frame_quality(spark, sf)
+    rows = fx.pixels(spark, sf).join(q, FRAME)
+    # three files in frame order, one per micro-batch
+    third = F.when(F.col("frame_number") <= 15, 0).when(F.col("frame_number") <= 30, 1).otherwise(2)
+    for part in range(3):
+        rows.filter(third == part).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    live.live_stack(stream, path, scratch(spark)).awaitTermination()
+    return live.current_stack(spark, path)
+
+
+@query("deep_sky_stack", "session:i ch:i y:i x:i mean:d n:i coverage:d")
+def _(spark, sf):
+    px, fr = fx.mosaic(spark, sf)
+    return deep_sky.stack_sessions(px, fr, DeepSky(detection=DET)).stack
+
+
+@query("deep_sky_verdicts", "session:i frame_id:i stars:i residual:d verdict:s reason:s")
+def _(spark, sf):
+    px, fr = fx.mosaic(spark, sf)
+    return deep_sky.stack_sessions(px, fr, DeepSky(detection=DET)).verdicts
+
+
+@query("lucky_stack_end_to_end", "session:i ch:i y:i x:i v:d")
+def _(spark, sf):
+    config = Lucky(selection=0.25, min_frames=5, search_radius=2, roi=(2, 2, 4, 4), auto_tracking=False)
+    return planetary.stack_lucky(fx.pixels(spark, sf), fx.frames(spark, sf), config).stack
+
+
+@query("lucky_stack_wide_search", "session:i frame_id:i quality:d dx:d dy:d ncc:d method:s")
+def _(spark, sf):
+    px, fr = fx.mosaic(spark, sf, 3)
+    return planetary.stack_lucky(px, fr, Lucky(min_frames=1, search_radius=10, roi=(8, 8, 24, 24))).scores
+
+
+@query("comet_stack", "session:i ch:i y:i x:i mean:d n:i")
+def _(spark, sf):
+    fr = fx.frames(spark, sf)
+    rois = fr.select(*FRAME, *[F.lit(v).alias(n) for n, v in (("roi_x", 1), ("roi_y", 1), ("roi_w", 6), ("roi_h", 6))])
+    return planetary.stack_comet(fx.pixels(spark, sf), fr, rois, Rejection("sigma_clip", 2.0, 2.0))[0]
+
+
+@query("render_frames", PX)
+def _(spark, sf):
+    px, fr = fx.mosaic(spark, sf, 3)
+    return render.render(px, fr, Render(background=BG))[0]
+
+
+@query(
+    "render_status",
+    "session:i frame_id:i background_subtracted:b auto_stretched:b saturation_boosted:b contrast_applied:b",
+    fx.F2,
+    "SELECT DISTINCT session, frame_id, true AS background_subtracted, true AS auto_stretched, false AS saturation_boosted, false AS contrast_applied FROM mosaic",
+)
+def _(spark, sf):
+    px, fr = fx.mosaic(spark, sf)
+    return render.render(px, fr, Render(background=BG))[1]
+
+
+@query(
+    "background_custom_model",
+    PX,
+    fx.F3M,
+    "SELECT session, frame_id, ch, y, x, greatest(v - 0.8::DOUBLE * 0.25::DOUBLE, 0) AS v FROM mosaic",
+)
+def _(spark, sf):
+    from dataclasses import replace
+
+    px, fr = fx.mosaic(spark, sf, 3)
+    flat = lambda p, f, c: f.select(
+        *FRAME, "width", "height", "channels", F.array_repeat(F.array_repeat(F.lit(0.25), c.rows * c.cols), 3).alias("grids"), F.lit(30).alias("valid_nodes")
+    )
+    cfg = replace(BG, gradient_only=False)
+    return B.subtract(px, B.estimate(px, fr, cfg, custom=flat), cfg)
+
+
+@query(
+    "coverage_after_crop",
+    "session:i ch:i y:i x:i n:i coverage:d",
+    fx.F1,
+    "SELECT p.session, ch, y, x, count(*) AS n, count(*) / any_value(f)::DOUBLE AS coverage FROM pixels p JOIN (SELECT session, count(*) AS f FROM vectors GROUP BY session) USING (session) WHERE y < 2 + frame_id % 7 GROUP BY p.session, ch, y, x HAVING count(*) > 0",
+)
+def _(spark, sf):
+    px = fx.pixels(spark, sf).filter(F.col("y") < 2 + F.col("frame_id") % 7)
+    counts = fx.frames(spark, sf).groupBy("session").agg(F.count("*").alias("frames"))
+    return K.coverage(K.stack(px, border=None), counts)
