@@ -6,9 +6,14 @@ from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
+PIXEL_TYPE = StructType(
+    [StructField(c, IntegerType()) for c in ("ch", "y", "x")] + [StructField("v", DoubleType())]
+)
 
-@udtf(returnType="ch int, y int, x int, v double")
+
+@udtf(returnType=PIXEL_TYPE)
 class FramePixels:
     """frame_pixels(data, width, channels): one row per sample."""
 

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..config import DETECTION, Detection
 from ..functions.columns import mad_sigma, upper_median
@@ -40,7 +41,7 @@ def local_maxima(luminance: DataFrame, frames: DataFrame, levels: DataFrame, con
     return own.select(*FRAME, "_m.y", "_m.x", "_m.v").join(dims, FRAME).filter(inside).select(*SITE, F.col("v").alias("value"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def half_max_width(side: pd.Series, slots: pd.Series, values: pd.Series, sky: pd.Series, peak: pd.Series) -> pd.Series:
     """FWHM from the connected area over half maximum around the peak of each window.
 

@@ -6,12 +6,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from ..model import FRAME
 from ..operators.pixels import explode_frames
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def _values(data: pd.Series, bands: pd.Series) -> pd.Series:
     """Interleaved values in red-green-blue order (or grey); a fourth band is alpha and goes."""
     out = []

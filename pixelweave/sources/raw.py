@@ -6,12 +6,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from ..config import PIXEL_FORMATS
 from ..model import FRAME
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def _decode(content: pd.Series, pixel_format: pd.Series) -> pd.Series:
     out = []
     for raw, fmt in zip(content, pixel_format):
