@@ -29,10 +29,12 @@ def master_flat(pixels: DataFrame, keys: list[str] | None = None) -> DataFrame:
     keys = PIXEL if keys is None else keys
     group = [k for k in keys if k not in ("ch", "y", "x")]
     mean = pixels.groupBy(*keys).agg(F.avg("v").alias("_m"))
-    if not group:  # one master for everything: its level is a single row
-        mean, group = mean.withColumn("_one", F.lit(1)), ["_one"]
+    flat = F.greatest(F.col("_m") / F.col("_level"), F.lit(FLAT_FLOOR)).alias("flat")
+    if not group:  # one master for everything: its level is one number, a scalar subquery
+        level = mean.agg(F.avg("_m")).scalar()
+        return mean.withColumn("_level", level).filter(F.col("_level") >= FLAT_FLOOR).select(*keys, flat)
     level = mean.groupBy(*group).agg(F.avg("_m").alias("_level")).filter(F.col("_level") >= FLAT_FLOOR)
-    return mean.join(level, group).select(*keys, F.greatest(F.col("_m") / F.col("_level"), F.lit(FLAT_FLOOR)).alias("flat"))
+    return mean.join(level, group).select(*keys, flat)
 
 
 def _keys_of(master: DataFrame, value: str) -> list[str]:
