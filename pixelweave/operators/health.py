@@ -195,14 +195,21 @@ def _window(ts: str, width: str) -> Column:
 def stage_latency(samples: DataFrame, width: str = "1 hour", accuracy: int | None = None) -> DataFrame:
     """Count, mean, median, 95th and 99th percentile and maximum per stage and window.
 
-    ``accuracy`` turns to approximate percentiles for windows too large for exact ones.
+    Exact percentiles come from distributed ranks; ``accuracy`` turns to mergeable
+    approximate ones, which streams need.
     """
-    def p(q: float) -> Column:
-        return F.percentile_approx("value", q, accuracy) if accuracy else F.percentile("value", F.lit(q))
-
-    return samples.groupBy("stage", _window("ts", width).alias("_w")).agg(
-        F.count("*").alias("samples"), F.avg("value").alias("mean"), p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"), F.max("value").alias("worst")
-    ).select("stage", F.unix_micros(F.col("_w.start")).alias("window_us"), "samples", "mean", "p50", "p95", "p99", "worst")
+    points = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    names = ["stage", "window_us", "samples", "mean", "p50", "p95", "p99", "worst"]
+    plain = [F.count("*").alias("samples"), F.avg("value").alias("mean"), F.max("value").alias("worst")]
+    if accuracy:
+        g = samples.groupBy("stage", _window("ts", width).alias("_w")).agg(
+            *plain, *[F.percentile_approx("value", q, accuracy).alias(n) for n, q in points.items()]
+        )
+        return g.withColumn("window_us", F.unix_micros(F.col("_w.start"))).select(*names)
+    s = samples.withColumn("window_us", F.unix_micros(_window("ts", width)["start"]))
+    keys = ["stage", "window_us"]
+    ranks = scan.exact_percentiles(s, keys, "value", points)
+    return s.groupBy(*keys).agg(*plain).join(ranks, keys).select(*names)
 
 
 def frame_rates(events: DataFrame, width: str = "1 hour", seconds: float = 3600.0) -> DataFrame:

@@ -310,13 +310,12 @@ def stack_percentile(pixels: DataFrame, p: float = 0.5) -> DataFrame:
 
     Ranks come from a sort that can spill; no list of samples is built.
     """
-    positive = pixels.filter("v > 0")
-    up = Window.partitionBy(*PIXEL).orderBy("v")
-    n = F.count("*").over(Window.partitionBy(*PIXEL))
-    t = positive.select(*PIXEL, "v", (F.row_number().over(up) - 1).alias("_r"), n.alias("_n"))
-    picked = t.filter(F.col("_r") == F.round((F.col("_n") - 1) * F.lit(float(p))).cast("int")).select(*PIXEL, "v")
-    grid = pixels.select(*PIXEL).distinct()
-    return grid.join(picked, PIXEL, "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
+    positive = F.col("v") > 0
+    up = Window.partitionBy(*PIXEL).orderBy(~positive, "v")
+    n = F.sum(positive.cast("int")).over(Window.partitionBy(*PIXEL))
+    t = pixels.select(*PIXEL, "v", (F.row_number().over(up) - 1).alias("_r"), n.alias("_n"))
+    wanted = F.greatest(F.round((F.col("_n") - 1) * F.lit(float(p))).cast("int"), F.lit(0))
+    return t.filter(F.col("_r") == wanted).select(*PIXEL, F.when(F.col("_n") > 0, F.col("v")).otherwise(0.0).alias("v"))
 
 
 def quality_mean_weights(selected: DataFrame) -> DataFrame:

@@ -19,13 +19,13 @@ DARK = 1e-8
 # ---- channels side by side ---------------------------------------------------------
 
 
-def to_rgb(pixels: DataFrame) -> DataFrame:
-    """One row per site with r, g, b; colour frames only.
+def to_rgb(pixels: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per site with r, g, b; colour frames only. ``carry`` keeps per-frame columns.
 
     The three rows of a site come from one frame, so the map side already merges them.
     """
     pick = lambda c: F.max(F.when(F.col("ch") == c, F.col("v")))
-    return pixels.groupBy(*SITE).agg(pick(0).alias("r"), pick(1).alias("g"), pick(2).alias("b"))
+    return pixels.groupBy(*SITE).agg(pick(0).alias("r"), pick(1).alias("g"), pick(2).alias("b"), *[F.first(c).alias(c) for c in carry])
 
 
 def from_rgb(rgb: DataFrame) -> DataFrame:
@@ -151,7 +151,8 @@ def stretch_frames(
     j = pixels.join(s, FRAME)
     k = F.col("strength")
     mono = j.filter("channels = 1").withColumn("v", stretch_mono(F.col("v"), tone, k)).select(*FRAME_PIXEL, "v")
-    rgb = to_rgb(j.filter("channels = 3").select(*FRAME_PIXEL, "v")).join(s, FRAME)
+    # the strength rides along in the aggregation, so the sites need no second join
+    rgb = to_rgb(j.filter("channels = 3"), ("strength",))
     curve = _tone_curve(tone, k)
     full = (lambda lum: s_curve(curve(lum), contrast)) if contrast else curve
     colour = from_rgb(map_rgb(rgb, keep_colour(full, color_intensity)).select(*SITE, "r", "g", "b"))
