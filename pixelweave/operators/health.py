@@ -260,7 +260,7 @@ def activity_summary(events: DataFrame) -> DataFrame:
         F.count("*").alias("events"),
         F.sum((F.col("kind") == "captured").cast("long")).alias("captured"),
         F.sum((F.col("kind") == "rejected").cast("long")).alias("rejected"),
-        F.avg("value").alias("mean_value"),
+        F.sum("value").alias("total_value"),
         F.grouping_id().alias("level"),
     )
 

@@ -112,13 +112,16 @@ def background_samples(pixels: DataFrame, frames: DataFrame) -> DataFrame:
 
 
 def background_mode(pixels: DataFrame, frames: DataFrame) -> DataFrame:
-    """Background mode of the luminance: 4096 bins, smoothed over five, dark third only.
+    return mode_of_samples(background_samples(pixels, frames))
+
+
+def mode_of_samples(lum: DataFrame) -> DataFrame:
+    """Background mode of luminance samples: 4096 bins, smoothed over five, dark third only.
 
     Each occupied bin adds its count to the five smoothed bins it reaches, so empty
     stretches of the histogram never become rows.
     """
     top = MODE_BINS - 1
-    lum = background_samples(pixels, frames)
     hist = lum.groupBy(*FRAME, clamp(F.floor(F.col("v") * top), 0, top).cast("int").alias("bin")).agg(
         F.count("*").alias("n")
     )

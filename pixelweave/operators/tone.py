@@ -11,6 +11,7 @@ from ..config import Contrast, Saturation, Stats, Stretch
 from ..functions.columns import asinh_stretch, clamp, clamp01, dither_offset, luma, mtf, s_curve, saturation_gain, solve_midtone
 from ..functions.solve import newton_factor
 from ..model import FRAME, FRAME_PIXEL, SITE
+from ..session import settle
 from . import stats as S
 
 DARK = 1e-8
@@ -225,8 +226,10 @@ def stretch_parameters(pixels: DataFrame, frames: DataFrame, config: Stretch = S
     """Black point, effective median, target and strength per frame."""
     stats = S.image_stats(pixels, frames, Stats()) if stats is None else stats
     sigma = stats.groupBy(*FRAME).agg(F.avg("sigma").alias("sigma"))
-    levels = S.background_mode(pixels, frames).join(sigma, FRAME)
-    share = S.signal_fraction(S.background_samples(pixels, frames), levels)
+    # at most about 50 000 samples per frame, read three times below
+    samples = settle(S.background_samples(pixels, frames))
+    levels = S.mode_of_samples(samples).join(sigma, FRAME)
+    share = S.signal_fraction(samples, levels)
     p = levels.join(share, FRAME)
     k, frac = config.black_point_sigma, F.col("signal_fraction")
     adaptive = F.when(frac > 0.4, max(k * 0.6, 1.5)).when(frac > 0.2, k * 0.8).otherwise(k)

@@ -186,9 +186,9 @@ def _(spark, sf):
 
 @query(
     "activity_summary",
-    "camera:i client:i hour:i events:i captured:i rejected:i mean_value:d level:i",
+    "camera:i client:i hour:i events:i captured:i rejected:i total_value:d level:i",
     [*fx.F5, f"h AS (SELECT *, t_us // {HOUR} AS hour FROM cam)"],
-    "SELECT camera, client, hour, count(*) AS events, count(*) FILTER (kind = 'captured') AS captured, count(*) FILTER (kind = 'rejected') AS rejected, avg(value) AS mean_value, grouping_id(camera, client, hour) AS level FROM h GROUP BY ROLLUP (camera, client, hour)",
+    "SELECT camera, client, hour, count(*) AS events, count(*) FILTER (kind = 'captured') AS captured, count(*) FILTER (kind = 'rejected') AS rejected, sum(value) AS total_value, grouping_id(camera, client, hour) AS level FROM h GROUP BY ROLLUP (camera, client, hour)",
 )
 def _(spark, sf):
     return H.activity_summary(fx.camera_events(spark, sf))
