@@ -218,12 +218,12 @@ def _(spark, sf):
 
 
 @query(
-    "coverage_after_crop",
+    "coverage_of_bright_samples",
     "session:i ch:i y:i x:i n:i coverage:d",
     fx.F1,
-    "SELECT p.session, ch, y, x, count(*) AS n, count(*) / any_value(f)::DOUBLE AS coverage FROM pixels p JOIN (SELECT session, count(*) AS f FROM vectors GROUP BY session) USING (session) WHERE y < 2 + frame_id % 7 GROUP BY p.session, ch, y, x HAVING count(*) > 0",
+    "SELECT p.session, ch, y, x, count(*) AS n, count(*) / any_value(f)::DOUBLE AS coverage FROM pixels p JOIN (SELECT session, count(*) AS f FROM vectors GROUP BY session) USING (session) WHERE v > 0.5 GROUP BY p.session, ch, y, x HAVING count(*) > 0",
 )
 def _(spark, sf):
-    px = fx.pixels(spark, sf).filter(F.col("y") < 2 + F.col("frame_id") % 7)
+    px = fx.pixels(spark, sf).filter("v > 0.5")
     counts = fx.frames(spark, sf).groupBy("session").agg(F.count("*").alias("frames"))
     return K.coverage(K.stack(px, border=None), counts)
