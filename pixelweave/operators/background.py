@@ -51,16 +51,17 @@ def node_grid(frames: DataFrame, config: Background = Background()) -> DataFrame
     )
 
 
-def _covering(pos: str, size: str, count: int) -> Column:
-    """Indices of the nodes along one axis whose box holds a pixel."""
+def _candidates(pos: str, size: str, count: int) -> Column:
+    """Indices of the few nodes along one axis whose box may hold a pixel."""
     half = F.floor(F.col("_box") / 2)
     step = (count - 1) / (F.col(size) - 1)
     first = F.greatest(F.floor((F.col(pos) - half) * step), F.lit(0)).cast("int")
     last = F.least(F.ceil((F.col(pos) + half + 1) * step), F.lit(count - 1)).cast("int")
-    return F.filter(
-        F.sequence(first, F.greatest(last, first)),
-        lambda i: F.abs(node_position(i, F.col(size), count) - F.col(pos)) <= half,
-    )
+    return F.sequence(first, F.greatest(last, first))
+
+
+def _covers(node: str, pos: str, size: str, count: int) -> Column:
+    return F.abs(node_position(F.col(node), F.col(size), count) - F.col(pos)) <= F.floor(F.col("_box") / 2)
 
 
 def node_boxes(pixels: DataFrame, frames: DataFrame, config: Background = Background()) -> DataFrame:
@@ -71,11 +72,10 @@ def node_boxes(pixels: DataFrame, frames: DataFrame, config: Background = Backgr
     """
     dims = usable(frames, config).select(*FRAME, "width", "height").withColumn("_box", box_size(F.col("width")))
     j = pixels.join(dims, FRAME)
-    c = j.withColumn("_cols", _covering("x", "width", config.cols)).withColumn("_rows", _covering("y", "height", config.rows))
-    c = c.filter((F.size("_cols") > 0) & (F.size("_rows") > 0))
-    return c.select(*FRAME, "ch", "v", "_cols", F.explode("_rows").alias("row")).select(
-        *FRAME, "ch", "row", F.explode("_cols").alias("col"), "v"
-    )
+    # most pixels of a real sensor lie outside every box and go with the first filter
+    r = j.withColumn("row", F.explode(_candidates("y", "height", config.rows))).filter(_covers("row", "y", "height", config.rows))
+    c = r.withColumn("col", F.explode(_candidates("x", "width", config.cols))).filter(_covers("col", "x", "width", config.cols))
+    return c.select(*FRAME, "ch", "row", "col", "v")
 
 
 def node_values(pixels: DataFrame, frames: DataFrame, config: Background = Background()) -> DataFrame:
