@@ -28,6 +28,7 @@ MAX_REPEAT_SHARE = 0.5
 MAX_SYMBOLS_PER_WORD = 0.1
 MAX_DUP_LINE_SHARE = 0.3
 MEAN_WORD_LENGTH = (2.0, 15.0)
+MAX_SHOUTS_PER_WORD = 0.2
 MIN_ALPHA_WORD_SHARE = 0.7
 MAX_ELLIPSIS_SHARE = 0.3
 
@@ -91,6 +92,7 @@ def rules() -> dict[str, Column]:
         "symbols": F.col("n_symbols") > MAX_SYMBOLS_PER_WORD * F.col("n_words"),
         "dup_lines": F.col("n_dup_lines") > MAX_DUP_LINE_SHARE * F.col("n_lines"),
         "word_length": ~mean.between(*MEAN_WORD_LENGTH),
+        "shouting": F.regexp_count("text", F.lit("!")) > MAX_SHOUTS_PER_WORD * F.col("n_words"),
         "no_letters": F.size(F.filter("words", lambda w: w.rlike(r"\p{L}"))) < MIN_ALPHA_WORD_SHARE * F.col("n_words"),
         "ellipsis": F.size(F.filter("lines", lambda x: x.rlike(r"(\.\.\.|…)\s*$"))) > MAX_ELLIPSIS_SHARE * F.col("n_lines"),
         "filler": F.col("text").rlike(r"(?i)lorem ipsum|javascript is (?:disabled|required)"),

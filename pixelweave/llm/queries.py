@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import automata, cascade, mixing, simhash, suffixes, warc
+from . import automata, cascade, lattice, merkle, mixing, pieces, simhash, sites, suffixes, warc
 from .common import table
 from .places import fresh_folder
 
@@ -34,6 +34,11 @@ SELECT page_id, payload_bytes,
 FROM bits"""
 
 
+@query("op1_lm_scoring")
+def op1(spark, sf):
+    return lattice.scores(table(spark, sf, "documents"))
+
+
 @query("op2_suffix_array_dedup")
 def op2(spark, sf):
     return suffixes.removals(table(spark, sf, "documents"))
@@ -56,6 +61,11 @@ def op5(spark, sf):
     return mixing.mix_documents(table(spark, sf, "documents"))
 
 
+@query("op6_quality_classifier")
+def op6(spark, sf):
+    return sites.verdicts(table(spark, sf, "documents"), table(spark, sf, "labels")).select("doc_id", "evidence", "host_posterior", "path_posterior", "p_bad", "kept")
+
+
 @query("op7_simhash_near_dedup")
 def op7(spark, sf):
     return simhash.near_duplicates(table(spark, sf, "documents"))
@@ -64,3 +74,13 @@ def op7(spark, sf):
 @query("op8_quality_rules")
 def op8(spark, sf):
     return cascade.judge(table(spark, sf, "documents"))
+
+
+@query("op9_document_fingerprints")
+def op9(spark, sf):
+    return merkle.with_next(table(spark, sf, "documents"))
+
+
+@query("op10_sentencepiece")
+def op10(spark, sf):
+    return pieces.digests(table(spark, sf, "documents"))
