@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import settle
-from .common import WORD
+from .common import WORD, packed
 
 BLOCK = 8
 SHARD_TOKENS = 4_000_000
@@ -29,6 +29,7 @@ def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
         docs[id_col].cast("long").alias("doc_id"),
         docs[source_col].cast("string").alias("source"),
         F.coalesce(F.regexp_count(docs[text_col], F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.xxhash64(docs[id_col].cast("long").isNull(), F.coalesce(docs[text_col], F.lit("")), docs[source_col]).alias("u2"),
     )
 
 
@@ -87,7 +88,7 @@ def _taken_before(x: Column, blocks: Column, chosen: Column, start: Column, bloc
 
 
 def mix(sized: DataFrame, goal: DataFrame, block: int = BLOCK, shard_tokens: int = SHARD_TOKENS, max_repeat: int = MAX_REPEAT, seed: int = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken for each row of `sized`, given the rows of `targets`."""
+    """doc_id, u2, source, size, source_size, target, taken for each row of `sized`, given the rows of `targets`."""
     group = goal.withColumn("all", F.lit(1)).withColumn("seats", F.round(F.sum("target").over(Window.partitionBy()) / block).cast("long"))
     quota = apportion(group, ["all"], "key", "target", "seats").select("key", F.col("won").alias("source_blocks"))
     goal = settle(goal.join(quota, "key", "left").withColumn("source_blocks", F.coalesce("source_blocks", F.lit(0))))
@@ -113,10 +114,26 @@ def mix(sized: DataFrame, goal: DataFrame, block: int = BLOCK, shard_tokens: int
     args = (F.col("blocks"), F.col("chosen"), F.col("start"), block)
     extra = F.when(F.col("chosen") > 0, _taken_before(F.col("end"), *args) - _taken_before(F.col("end") - F.col("size"), *args)).otherwise(0)
     taken = F.when(F.col("size") > 0, F.coalesce(F.col("rounds") * F.col("size") + extra, F.lit(0))).otherwise(0)
-    return out.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return out.select("doc_id", "u2", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The whole operator: sizes, targets, quotas and the share of each document."""
     sized = settle(sizes(docs))
     return mix(sized, settle(targets(sized)), **options)
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, **options) -> DataFrame:
+    """The rows of `docs` as often as the mix takes them. A part of a document counts as the whole with a chance of
+    that part, drawn from the row's seeded hash, so the sums keep to the targets and reruns agree. Rows without
+    words are not in the mix."""
+    sized = settle(sizes(docs, id_col, text_col, source_col))
+    taken = mix(sized, settle(targets(sized)), seed=seed, **options)
+    # repeated rows share their words evenly
+    share = taken.groupBy("doc_id", "u2").agg(F.avg("taken").alias("taken"), F.max("size").alias("size")).filter("size > 0")
+    chance = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "u2"), F.col("size"))
+    share = share.select(F.col("doc_id").alias("k"), "u2", F.floor((F.col("taken") + chance) / F.col("size")).cast("int").alias("copies")).filter("copies > 0")
+    r = F.col("row")
+    rows = packed(docs).withColumns({"k1": r[id_col].cast("long"), "k2": F.xxhash64(r[id_col].cast("long").isNull(), F.coalesce(r[text_col], F.lit("")), r[source_col])})
+    chosen = rows.join(share, rows.k1.eqNullSafe(share.k) & (rows.k2 == share.u2))
+    return chosen.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")

@@ -58,7 +58,7 @@ def op4(spark, sf):
 
 @query("op5_source_mix")
 def op5(spark, sf):
-    return mixing.mix_documents(table(spark, sf, "documents"))
+    return mixing.mix_documents(table(spark, sf, "documents")).drop("u2")
 
 
 @query("op6_quality_classifier")
