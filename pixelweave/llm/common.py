@@ -28,3 +28,12 @@ def unit(doc_id: Column, text: Column) -> list[Column]:
 def packed(docs: DataFrame) -> DataFrame:
     """The whole input row as one struct ``row``, so that no column of it can clash with a working column."""
     return docs.select(F.struct(*[docs[f"`{c}`"].alias(c) for c in docs.columns]).alias("row"))
+
+
+# rows up to which a table of sites or sources is broadcast
+SMALL = 100_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """`df`, marked for broadcast where its counted rows are few; beyond that it joins by shuffle."""
+    return F.broadcast(df) if df.count() <= SMALL else df

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import settle
-from .common import WORD, packed
+from .common import WORD, packed, small
 
 BLOCK = 8
 SHARD_TOKENS = 4_000_000
@@ -94,7 +94,7 @@ def mix(sized: DataFrame, goal: DataFrame, block: int = BLOCK, shard_tokens: int
     goal = settle(goal.join(quota, "key", "left").withColumn("source_blocks", F.coalesce("source_blocks", F.lit(0))))
 
     shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_tokens)).cast("long")
-    docs = sized.withColumn("key", _source_key()).join(goal.drop("source"), "key")
+    docs = sized.withColumn("key", _source_key()).join(small(goal.drop("source")), "key")
     docs = docs.withColumn("place", F.xxhash64(F.lit(seed), "doc_id", "size")).withColumn("shard", F.pmod("place", shards))
     per_shard = docs.groupBy("key", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_blocks").alias("seats"))
     won = apportion(per_shard, ["key"], "shard", "shard_size", "seats")

@@ -25,7 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed
+from ..session import settle
+from .common import packed, small
 from .places import stored
 
 LABELLED = 20_000
@@ -189,7 +190,7 @@ def judge(scored: DataFrame, bad: float) -> DataFrame:
     sites = paths.join(hosts.select("host", "host_posterior"), "host").withColumn("path_rate", F.col("bad") / F.col("n"))
     k = _strength(sites, "n", "path_rate", "host_posterior")
     sites = sites.select("host", "path", "host_posterior", ((F.col("bad") + k * F.col("host_posterior")) / (F.col("n") + k)).alias("path_posterior"))
-    joined = scored.join(sites, ["host", "path"])
+    joined = scored.join(small(settle(sites)), ["host", "path"])
     odds = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col("path_posterior")))
     p_bad = 1 / (1 + F.exp(-(F.col("evidence") + F.log(odds / (1 - odds)))))
     return joined.withColumn("p_bad", p_bad).withColumn("kept", F.col("p_bad") <= 0.5)
