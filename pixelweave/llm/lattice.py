@@ -153,11 +153,23 @@ def _words(batch_text: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
     return pc.filter(rows, real).to_numpy(zero_copy_only=False).astype(np.int64), pc.filter(words, real).dictionary_encode()
 
 
+def _slices(batches, most: int):
+    """The batches in pieces of at most `most` bytes of text (or one row), so that a task's memory is bounded."""
+    for batch in batches:
+        size = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False))
+        begin = 0
+        while begin < batch.num_rows:
+            done = size[begin - 1] if begin else 0
+            end = max(begin + 1, int(np.searchsorted(size, done + most, side="right")))
+            yield batch.slice(begin, end - begin)
+            begin = end
+
+
 def word_counts(docs: DataFrame, classes: int) -> DataFrame:
     """word, n (all documents), c0, c1, ... (training documents of each class), added up per batch before the exchange."""
 
     def count(batches):
-        for batch in batches:
+        for batch in _slices(batches, 16 << 20):
             rows, words = _words(batch.column("text"))
             kind = batch.column("kind").to_numpy(zero_copy_only=False)  # -1: held out
             codes = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -273,7 +285,7 @@ def scores(docs: DataFrame, model: str = MODEL, iterations: int = ITERATIONS, id
         words, c, g = frequent.value
         words = words.cast(pa.large_string())
         base, known = np.log10(c + 1.0) - below, (c > 0).astype(np.int64)
-        for batch in batches:
+        for batch in _slices(batches, 2 << 20):
             n = batch.num_rows
             rows, own = _words(batch.column("text"))
             k = max(len(own.dictionary), 1)
