@@ -301,12 +301,13 @@ def scores(docs: DataFrame, model: str = MODEL, iterations: int = ITERATIONS, id
             filled = np.array([math.lgamma(URN + x) - math.lgamma(URN) for x in tokens.tolist()])
             uid = batch.column("uid").to_numpy(zero_copy_only=False)
             totals = pa.StructArray.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(tokens, pa.int64()), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), *(pa.array(u - filled) for u in urn)],
+                [batch.column("doc_id"), batch.column("held_out"), pa.array(tokens, pa.int64()), pa.array(sums[0].astype(np.int64)), pa.array(sums[1], pa.float64()), *(pa.array(u - filled, pa.float64()) for u in urn)],
                 ["doc_id", "held_out", "n_tokens", "n_known", "base", *g_names],
             )
+            layout = pa.schema([("uid", pa.int64()), ("word", pa.string()), ("times", pa.int64()), ("doc", totals.type)])
             # the row of the document itself joins no word: a space is in none
-            yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array([f" {u}" for u in uid], pa.string()), pa.array(np.zeros(n, np.int64)), totals], ["uid", "word", "times", "doc"])
-            yield pa.RecordBatch.from_arrays([pa.array(uid[r[~here]]), own.dictionary.take(pa.array(code[~here])).cast(pa.string()), pa.array(times[~here], pa.int64()), pa.nulls(int((~here).sum()), totals.type)], ["uid", "word", "times", "doc"])
+            yield pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), pa.array([f" {u}" for u in uid], pa.string()), pa.array(np.zeros(n, np.int64)), totals], schema=layout)
+            yield pa.RecordBatch.from_arrays([pa.array(uid[r[~here]], pa.int64()), own.dictionary.take(pa.array(code[~here], pa.int64())).cast(pa.string()), pa.array(times[~here], pa.int64()), pa.nulls(int((~here).sum()), totals.type)], schema=layout)
 
     # the number names a row for the sums below; texts are read once, so it is given once
     doc_type = "struct<doc_id:long, held_out:boolean, n_tokens:long, n_known:long, base:double" + "".join(f", {g}:double" for g in g_names) + ">"
