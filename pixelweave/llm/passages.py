@@ -27,7 +27,6 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import settle
 from .places import stored
 from .winnow import anchors
 
@@ -108,7 +107,8 @@ def _anchor_rows(docs: DataFrame, kind: Kind) -> DataFrame:
 
 
 def _contexts(docs: DataFrame, open_rows: DataFrame, kind: Kind) -> DataFrame:
-    """The stretch (bytes) of each open anchor: u1, u2, g, hot, first (its first start), body."""
+    """The stretch (bytes) of each open anchor: u1, u2, g, hot, first (its first start), high (the anchor's place in
+    it) and body."""
     lists = open_rows.groupBy("u1", "u2").agg(F.collect_list(F.struct("g", "p", "hot")).alias("open"))
     joined = keyed(docs.select("doc_id", "text")).drop("doc_id").join(lists, ["u1", "u2"])
 
@@ -120,10 +120,10 @@ def _contexts(docs: DataFrame, open_rows: DataFrame, kind: Kind) -> DataFrame:
                 for x in listed:
                     p = x["p"]
                     a, low, high = p >> 24, p >> 12 & 4095, p & 4095
-                    rows.append((u1, u2, x["g"], x["hot"], a - high, cut(a - high, a - low + kind.size)))
-            yield pd.DataFrame(rows, columns=["u1", "u2", "g", "hot", "first", "body"])
+                    rows.append((u1, u2, x["g"], x["hot"], a - high, high, cut(a - high, a - low + kind.size)))
+            yield pd.DataFrame(rows, columns=["u1", "u2", "g", "hot", "first", "high", "body"])
 
-    return joined.select("u1", "u2", "z", "open").mapInPandas(run, "u1 long, u2 int, g long, hot boolean, first long, body binary")
+    return joined.select("u1", "u2", "z", "open").mapInPandas(run, "u1 long, u2 int, g long, hot boolean, first long, high int, body binary")
 
 
 def _solved(shards: DataFrame, kind: Kind) -> DataFrame:
@@ -153,22 +153,44 @@ def _solved(shards: DataFrame, kind: Kind) -> DataFrame:
 
 
 def _counted(rows: DataFrame, kind: Kind) -> DataFrame:
-    """Repeated starts of the stretches of very frequent grams: one count per window fingerprint."""
+    """Repeated starts of the stretches of very frequent grams, by counts of fingerprints and no gathering.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    The windows of a stretch are taken in blocks by their offset to the anchor. What all windows of a block share is
+    nearly as long as a window; only blocks for which it occurs twice are looked at window by window.
+    """
+    block = max(1, kind.size // 4)
+
+    def digest(codes_cut, a: int, b: int, offset: int) -> bytes:
+        return xxhash.xxh3_128_digest(codes_cut(a, b) + b"|%d" % offset)
+
+    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
+            out = []
+            for u1, u2, first, high, body in zip(batch.u1.tolist(), batch.u2.tolist(), batch["first"].tolist(), batch.high.tolist(), batch.body):
+                codes, cut = kind.codes(bytes(body).decode("utf-8", "surrogateescape"))
+                low = high - (len(codes) - kind.size)
+                for k in range(low // block, high // block + 1):
+                    at = high - k * block
+                    begin, end = max(0, at - block + 1), min(at, len(codes) - kind.size)
+                    out.append((u1, u2, first + begin, cut(begin, end + kind.size), digest(cut, at, at - block + 1 + kind.size, k)))
+            yield pd.DataFrame(out, columns=["u1", "u2", "first", "body", "h"])
+
+    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
             for u1, u2, first, body in zip(batch.u1.tolist(), batch.u2.tolist(), batch["first"].tolist(), batch.body):
                 codes, cut = kind.codes(bytes(body).decode("utf-8", "surrogateescape"))
-                rows.extend((u1, u2, first + i, xxhash.xxh3_128_digest(cut(i, i + kind.size))) for i in range(len(codes) - kind.size + 1))
-                if len(rows) > 100_000:
-                    yield pd.DataFrame(rows, columns=["u1", "u2", "b", "h"])
-                    rows = []
-            yield pd.DataFrame(rows, columns=["u1", "u2", "b", "h"])
+                out.extend((u1, u2, first + i, xxhash.xxh3_128_digest(cut(i, i + kind.size))) for i in range(len(codes) - kind.size + 1))
+            yield pd.DataFrame(out, columns=["u1", "u2", "b", "h"])
+
+    def twice(df: DataFrame) -> DataFrame:
+        # written, so that the join deals both sides anew and can split a frequent key
+        repeated = stored(df.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"))
+        return df.join(repeated, "h").drop("h")
 
-    windows = rows.select("u1", "u2", "first", "body").mapInPandas(run, "u1 long, u2 int, b long, h binary")
-    twice = windows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
-    return windows.join(twice, "h").select("u1", "u2", "b", (F.col("b") + kind.size).alias("e"))
+    cores = rows.select("u1", "u2", "first", "high", "body").mapInPandas(blocks, "u1 long, u2 int, first long, body binary, h binary")
+    single = twice(cores).mapInPandas(windows, "u1 long, u2 int, b long, h binary")
+    return twice(single).select("u1", "u2", "b", (F.col("b") + kind.size).alias("e"))
 
 
 def spans(docs: DataFrame, kind: Kind) -> DataFrame:
@@ -177,9 +199,10 @@ def spans(docs: DataFrame, kind: Kind) -> DataFrame:
     `docs` has doc_id and text (not null). A row's list is bounded by its own length.
     """
     rows = _anchor_rows(docs, kind)
-    shared = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("g")
+    # tables are written so that the joins deal both sides anew and can split a frequent key
+    shared = stored(rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("g"))
     kept = stored(rows.join(shared, "g"))
-    same = settle(kept.groupBy("g", "w").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("u1", "u2", "p")).alias("one")))
+    same = stored(kept.groupBy("g", "w").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("u1", "u2", "p")).alias("one")))
     # grams with a stretch of its own; the count of kinds bounds their shard
     mixed = same.groupBy("g").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).filter("least = 1").select("g", (F.col("kinds") > kind.shard_rows).alias("hot"))
     again = same.filter("n > 1").select("g", "w")
