@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..session import settle
 from .common import texts
+from .passages import squeezed, unpack
 from .places import stored
 
 PIECE = re.compile(r"[^.,;:!?\n]{1,64}[.,;:!?]*|[.,;:!?]+")
@@ -116,7 +117,7 @@ def with_next(docs: DataFrame, **columns: str) -> DataFrame:
     its first and last row; only those rows, two per partition, are joined across partitions.
     """
     t = texts(docs, **columns).withColumn("h", F.xxhash64("text"))
-    lined = t.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").withColumn("part", F.spark_partition_id())
+    lined = squeezed(t).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").withColumn("part", F.spark_partition_id())
 
     def frame(rows: list[tuple], part: int) -> pd.DataFrame:
         out = pd.DataFrame(rows, columns=[*(c.split()[0] for c in OUT.split(", ")), "edge", "text"])
@@ -128,7 +129,8 @@ def with_next(docs: DataFrame, **columns: str) -> DataFrame:
         before, part = None, 0
         for batch in batches:
             rows = []
-            for doc_id, text, part in zip(batch.doc_id, batch.text, batch.part):
+            for doc_id, z, part in zip(batch.doc_id, batch.z, batch.part):
+                text = unpack(z)
                 doc_id = None if pd.isna(doc_id) else int(doc_id)
                 tree = fingerprint(text)
                 if before is None:
@@ -144,7 +146,7 @@ def with_next(docs: DataFrame, **columns: str) -> DataFrame:
             yield frame([(before[0], None, None, None, None, None, None, "last", before[1])], part)
 
     names = [c.split()[0] for c in OUT.split(", ")]
-    done = stored(lined.select("doc_id", "text", "part").mapInPandas(run, f"{OUT}, edge string, text string, part int"))
+    done = stored(lined.select("doc_id", "z", "part").mapInPandas(run, f"{OUT}, edge string, text string, part int"))
     firsts = done.filter("edge = 'first'").select("part", F.col("text").alias("following"))
     # partition numbers only; one row per partition
     order = Window.orderBy("part")

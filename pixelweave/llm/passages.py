@@ -46,10 +46,8 @@ class Kind:
     shard_rows: int
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """u1, u2 and the text as compressed bytes, from doc_id and text; other columns stay."""
-    short = F.xxhash64(F.col("doc_id").isNull(), "text")
-    rows = docs.withColumns({"u1": F.coalesce("doc_id", F.xxhash64("text")), "u2": short.bitwiseAND(0x7FFFFFFF).cast("int")})
+def squeezed(rows: DataFrame) -> DataFrame:
+    """The rows with the column text as compressed bytes z, so that an exchange writes less."""
     rest = [f.name for f in rows.schema if f.name != "text"]
     schema = ", ".join([*(f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in rest), "z binary"])
 
@@ -64,6 +62,12 @@ def keyed(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(pack, schema)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """u1, u2 and the text as compressed bytes, from doc_id and text; other columns stay."""
+    short = F.xxhash64(F.col("doc_id").isNull(), "text")
+    return squeezed(docs.withColumns({"u1": F.coalesce("doc_id", F.xxhash64("text")), "u2": short.bitwiseAND(0x7FFFFFFF).cast("int")}))
+
+
 def unpack(z: bytes) -> str:
     return zstandard.ZstdDecompressor().decompress(z).decode()
 
