@@ -231,11 +231,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, limit: int = LIMIT,
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 5, limit: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = 5, limit: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with one document of each component: that of the smallest id, and of repeated rows the first.
 
-    Five-word fingerprints of texts that share 0.9 of their shingles differ in about 5 bits, at 0.8 in about 9; the
-    tree prunes nothing at 9, so the limit is 5 and the least similar part of the copies above 0.8 stays.
+    Five-word fingerprints of texts that share 0.8 of their shingles differ in about 9 bits, near copies in 3 to 5; the
+    tree prunes hardly anything beyond 3, so copies that differ in more bits stay. The limit is a parameter.
     """
     prints = settle(fingerprints(docs, shingle, id_col=id_col, text_col=text_col))
     named = classes(prints, limit)
