@@ -11,9 +11,11 @@ from ..functions.columns import clamp
 HINTS = ("N", "NE", "E", "SE", "S", "SW", "W", "NW")
 
 
-def search(catalogue: DataFrame, text: str, limit: int = 20) -> DataFrame:
-    """Entries whose designation contains the text, shortest designation first."""
+def search(catalogue: DataFrame, text: str, limit: int | None = None) -> DataFrame:
+    """Entries whose designation contains the text; with a limit the first of them, shortest designation first."""
     hit = catalogue.filter(F.contains(F.lower("designation"), F.lit(text.lower())))
+    if limit is None:
+        return hit
     return hit.orderBy(F.length("designation"), "designation", "entry_id").limit(limit)
 
 

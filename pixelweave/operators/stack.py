@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from ..config import Rejection, Weighting
 from ..functions import scan
 from ..model import FRAME, PIXEL
+from .pixels import drop_nan
 
 BORDER_TOLERANCE = 1e-6
 
 
 def drop_border(pixels: DataFrame, border: float | None = 0.0, tolerance: float = BORDER_TOLERANCE) -> DataFrame:
-    """Leave out samples equal to the border value. ``None`` keeps everything."""
+    """Leave out samples that are not a number, and those equal to the border value (``None``: no such value)."""
+    pixels = drop_nan(pixels)
     if border is None:
         return pixels
     return pixels.filter(F.abs(F.col("v") - F.lit(border)) >= tolerance)

@@ -182,3 +182,11 @@ def test_darkened_render_rule():
     d = Render().darkened(1.0)
     assert d.stretch.target_background == pytest.approx(0.10 * 0.6 + 0.01 * 0.4)
     assert d.contrast.strength == pytest.approx(0.8 * 0.6 + 0.4)
+
+
+def test_stack_leaves_out_nan(spark):
+    from pixelweave.operators import stack
+
+    rows = [("s", f, 0, 0, 0, v) for f, v in enumerate((1.0, float("nan"), 3.0))]
+    kept = stack.drop_border(spark.createDataFrame(rows, "session string, frame_id long, ch int, y int, x int, v double"))
+    assert sorted(r.v for r in kept.collect()) == [1.0, 3.0]
