@@ -7,6 +7,12 @@ fingerprints within `limit` of each other always meet in one of the two: shards
 Each shard goes on splitting itself in the same way in memory and compares what is left exactly. Shards return one
 link to a smallest member per local component, never the pairs of a dense group.
 
+At a shingle similarity of 0.8 fingerprints differ in some 15 of 100 bits, where triangle bounds prune nothing. For
+that width (`one_of_each`) documents meet where the least hashes of their shingles agree (``BANDS`` keys of ``ROWS``
+minima each); inside each such part 256-bit fingerprints are compared, and links go to a smallest member as above.
+Parts of more than ``SHARD_SIZE`` are dealt into blocks, anew for each key, so that members of different blocks meet
+under other keys.
+
 Null text: as empty, fingerprint zero, linked like any other. Fewer words than a shingle: the whole sequence is
 the shingle. Repeated rows: each is a document. Null id: never a component's name unless all its ids are null.
 """
@@ -22,27 +28,40 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import settle
-from .common import packed, texts
+from .common import packed, small, texts
 
 SHINGLE = 3
 LIMIT = 2
 SEED = 42
 TREE_SAMPLE = 20_000
 SHARD_SIZE = 4096
-
-
-def fingerprint(text: str, shingle: int = SHINGLE) -> int:
-    """64-bit SimHash: a bit is set where over half of the shingles' hashes have it."""
+# the wide form: bits that may differ (0.75 to 0.8 of the shingles shared), 64-bit words, keys and minima per key
+WIDE_LIMIT = 44
+WORDS = 4
+BANDS, ROWS = 20, 6
+_RANDOM = np.random.default_rng(SEED)
+FACTORS = _RANDOM.integers(0, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+MIX = _RANDOM.integers(0, 2**63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+SALTS = _RANDOM.integers(0, 2**63, WORDS, np.uint64)
+
+
+def shingle_hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of each shingle, repeats included; none without words."""
     words = text.encode().lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     size = min(shingle, len(words))
     joined = b" ".join(words)
     length = np.fromiter(map(len, words), np.int64, len(words))
     end = np.cumsum(length + 1) - 1
     begin = end - length
     one = xxhash.xxh64_intdigest
-    hashes = np.fromiter((one(joined[a:b], SEED) for a, b in zip(begin[: len(words) - size + 1].tolist(), end[size - 1 :].tolist())), np.uint64, len(words) - size + 1)
+    n = len(words) - size + 1
+    return np.fromiter((one(joined[a:b], SEED) for a, b in zip(begin[:n].tolist(), end[size - 1 :].tolist())), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 4096):
         bits = np.unpackbits(hashes[at : at + 4096].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -50,6 +69,25 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str, shingle: int = SHINGLE) -> int:
+    """64-bit SimHash: a bit is set where over half of the shingles' hashes have it."""
+    return majority(shingle_hashes(text, shingle))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(32))
+
+
+def wide_fingerprint(hashes: np.ndarray) -> tuple[list[int], np.ndarray]:
+    """The words of a SimHash of WORDS * 64 bits, and the BANDS keys made of the shingles' least hashes."""
+    words = [majority(_mixed(hashes ^ salt)) for salt in SALTS]
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 256):
+        np.minimum(least, (hashes[at : at + 256, None] * FACTORS).min(axis=0), out=least)
+    return words, _mixed((_mixed(least).reshape(BANDS, ROWS) * MIX).sum(axis=1, dtype=np.uint64))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, **columns: str) -> DataFrame:
     """doc_id, u1, u2 (the row's key) and fp, the fingerprint as a signed long."""
 
@@ -215,15 +253,89 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
-def classes(prints: DataFrame, limit: int = LIMIT, shard_size: int = SHARD_SIZE, sample_size: int = TREE_SAMPLE) -> DataFrame:
+def distinct_prints(prints: DataFrame, *more: str) -> DataFrame:
+    """One row per fp: the first row that has it (`first`), with its columns `more`."""
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "u2", *more)
+    return settle(prints.groupBy("fp").agg(F.min(key).alias("first")))
+
+
+def named_classes(distinct: DataFrame, edges: DataFrame) -> DataFrame:
     """fp, component_id (smallest doc_id) and the key of the row that stands for the component (keep_*)."""
-    distinct = settle(prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("u2").alias("u2"))).alias("first")))
-    roots = components(links(distinct, limit, shard_size, sample_size))
-    named = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    best = named.groupBy("root").agg(F.min("first").alias("best"))
+    named = distinct.join(components(edges), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    best = named.groupBy("root").agg(F.min(F.struct("first.none", "first.id", "first.u2")).alias("best"))
     return named.join(best, "root").select("fp", F.col("best.id").alias("component_id"), F.col("best.u2").alias("keep_u2"))
 
 
+def classes(prints: DataFrame, limit: int = LIMIT, shard_size: int = SHARD_SIZE, sample_size: int = TREE_SAMPLE) -> DataFrame:
+    """The classes of 64-bit fingerprints that differ in at most `limit` bits, by the vantage-point tree."""
+    distinct = distinct_prints(prints)
+    return named_classes(distinct, links(distinct, limit, shard_size, sample_size))
+
+
+def wide_fingerprints(docs: DataFrame, shingle: int, **columns: str) -> DataFrame:
+    """doc_id, u2, fp (the name of the wide fingerprint), its words and the keys."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [wide_fingerprint(shingle_hashes(t, shingle)) for t in batch.text]
+            words = np.array([w for w, _ in found], np.uint64).reshape(-1, WORDS)
+            fp = np.array([xxhash.xxh64_intdigest(w.tobytes(), SEED) for w in words], np.uint64).view(np.int64)
+            yield pd.DataFrame({"doc_id": batch.doc_id.astype("Int64"), "u2": batch.u2, "fp": fp, "words": list(words.view(np.int64)), "keys": [k.view(np.int64) for _, k in found]})
+
+    t = texts(docs, **columns).withColumn("u2", F.xxhash64(F.col("doc_id").isNull(), "text"))
+    return t.mapInPandas(run, "doc_id long, u2 long, fp long, words array<long>, keys array<long>")
+
+
+def part_links(words: np.ndarray, limit: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(place, places of its component beyond it), each component once; memory stays linear."""
+    rest = np.arange(len(words))
+    while len(rest) > 1:
+        start, rest = rest[0], rest[1:]
+        front, members = [start], []
+        while front and len(rest):
+            near = np.bitwise_count(words[rest] ^ words[front.pop()]).sum(axis=1, dtype=np.int64) <= limit
+            members.append(rest[near])
+            front.extend(rest[near].tolist())
+            rest = rest[~near]
+        if any(map(len, members)):
+            yield start, np.concatenate(members)
+
+
+def wide_links(distinct: DataFrame, limit: int = WIDE_LIMIT, shard_size: int = SHARD_SIZE) -> DataFrame:
+    """(fp, root) links between wide fingerprints that share a key and differ in at most `limit` bits."""
+    names = [f"w{i}" for i in range(WORDS)]
+    keyed = distinct.select("fp", *[F.col("first.words")[i].alias(w) for i, w in enumerate(names)], F.explode("first.keys").alias("key"))
+    crowded = settle(keyed.groupBy("key").count().filter(F.col("count") > shard_size))
+    block = F.when(F.col("count").isNotNull(), F.pmod(F.xxhash64("fp", "key"), F.ceil(F.col("count") / shard_size))).otherwise(0)
+    dealt = keyed.join(small(crowded), "key", "left").withColumn("block", block).drop("count")
+
+    def close(part: pd.DataFrame) -> pd.DataFrame:
+        first = np.flatnonzero(np.r_[True, (part.key.to_numpy()[1:] != part.key.to_numpy()[:-1]) | (part.block.to_numpy()[1:] != part.block.to_numpy()[:-1])])
+        last = np.r_[first[1:], len(part)]
+        fps, words = part.fp.to_numpy(), part[names].to_numpy().view(np.uint64)
+        pairs = [(fps[a + more], np.full(len(more), fps[a + at])) for a, b in zip(first, last) if b - a > 1 for at, more in part_links(words[a:b], limit)]
+        none = np.empty(0, np.int64)
+        return pd.DataFrame({"fp": np.concatenate([none, *(x for x, _ in pairs)]), "root": np.concatenate([none, *(y for _, y in pairs)])})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # rows come sorted; the last block of a batch may go on in the next one
+        held = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            batch = batch if held is None else pd.concat((held, batch), ignore_index=True)
+            end = batch.iloc[-1]
+            open_ = ((batch.key == end.key) & (batch.block == end.block)).to_numpy()
+            held = batch[open_].reset_index(drop=True)
+            if not open_.all():
+                yield close(batch[~open_].reset_index(drop=True))
+        if held is not None:
+            yield close(held)
+
+    sorted_ = dealt.repartition("key", "block").sortWithinPartitions("key", "block", "fp")
+    return sorted_.mapInPandas(run, "fp long, root long").distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, limit: int = LIMIT, **columns: str) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id."""
     prints = settle(fingerprints(docs, shingle, **columns))
@@ -231,14 +343,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, limit: int = LIMIT,
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 5, limit: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with one document of each component: that of the smallest id, and of repeated rows the first.
-
-    Five-word fingerprints of texts that share 0.8 of their shingles differ in about 9 bits, near copies in 3 to 5; the
-    tree prunes hardly anything beyond 3, so copies that differ in more bits stay. The limit is a parameter.
-    """
-    prints = settle(fingerprints(docs, shingle, id_col=id_col, text_col=text_col))
-    named = classes(prints, limit)
+def one_of_each(docs: DataFrame, shingle: int = 5, limit: int = WIDE_LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` with one document of each class of near copies (five-word shingles, 0.8 of them shared): that of the
+    smallest id, and of repeated rows the first."""
+    prints = settle(wide_fingerprints(docs, shingle, id_col=id_col, text_col=text_col))
+    distinct = distinct_prints(prints, "words", "keys")
+    named = named_classes(distinct, wide_links(distinct, limit))
     keep = prints.join(named, "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("u2") == F.col("keep_u2"))).select("doc_id", "u2").distinct()
     r = F.col("row")
     rows = packed(docs).withColumns({"k1": r[id_col].cast("long"), "k2": F.xxhash64(r[id_col].cast("long").isNull(), F.coalesce(r[text_col], F.lit("")))})

@@ -200,6 +200,27 @@ def test_fingerprints_and_links(spark, docs):
     assert kept.columns == docs.columns and kept.filter("doc_id = 2 or doc_id is null").count() <= 2
 
 
+def test_one_of_each_class_of_near_copies(spark):
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(3000)}"
+    rows, family = [], {}
+    for k in range(60):
+        base = [word() for _ in range(rng.randrange(150, 600))]
+        for c in range(rng.choice((1, 1, 4, 12))):
+            copy = list(base)
+            for _ in range(len(base) // 100 if c else 0):  # a changed word touches 5 shingles: some 0.9 are shared
+                copy[rng.randrange(len(copy))] = word()
+            family[len(rows)] = k
+            rows.append((len(rows), " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(r.doc_id for r in simhash.one_of_each(docs).collect())
+    assert kept == sorted({k: i for i, k in reversed(family.items())}.values())
+    # parts dealt into blocks give the same classes
+    prints = simhash.distinct_prints(simhash.wide_fingerprints(docs, 5), "words", "keys")
+    got = simhash.named_classes(prints, simhash.wide_links(prints, shard_size=3))
+    assert {r.component_id for r in got.collect()} == set(kept)
+
+
 def test_tree_finds_all_links(spark):
     rng = np.random.default_rng(2)
     centres = rng.integers(-(2**63), 2**63 - 1, 900)
