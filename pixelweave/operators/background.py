@@ -228,14 +228,14 @@ def _centre_cell(pos: Column, size: Column, count: int) -> tuple[Column, Column,
     return low, F.least(low + 1, F.lit(count - 1)), F.least(F.greatest(g - low, F.lit(0.0)), F.lit(1.0))
 
 
-def evaluate(pixels: DataFrame, model: DataFrame, config: Background = Background(), mode: str = "nodes") -> DataFrame:
-    """Add ``bg`` to every pixel.
+def evaluate(pixels: DataFrame, model: DataFrame, config: Background = Background(), mode: str = "nodes", keep: bool = False) -> DataFrame:
+    """Add ``bg`` to every pixel; ``keep`` leaves pixels of frames without a model in, with a null.
 
     ``nodes`` interpolates between node coordinates (used for subtraction); ``centre``
     treats nodes as centres of equal cells.  The model joins on the frame alone.
     """
     m = model.select(*FRAME, F.col("width").alias("_w"), F.col("height").alias("_h"), F.col("grids").alias("_grids"))
-    j = pixels.join(m, FRAME)
+    j = pixels.join(m, FRAME, "left" if keep else "inner")
     x, y, w, h = F.col("x"), F.col("y"), F.col("_w"), F.col("_h")
     if mode == "nodes":
         (x0, fx), (y0, fy) = _cell(x, w, config.cols), _cell(y, h, config.rows)
@@ -285,10 +285,11 @@ def subtraction_levels(model: DataFrame, config: Background = Background()) -> D
 
 
 def subtract(pixels: DataFrame, model: DataFrame, config: Background = Background()) -> DataFrame:
-    """max(v - a*(bg - ref), 0)."""
+    """max(v - a*(bg - ref), 0); pixels of a frame without a model (smaller than the grid) stay as they are."""
     levels = subtraction_levels(model, config).select(*FRAME, "refs", "aggressiveness")
-    j = evaluate(pixels, model, config).join(levels, FRAME)
+    j = evaluate(pixels, model, config, keep=True).join(levels, FRAME, "left")
     v = F.greatest(F.col("v") - F.col("aggressiveness") * (F.col("bg") - F.get("refs", F.col("ch"))), F.lit(0.0))
+    v = F.when(F.col("aggressiveness").isNull(), F.col("v")).otherwise(v)
     return j.withColumn("v", v).select(*pixels.columns)
 
 

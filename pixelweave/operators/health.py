@@ -173,16 +173,15 @@ def queue_alerts(samples: DataFrame, threshold: int = 5, repeat_us: int = 2_000_
     step = nx.filter("of IS NOT NULL").filter(F.col("_next._run") == F.col("_run"))
     jump = settle(step.select(*KEY, F.col("of.event_id").alias("a"), F.col("_next.event_id").alias("b")))
     reached = settle(hot.filter("_enter").select(*KEY, F.col("event_id").alias("a")))
-    size = reached.count()
+    # after round k the samples less than 2**(k+1) pointers from an entry are known; the table keeps the jumps of exactly
+    # 2**k pointers, at most one per sample
     while True:
-        more = reached.join(jump, [*KEY, "a"]).select(*KEY, F.col("b").alias("a"))
-        grown = settle(reached.unionByName(more).distinct())
-        grown_size = grown.count()
-        if grown_size == size:
+        more = settle(reached.join(jump, [*KEY, "a"]).select(*KEY, F.col("b").alias("a")))
+        if more.isEmpty():
             break
-        reached, size = grown, grown_size
-        jump = settle(jump.join(jump.select(*KEY, F.col("a").alias("b"), F.col("b").alias("c")), [*KEY, "b"]).select(*KEY, "a", F.col("c").alias("b")).unionByName(jump).distinct())
-    marks = reached.select(*KEY, F.col("a").alias("event_id"), F.lit(True).alias("_hit"))
+        reached = reached.unionByName(more)
+        jump = settle(jump.join(jump.select(*KEY, F.col("a").alias("b"), F.col("b").alias("c")), [*KEY, "b"]).select(*KEY, "a", F.col("c").alias("b")))
+    marks = reached.distinct().select(*KEY, F.col("a").alias("event_id"), F.lit(True).alias("_hit"))
     j = r.join(marks, [*KEY, "event_id"], "left")
     event = F.when(F.col("_enter"), "warning").when(F.coalesce("_hit", F.lit(False)), "repeated").when(F.col("_clear"), "cleared")
     return j.withColumn("event", event).filter("event IS NOT NULL").select(*KEY, *ORDER, "queue_depth", "event")

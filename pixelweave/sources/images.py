@@ -28,7 +28,7 @@ def image_frames(spark: SparkSession, path: str, session: str = "images") -> Dat
     Spark stores bytes in blue-green-red order.  frame_id hashes the file name, and
     ordering by ``path`` gives the order by name.
     """
-    img = spark.read.format("image").option("dropInvalid", "true").load(path)
+    img = spark.read.format("image").load(path).filter("image.nChannels > 0")
     return img.select(
         F.lit(session).alias("session"),
         F.xxhash64("image.origin").alias("frame_id"),
@@ -40,6 +40,12 @@ def image_frames(spark: SparkSession, path: str, session: str = "images") -> Dat
     )
 
 
+def image_rejects(spark: SparkSession, path: str, session: str = "images") -> DataFrame:
+    """session, path and reason of the files under ``path`` that could not be read as images."""
+    bad = spark.read.format("image").load(path).filter("image.nChannels <= 0")
+    return bad.select(F.lit(session).alias("session"), F.col("image.origin").alias("path"), F.lit("not a readable image").alias("reason"))
+
+
 def image_pixels(spark: SparkSession, path: str, session: str = "images") -> tuple[DataFrame, DataFrame]:
     """(pixels, frames) of the images under ``path``."""
     f = image_frames(spark, path, session)
