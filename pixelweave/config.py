@@ -35,8 +35,8 @@ PIXEL_FORMATS = {  # name: (bytes per sample, largest value)
 
 @dataclass(frozen=True)
 class Stats:
-    max_samples: int = 100_000
-    min_samples: int = 1000
+    max_samples: int | None = None  # a number asks for the strided sample
+    min_samples: int = 0
 
 
 @dataclass(frozen=True)
@@ -47,15 +47,15 @@ class Detection:
     hot_pixel_threshold: float = 0.9
     min_star_pixels: int = 3
     border_margin: int = 10
-    max_stars: int | None = 200
+    max_stars: int | None = None
     min_snr: float = 5.0
 
 
 DETECTION = {
     "default": Detection(),
-    "sensitive": Detection(3.0, 3, 5, 0.85, 2, 10, 200, 2.0),
-    "aggressive": Detection(2.5, 2, 4, 0.80, 2, 8, 300, 1.5),
-    "fast": Detection(4.0, 2, 3, 0.85, 2, 10, 30, 3.0),
+    "sensitive": Detection(3.0, 3, 5, 0.85, 2, 10, None, 2.0),
+    "aggressive": Detection(2.5, 2, 4, 0.80, 2, 8, None, 1.5),
+    "fast": Detection(4.0, 2, 3, 0.85, 2, 10, None, 3.0),
 }
 
 
@@ -144,19 +144,19 @@ class Rejection:
 
 @dataclass(frozen=True)
 class DeepSky:
-    detection: Detection = field(default_factory=lambda: DETECTION["fast"])
+    detection: Detection | None = None  # None: the adaptive cascade
     weighting: Weighting = field(default_factory=Weighting)
     rejection: Rejection = field(default_factory=Rejection)
-    cascade: tuple[str, ...] = CASCADE
+    cascade: tuple[str, ...] = ("default",)
     hints: Hints | None = None
     min_stars: int = 3
 
 
 DEEP_SKY = {
     "default": DeepSky(),
-    "fast": DeepSky(),
+    "fast": DeepSky(cascade=("fast",)),
     "quality": DeepSky(
-        detection=DETECTION["default"],
+        cascade=("robust",),
         rejection=Rejection("winsorized", 2.0, 2.0),
         min_stars=5,
     ),

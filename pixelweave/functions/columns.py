@@ -23,12 +23,6 @@ def rounded(v: Column, digits: int = 6) -> Column:
     return F.round(v.cast("double"), digits) + F.lit(0.0)
 
 
-def int_div(a: Column, b) -> Column:
-    """Whole-number quotient of non-negative numbers."""
-    b = b if isinstance(b, Column) else F.lit(b)
-    return F.floor(a / b).cast("long")
-
-
 def luma(r: Column, g: Column, b: Column) -> Column:
     return F.lit(LUMA[0]) * r + F.lit(LUMA[1]) * g + F.lit(LUMA[2]) * b
 

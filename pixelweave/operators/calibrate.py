@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..model import PIXEL
+from ..model import FRAME, PIXEL
+from ..session import settle
 
 FLAT_FLOOR = 0.01
 
@@ -69,3 +70,22 @@ def calibrate(pixels: DataFrame, dark: DataFrame | None = None, flat: DataFrame
         return divide_flat(subtract_dark(pixels, dark), flat)
     j = pixels.join(dark.join(flat, keys), keys)
     return j.withColumn("v", F.greatest(F.col("v") - F.col("dark"), F.lit(0.0)) / F.col("flat")).select(*pixels.columns)
+
+
+def uncovered(pixels: DataFrame, *masters: DataFrame) -> DataFrame:
+    """Frames with samples that some master lacks: frame, missing (samples), reason."""
+    out = None
+    for master in masters:
+        keys = [c for c in master.columns if c not in ("dark", "flat")]
+        lost = pixels.join(master.select(*keys), keys, "left_anti").select(*FRAME)
+        out = lost if out is None else out.unionByName(lost)
+    return out.groupBy(*FRAME).agg(F.count("*").alias("missing")).withColumn("reason", F.lit("samples outside a calibration master"))
+
+
+def calibrate_checked(pixels: DataFrame, dark: DataFrame | None = None, flat: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(calibrated pixels, rejects): a frame that a master does not cover is left out whole and listed."""
+    masters = [m for m in (dark, flat) if m is not None]
+    if not masters:
+        return pixels, pixels.select(*FRAME).limit(0).withColumns({"missing": F.lit(0).cast("long"), "reason": F.lit("")})
+    rejects = settle(uncovered(pixels, *masters))
+    return calibrate(pixels.join(rejects.select(*FRAME), FRAME, "left_anti"), dark, flat), rejects

@@ -15,18 +15,13 @@ from ..model import FRAME
 def detect_pattern(pixels: DataFrame, frames: DataFrame) -> DataFrame:
     """Pattern and confidence per mono frame from the means of the four grid positions.
 
-    Two by two blocks are taken every ``step`` sites, step even, about 100 000 sites per
-    frame.  The diagonal whose means differ less is green; the brighter of the other two
-    is red.
+    Every whole two by two block counts.  The diagonal whose means differ less is green;
+    the brighter of the other two is red.
     """
-    sites = F.floor(F.col("width") * F.col("height") / 100000)
-    step = F.ceil(F.sqrt(F.greatest(sites, F.lit(1)))) * 2
-    dims = frames.filter("channels = 1 AND width >= 4 AND height >= 4").select(
-        *FRAME, "width", "height", step.cast("int").alias("_step")
-    )
+    dims = frames.filter("channels = 1 AND width >= 4 AND height >= 4").select(*FRAME, "width", "height")
     j = pixels.join(dims, FRAME)
-    oy, ox = F.col("y") % F.col("_step"), F.col("x") % F.col("_step")
-    block = (oy < 2) & (ox < 2) & (F.col("y") - oy + 1 < F.col("height")) & (F.col("x") - ox + 1 < F.col("width"))
+    oy, ox = F.col("y") % 2, F.col("x") % 2
+    block = (F.col("y") - oy + 1 < F.col("height")) & (F.col("x") - ox + 1 < F.col("width"))
 
     def mean(r: int, c: int) -> Column:
         return F.avg(F.when((oy == r) & (ox == c), F.col("v"))).alias(f"m{r}{c}")

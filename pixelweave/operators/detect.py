@@ -6,7 +6,7 @@ from dataclasses import replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -209,21 +209,21 @@ def _cascade(luminance: DataFrame, frames: DataFrame, steps: list[tuple[str, Det
 
 
 def detect_adaptive(luminance: DataFrame, frames: DataFrame) -> DataFrame:
-    """fast (10 stars settle a frame), then sensitive (3), then aggressive; the last two keep 50 stars."""
+    """fast (10 stars settle a frame), then sensitive (3), then aggressive; every star is kept."""
     return _cascade(
         luminance,
         frames,
         [
             ("fast", DETECTION["fast"], 10),
-            ("sensitive", replace(DETECTION["sensitive"], max_stars=50), 3),
-            ("aggressive", replace(DETECTION["aggressive"], max_stars=50), 0),
+            ("sensitive", DETECTION["sensitive"], 3),
+            ("aggressive", DETECTION["aggressive"], 0),
         ],
     )
 
 
 def analyse(luminance: DataFrame, frames: DataFrame) -> DataFrame:
     """Median (upper), sigma, brightest value, dynamic range and the preset they suggest."""
-    sample = strided_sample(luminance, frames, 50_000)
+    sample = strided_sample(luminance, frames)
     med = sample.groupBy(*FRAME).agg(upper_median("v").alias("median"))
     dev = sample.join(med, FRAME).withColumn("_d", F.abs(F.col("v") - F.col("median")))
     mad = dev.groupBy(*FRAME).agg(upper_median("_d").alias("_mad"))
@@ -262,8 +262,3 @@ def detect_thorough(luminance: DataFrame, frames: DataFrame) -> DataFrame:
         ],
     )
     return found.join(enough, FRAME, "left_semi").unionByName(more)
-
-
-def custom_threshold(levels: DataFrame, k: Column) -> DataFrame:
-    """Levels with a per-frame factor in place of the preset's sigma."""
-    return levels.withColumn("threshold", F.col("median") + k * F.col("sigma"))

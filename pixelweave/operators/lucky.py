@@ -102,9 +102,6 @@ def best_shift(surface: DataFrame) -> DataFrame:
     ).select(*FRAME, "_b.dx", "_b.dy", "ncc")
 
 
-SURFACE_LIMIT = 8  # search radius up to which shifts are rows
-
-
 def _best_by_fft(search: int, subpixel: bool):
     """Function for one frame's region: best shift from correlations of all shifts at once.
 
@@ -163,8 +160,8 @@ def _best_by_fft(search: int, subpixel: bool):
     return one
 
 
-def wide_shift(luminance: DataFrame, reference: DataFrame, rois: DataFrame, frames: DataFrame, search: int, subpixel: bool = True) -> DataFrame:
-    """Best shift with its sub-pixel part for a large search radius.
+def shift_search(luminance: DataFrame, reference: DataFrame, rois: DataFrame, frames: DataFrame, search: int, subpixel: bool = True) -> DataFrame:
+    """Best shift with its sub-pixel part, for any search radius.
 
     With shifts as rows a region would be repeated (2*search+1)^2 times; here the region of
     one frame (bounded by the region plus the search radius) is one group.
@@ -229,12 +226,7 @@ def alignment(
     The correlation result is negated.  Where the reference region is flat or the best
     correlation stays under 0.3 the difference of centroids is used.
     """
-    if search > SURFACE_LIMIT:
-        refined = wide_shift(luminance, reference, rois, frames, search, subpixel)
-    else:
-        surface = ncc_surface(luminance, reference, rois, frames, search)
-        best = best_shift(surface)
-        refined = refine_shift(surface, best, search) if subpixel else best.withColumn("sub_dx", F.lit(0.0)).withColumn("sub_dy", F.lit(0.0))
+    refined = shift_search(luminance, reference, rois, frames, search, subpixel)
     own = centroid(luminance, frames)
     dims = frames.groupBy("session").agg(F.first("width").alias("width"), F.first("height").alias("height"))
     ref_frames = dims.withColumn("frame_id", F.lit(0).cast("long"))

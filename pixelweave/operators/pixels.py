@@ -213,12 +213,14 @@ def crop(pixels: DataFrame, rois: DataFrame) -> DataFrame:
     return j.filter(inside).select(*cols, y.alias("y"), x.alias("x"))
 
 
-def strided_sample(pixels: DataFrame, frames: DataFrame, max_samples: int, min_samples: int = 0) -> DataFrame:
-    """Keep every ``step``-th site, step = total div min(total, max_samples).
+def strided_sample(pixels: DataFrame, frames: DataFrame, max_samples: int | None = None, min_samples: int = 0) -> DataFrame:
+    """Keep every ``step``-th site, step = total div min(total, max_samples); every site without ``max_samples``.
 
     Frames with fewer than ``min_samples`` sites give no rows.
     """
     sites = (F.col("width") * F.col("height")).cast("long")
+    if max_samples is None:
+        return pixels.join(frames.filter(sites >= min_samples).select(*FRAME), FRAME, "left_semi").select(*pixels.columns)
     step = F.greatest(F.floor(sites / F.least(sites, F.lit(max_samples))), F.lit(1))
     dims = frames.select(*FRAME, "width", "height").withColumn("_step", step).withColumn("_sites", sites)
     j = pixels.join(dims.filter(F.col("_sites") >= min_samples), FRAME)
@@ -226,15 +228,6 @@ def strided_sample(pixels: DataFrame, frames: DataFrame, max_samples: int, min_s
     return j.filter(index % F.col("_step") == 0).select(*pixels.columns)
 
 
-def too_small(frames: DataFrame, min_samples: int) -> DataFrame:
-    """Frames that ``strided_sample`` leaves out, with the reason."""
-    sites = F.col("width") * F.col("height")
-    return frames.filter(sites < min_samples).select(
-        *FRAME,
-        F.format_string("Image too small for statistics: %d pixels, need at least %d", sites, F.lit(min_samples)).alias("reason"),
-    )
-
-
 def complete_grid(pixels: DataFrame, frames: DataFrame, fill: float) -> DataFrame:
     """Outer join to the full grid of each frame; missing pixels get ``fill``."""
     ch = F.explode(F.sequence(F.lit(0), F.col("channels") - 1)).alias("ch")

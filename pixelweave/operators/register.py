@@ -9,8 +9,6 @@ triangles, their matches and the votes are rows.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import replace
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -478,7 +476,3 @@ def register(
 
 def register_thorough(stars: DataFrame, references: DataFrame, frames: DataFrame, **kw) -> DataFrame:
     return register(stars, references, frames, CASCADE_THOROUGH, **kw)
-
-
-def limited(config: Registration, max_stars: int) -> Registration:
-    return replace(config, max_stars=max_stars)

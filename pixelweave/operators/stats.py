@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Stats
-from ..functions.arrays import sorted_mad, sorted_median
 from ..functions.columns import clamp, mad_sigma
 from ..model import FRAME
 from .pixels import luma_luminance, mean_luminance, strided_sample
@@ -14,35 +13,44 @@ from .pixels import luma_luminance, mean_luminance, strided_sample
 CHANNEL = [*FRAME, "ch"]
 
 
-def median_by(df: DataFrame, keys: list[str], value: str = "v", accuracy: int | None = None) -> DataFrame:
-    """Median per group: mean of the middle two for an even count.
+def with_median(df: DataFrame, keys: list[str], value: str, weight: str, name: str) -> DataFrame:
+    """Add the median of ``value`` per key, each row counted ``weight`` times (0: left out).
 
-    ``accuracy`` switches to the approximate form for groups too large for exact counts.
+    Mean of the middle two for an even count. Windows over sorted rows, which spill; all medians of one
+    frame share the exchange on its keys, and nothing is held as one array.
     """
-    agg = F.percentile_approx(value, 0.5, accuracy) if accuracy else F.median(value)
-    return df.groupBy(*keys).agg(agg.alias("median"))
+    every = Window.partitionBy(*keys)
+    upto = every.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = df.withColumns({"_c": F.sum(weight).over(upto), "_t": F.sum(weight).over(every)})
 
+    def reached(place: Column) -> Column:
+        return F.min(F.when((F.col(weight) > 0) & (F.col("_c") >= place), F.col(value))).over(every)
 
-def robust_stats(sample: DataFrame, keys: list[str], value: str = "v") -> DataFrame:
-    """median, mad, sigma = 1.4826*mad, min, max, n per group, in one pass.
+    middle = (reached(F.floor((F.col("_t") + 1) / 2)) + reached(F.floor(F.col("_t") / 2) + 1)) / 2.0
+    return counted.withColumn(name, middle).drop("_c", "_t")
 
-    Meant for samples: a group is at most ``max_samples`` values (100 000 by default), so
-    it is sorted as one array and both medians are read off without a second scan.
-    """
-    g = sample.groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias("_a"))
-    g = g.withColumn("median", sorted_median(F.col("_a")))
-    return g.select(
-        *keys,
-        "median",
-        sorted_mad(F.col("_a"), F.col("median")).alias("mad"),
-        F.get("_a", F.lit(0)).alias("min"),
-        F.element_at("_a", -1).alias("max"),
-        F.size("_a").alias("n"),
-    ).select(*keys, "median", "mad", mad_sigma(F.col("mad")).alias("sigma"), "min", "max", "n")
+
+def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Rows per distinct value (``_n``), merged before the exchange; NULL is left out."""
+    return df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+
+
+def robust_stats(sample: DataFrame, keys: list[str], value: str = "v") -> DataFrame:
+    """median, mad, sigma = 1.4826*mad, min, max, n per group, from the counts of its distinct values."""
+    g = with_median(value_counts(sample, keys, value), keys, value, "_n", "_m")
+    g = with_median(g.withColumn("_d", F.abs(F.col(value) - F.col("_m"))), keys, "_d", "_n", "_mad")
+    return g.groupBy(*keys).agg(
+        F.min("_m").alias("median"),
+        F.min("_mad").alias("mad"),
+        mad_sigma(F.min("_mad")).alias("sigma"),
+        F.min(value).alias("min"),
+        F.max(value).alias("max"),
+        F.sum("_n").alias("n"),
+    )
 
 
 def image_stats(pixels: DataFrame, frames: DataFrame, config: Stats = Stats()) -> DataFrame:
-    """Channel statistics from the strided sample (at most ``max_samples`` per channel)."""
+    """Channel statistics of every sample, or of the strided sample that ``config`` asks for."""
     sample = strided_sample(pixels, frames, config.max_samples, config.min_samples)
     return robust_stats(sample, CHANNEL)
 
@@ -78,22 +86,19 @@ def suggested_levels(stats: DataFrame, k: float = 2.8) -> DataFrame:
 
 def detection_background(luminance: DataFrame, frames: DataFrame, k: float | Column) -> DataFrame:
     """median, sigma (at least 1e-6) and threshold of a luminance frame."""
-    s = robust_stats(strided_sample(luminance, frames, 100_000), FRAME)
+    s = robust_stats(strided_sample(luminance, frames), FRAME)
     sigma = F.greatest(F.col("sigma"), F.lit(1e-6))
     k = k if isinstance(k, Column) else F.lit(float(k))
     return s.select(*FRAME, "median", sigma.alias("sigma"), (F.col("median") + k * sigma).alias("threshold"))
 
 
 def channel_mode(pixels: DataFrame, frames: DataFrame) -> DataFrame:
-    """Mode per channel from 65 536 bins of at most ~10 000 strided samples.
+    """Mode per channel from 65 536 bins.
 
     The first ten bins are skipped, the lowest bin wins a tie, and with nothing left the
     mode is zero.
     """
-    sites = F.col("width") * F.col("height")
-    dims = frames.select(*FRAME, "width", F.greatest(F.floor(sites / 10000), F.lit(1)).alias("_step"))
-    j = pixels.join(dims, FRAME)
-    s = j.filter((F.col("y").cast("long") * F.col("width") + F.col("x")) % F.col("_step") == 0)
+    s = strided_sample(pixels, frames)
     bins = s.groupBy(*CHANNEL, clamp(F.floor(F.col("v") * 65535.0), 0, 65535).alias("bin")).agg(F.count("*").alias("n"))
     peak = F.max_by(F.col("bin"), F.when(F.col("bin") >= 10, F.struct(F.col("n"), -F.col("bin"))))
     return bins.groupBy(*CHANNEL).agg((F.coalesce(peak, F.lit(0)) / 65535.0).alias("mode"))
@@ -103,12 +108,8 @@ MODE_BINS = 4096
 
 
 def background_samples(pixels: DataFrame, frames: DataFrame) -> DataFrame:
-    """Luminance of every step-th site, step = sites div 50 000."""
-    sites = F.col("width") * F.col("height")
-    dims = frames.select(*FRAME, "width", F.greatest(F.floor(sites / 50000), F.lit(1)).alias("_step"))
-    j = pixels.join(dims, FRAME)
-    s = j.filter((F.col("y").cast("long") * F.col("width") + F.col("x")) % F.col("_step") == 0)
-    return luma_luminance(s.select(*pixels.columns))
+    """Luminance of every site of the frames."""
+    return luma_luminance(strided_sample(pixels, frames))
 
 
 def background_mode(pixels: DataFrame, frames: DataFrame) -> DataFrame:
@@ -162,14 +163,12 @@ def upper_sigma_clip(
     A round that removes nothing, or a spread under 1e-9, leaves the survivors as they
     are, and later rounds then repeat themselves; so unrolled rounds need no stop flag.
     """
-    alive = df.select(*keys, value)
+    g = value_counts(df, keys, value).withColumn("_alive", F.col("_n"))
     for _ in range(rounds):
-        med = alive.groupBy(*keys).agg(F.median(value).alias("_m"))
-        dev = alive.join(med, keys)
-        mad = dev.groupBy(*keys).agg(
-            F.median(F.abs(F.col(value) - F.col("_m"))).alias("_mad"), F.first("_m").alias("_m")
-        )
+        g = with_median(g, keys, value, "_alive", "_m")
+        g = with_median(g.withColumn("_d", F.abs(F.col(value) - F.col("_m"))), keys, "_d", "_alive", "_mad")
         cut = F.col("_m") + k * mad_sigma(F.col("_mad"))
         limit = F.when(F.col("_mad") < 1e-9, F.lit(float("inf"))).otherwise(cut) if keep_flat else cut
-        alive = alive.join(mad.select(*keys, limit.alias("_limit")), keys).filter(F.col(value) <= F.col("_limit")).select(*keys, value)
-    return alive.groupBy(*keys).agg(F.median(value).alias("clipped_median"), F.count("*").alias("kept"))
+        g = g.withColumn("_alive", F.when(F.col(value) <= limit, F.col("_alive")).otherwise(0))
+    g = with_median(g, keys, value, "_alive", "_m")
+    return g.groupBy(*keys).agg(F.min("_m").alias("clipped_median"), F.sum("_alive").alias("kept"))

@@ -40,7 +40,8 @@ def stack_sessions(pixels: DataFrame, frames: DataFrame, config: DeepSky = DeepS
     read for detection and again for the warp and meet one exchange in each.
     """
     luminance = P.mean_luminance(pixels)
-    stars = settle(T.detect(luminance, frames, config.detection))
+    found = T.detect_adaptive(luminance, frames) if config.detection is None else T.detect(luminance, frames, config.detection)
+    stars = settle(found.select(*T.STAR))
     quality = T.frame_medians(stars)
     references = settle(pick_references(frames, quality, config.min_stars))
     checked = P.check_dimensions(frames, references)

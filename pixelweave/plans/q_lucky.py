@@ -90,6 +90,11 @@ def _(spark, sf):
     return L.ncc_surface(*ncc_parts(spark, sf), S)
 
 
+@query("shift_search", "session:i frame_id:i dx:i dy:i ncc:d", NCC, "SELECT session, frame_id, dx, dy, ncc FROM best")
+def _(spark, sf):
+    return L.shift_search(*ncc_parts(spark, sf), S, subpixel=False)
+
+
 @query("ncc_best_shift", "session:i frame_id:i dx:i dy:i ncc:d", NCC, "SELECT session, frame_id, dx, dy, ncc FROM best")
 def _(spark, sf):
     return L.best_shift(L.ncc_surface(*ncc_parts(spark, sf), S))
@@ -141,9 +146,9 @@ def _(spark, sf):
     "translate_frames",
     "session:i frame_id:i ch:i y:i x:i v:d",
     [*fx.F1, "moves AS (SELECT session, frame_id, CASE WHEN frame_id % 5 = 0 THEN 0.0 ELSE (frame_id % 7 - 3) / 2.0::DOUBLE END AS dx, CASE WHEN frame_id % 5 = 0 THEN 0.0 ELSE (frame_id % 3 - 1) * 0.75::DOUBLE END AS dy FROM vectors)",
-     """grid AS (SELECT m.session, m.frame_id, y.y, x.x, dx, dy, x.x - dx AS sx, y.y - dy AS sy FROM moves m, range(0, 8) y(y), range(0, 8) x(x))"""],
-    """SELECT g.session, g.frame_id, 0 AS ch, g.y, g.x, sum(p.v * (1 - abs(p.x - sx)) * (1 - abs(p.y - sy))) AS v FROM grid g JOIN pixels p USING (session, frame_id)
-       WHERE (abs(dx) >= 0.001 OR abs(dy) >= 0.001) AND sx >= 0 AND sx < 7 AND sy >= 0 AND sy < 7 AND p.x IN (floor(sx), floor(sx) + 1) AND p.y IN (floor(sy), floor(sy) + 1)
+     """grid AS (SELECT m.session, m.frame_id, y.y, x.x, dx, dy, x.x - dx AS sx, y.y - dy AS sy FROM moves m, range(0, 8) y(y), range(0, 8) x(x) WHERE abs(dx) >= 0.001 OR abs(dy) >= 0.001)""",
+     "corner AS (SELECT g.*, floor(sx)::INT + ox.ox AS px, floor(sy)::INT + oy.oy AS py FROM grid g, range(0, 2) ox(ox), range(0, 2) oy(oy) WHERE sx >= 0 AND sx < 7 AND sy >= 0 AND sy < 7)"],
+    """SELECT g.session, g.frame_id, 0 AS ch, g.y, g.x, sum(p.v * (1 - abs(p.x - sx)) * (1 - abs(p.y - sy))) AS v FROM corner g JOIN pixels p ON p.session = g.session AND p.frame_id = g.frame_id AND p.x = g.px AND p.y = g.py
        GROUP BY g.session, g.frame_id, g.y, g.x
        UNION ALL SELECT p.session, p.frame_id, 0, p.y, p.x, v FROM pixels p JOIN moves USING (session, frame_id) WHERE abs(dx) < 0.001 AND abs(dy) < 0.001""",
 )

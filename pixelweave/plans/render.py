@@ -22,8 +22,8 @@ def _apply(pixels: DataFrame, able: DataFrame, fn) -> DataFrame:
 def render(pixels: DataFrame, frames: DataFrame, config: Render = Render(), model=None, boost=None) -> tuple[DataFrame, DataFrame]:
     """(pixels, status): each stage runs on the frames that fit it and is reported per frame.
 
-    Frames need one or three channels; statistics need 1000 sites, a background grid needs
-    at least its own size, saturation and contrast need colour.  ``model`` and ``boost``
+    Frames need one or three channels; a background grid needs at least its
+    own size, saturation and contrast need colour.  ``model`` and ``boost``
     replace the background model and the saturation curve.
     """
     known = frames.filter("channels IN (1, 3)")

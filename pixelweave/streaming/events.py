@@ -89,15 +89,16 @@ class _Streaks(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         n = self.count.get()[0] if self.count.exists() else 0
         pdf = pd.concat(list(rows)).sort_values(["t_us", "event_id"])
+        out = []
         for event_id, t_us, kind in zip(pdf["event_id"], pdf["t_us"], pdf["kind"]):
             if kind != "timeout":
                 n = 0
                 continue
             n += 1
-            yield pd.DataFrame(
-                {"camera": [key[0]], "event_id": [event_id], "t_us": [t_us], "streak": [n], "unresponsive": [n >= self.threshold]}
-            )
+            out.append((key[0], event_id, t_us, n, n >= self.threshold))
         self.count.update((n,))
+        if out:
+            yield pd.DataFrame(out, columns=["camera", "event_id", "t_us", "streak", "unresponsive"])
 
     def close(self) -> None:
         pass
