@@ -190,3 +190,14 @@ def test_stack_leaves_out_nan(spark):
     rows = [("s", f, 0, 0, 0, v) for f, v in enumerate((1.0, float("nan"), 3.0))]
     kept = stack.drop_border(spark.createDataFrame(rows, "session string, frame_id long, ch int, y int, x int, v double"))
     assert sorted(r.v for r in kept.collect()) == [1.0, 3.0]
+
+
+def test_frames_outside_a_master_are_listed(spark):
+    from pixelweave.operators import calibrate as C
+
+    rows = [("s", f, 0, 0, x, 0.5) for f in (1, 2) for x in range(2)] + [("s", 2, 0, 0, 9, 0.5)]
+    px = spark.createDataFrame(rows, "session string, frame_id long, ch int, y int, x int, v double")
+    dark = spark.createDataFrame([(0, 0, x, 0.1) for x in range(2)], "ch int, y int, x int, dark double")
+    good, rejects = C.calibrate_checked(px, dark)
+    assert sorted((r["frame_id"], round(r["v"], 6)) for r in good.collect()) == [(1, 0.4), (1, 0.4)]
+    assert [(r["frame_id"], r["missing"]) for r in rejects.collect()] == [(2, 1)]
