@@ -10,8 +10,8 @@ link to a smallest member per local component, never the pairs of a dense group.
 At a shingle similarity of 0.8 fingerprints differ in some 15 of 100 bits, where triangle bounds prune nothing. For
 that width (`one_of_each`) documents meet where the least hashes of their shingles agree (``BANDS`` keys of ``ROWS``
 minima each); inside each such part 256-bit fingerprints are compared, and links go to a smallest member as above.
-Parts of more than ``SHARD_SIZE`` are dealt into blocks, anew for each key, so that members of different blocks meet
-under other keys.
+Parts of more than ``SHARD_SIZE`` are dealt into blocks, and every two blocks of a part meet in a task of their own: the
+links of a large part are those of one comparison of all its members, at a cost that grows with the square of the part.
 
 Null text: as empty, fingerprint zero, linked like any other. Fewer words than a shingle: the whole sequence is
 the shingle. Repeated rows: each is a document. Null id: never a component's name unless all its ids are null.
@@ -19,7 +19,7 @@ the shingle. Repeated rows: each is a document. Null id: never a component's nam
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -301,39 +301,56 @@ def part_links(words: np.ndarray, limit: int) -> Iterator[tuple[int, np.ndarray]
             yield start, np.concatenate(members)
 
 
-def wide_links(distinct: DataFrame, limit: int = WIDE_LIMIT, shard_size: int = SHARD_SIZE) -> DataFrame:
-    """(fp, root) links between wide fingerprints that share a key and differ in at most `limit` bits."""
-    names = [f"w{i}" for i in range(WORDS)]
-    keyed = distinct.select("fp", *[F.col("first.words")[i].alias(w) for i, w in enumerate(names)], F.explode("first.keys").alias("key"))
-    crowded = settle(keyed.groupBy("key").count().filter(F.col("count") > shard_size))
-    block = F.when(F.col("count").isNotNull(), F.pmod(F.xxhash64("fp", "key"), F.ceil(F.col("count") / shard_size))).otherwise(0)
-    dealt = keyed.join(small(crowded), "key", "left").withColumn("block", block).drop("count")
-
-    def close(part: pd.DataFrame) -> pd.DataFrame:
-        first = np.flatnonzero(np.r_[True, (part.key.to_numpy()[1:] != part.key.to_numpy()[:-1]) | (part.block.to_numpy()[1:] != part.block.to_numpy()[:-1])])
-        last = np.r_[first[1:], len(part)]
-        fps, words = part.fp.to_numpy(), part[names].to_numpy().view(np.uint64)
-        pairs = [(fps[a + more], np.full(len(more), fps[a + at])) for a, b in zip(first, last) if b - a > 1 for at, more in part_links(words[a:b], limit)]
+def dealt(rows: DataFrame, key: str, parts: DataFrame) -> DataFrame:
+    """`rows` with the columns block and other, sorted by task. `parts` gives the `blocks` of each crowded key: its
+    rows are hashed into blocks and each row goes to the tasks (own block, any other block), so that every two rows
+    of a key meet in some task, however large the key is."""
+    b, other = F.col("own"), F.col("pair")
+    own = F.pmod(F.xxhash64("fp", key), F.col("blocks"))
+    all_others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda i: i != b)
+    rows = rows.join(small(parts), key, "left").withColumn("own", F.when(F.col("blocks") > 1, own).otherwise(0))
+    rows = rows.withColumn("pair", F.explode(F.when(F.col("blocks") > 1, all_others).otherwise(F.array(F.lit(0).cast("long")))))
+    rows = rows.withColumn("block", F.least(b, other)).withColumn("other", F.greatest(b, other)).drop("own", "pair", "blocks")
+    return rows.repartition(key, "block", "other").sortWithinPartitions(key, "block", "other", "fp")
+
+
+def task_links(rows: DataFrame, key: str, walk: Callable[[pd.DataFrame], Iterator[tuple[int, np.ndarray]]]) -> DataFrame:
+    """(fp, root) links of what `walk` joins inside each task of the `dealt` rows."""
+    task = [key, "block", "other"]
+
+    def close(rows: pd.DataFrame) -> pd.DataFrame:
+        cut = rows[task].to_numpy()
+        first = np.flatnonzero(np.r_[True, (cut[1:] != cut[:-1]).any(axis=1)])
+        last = np.r_[first[1:], len(rows)]
+        fps = rows.fp.to_numpy()
+        pairs = [(fps[a + more], np.full(len(more), fps[a + at])) for a, b in zip(first, last) if b - a > 1 for at, more in walk(rows.iloc[a:b])]
         none = np.empty(0, np.int64)
         return pd.DataFrame({"fp": np.concatenate([none, *(x for x, _ in pairs)]), "root": np.concatenate([none, *(y for _, y in pairs)])})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # rows come sorted; the last block of a batch may go on in the next one
+        # rows come sorted; the last task of a batch may go on in the next one
         held = None
         for batch in batches:
             if not len(batch):
                 continue
             batch = batch if held is None else pd.concat((held, batch), ignore_index=True)
-            end = batch.iloc[-1]
-            open_ = ((batch.key == end.key) & (batch.block == end.block)).to_numpy()
+            open_ = (batch[task] == batch[task].iloc[-1]).all(axis=1).to_numpy()
             held = batch[open_].reset_index(drop=True)
             if not open_.all():
                 yield close(batch[~open_].reset_index(drop=True))
         if held is not None:
             yield close(held)
 
-    sorted_ = dealt.repartition("key", "block").sortWithinPartitions("key", "block", "fp")
-    return sorted_.mapInPandas(run, "fp long, root long").distinct()
+    return rows.mapInPandas(run, "fp long, root long").distinct()
+
+
+def wide_links(distinct: DataFrame, limit: int = WIDE_LIMIT, shard_size: int = SHARD_SIZE) -> DataFrame:
+    """(fp, root) links that connect exactly what pairs of one key within `limit` bits connect."""
+    names = [f"w{i}" for i in range(WORDS)]
+    keyed = distinct.select("fp", *[F.col("first.words")[i].alias(w) for i, w in enumerate(names)], F.explode("first.keys").alias("key"))
+    crowded = keyed.groupBy("key").count().filter(F.col("count") > shard_size)
+    parts = settle(crowded.select("key", F.ceil(2 * F.col("count") / shard_size).alias("blocks")))
+    return task_links(dealt(keyed, "key", parts), "key", lambda part: part_links(part[names].to_numpy().view(np.uint64), limit))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, limit: int = LIMIT, **columns: str) -> DataFrame:

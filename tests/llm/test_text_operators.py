@@ -221,6 +221,19 @@ def test_one_of_each_class_of_near_copies(spark):
     assert {r.component_id for r in got.collect()} == set(kept)
 
 
+def test_wide_links_of_a_crowded_part(spark):
+    # one key holds far more fingerprints than a shard, in pairs of near copies that share no other key
+    rng = np.random.default_rng(5)
+    words = rng.integers(-(2**63), 2**63 - 1, (2500, simhash.WORDS))
+    near = words.copy()
+    near[:, 0] ^= 7
+    both = np.concatenate((words, near)).tolist()
+    df = spark.createDataFrame([(i, (w, [1])) for i, w in enumerate(both)], "fp long, first struct<words: array<long>, keys: array<long>>")
+    for size in (512, simhash.SHARD_SIZE):  # both below the 5,000 of the part
+        got = {(r.fp, r.root) for r in simhash.wide_links(df, shard_size=size).collect()}
+        assert {tuple(sorted(p)) for p in got} == {(i, i + 2500) for i in range(2500)}
+
+
 def test_tree_finds_all_links(spark):
     rng = np.random.default_rng(2)
     centres = rng.integers(-(2**63), 2**63 - 1, 900)
