@@ -9,7 +9,9 @@ link to a smallest member per local component, never the pairs of a dense group.
 
 At a shingle similarity of 0.8 fingerprints differ in some 15 of 100 bits, where triangle bounds prune nothing. For
 that width (`one_of_each`) documents meet where the least hashes of their shingles agree (``BANDS`` keys of ``ROWS``
-minima each); inside each such part 256-bit fingerprints are compared, and links go to a smallest member as above.
+minima each); inside each such part 256-bit fingerprints are compared under a limit that near copies hardly miss, and
+links go to a smallest member as above. The components of these links are candidates only: inside each the shingle
+sets themselves are compared, and links of a similarity of 0.8 or more make the classes.
 Parts of more than ``SHARD_SIZE`` are dealt into blocks, and every two blocks of a part meet in a task of their own: the
 links of a large part are those of one comparison of all its members, at a cost that grows with the square of the part.
 
@@ -35,8 +37,13 @@ LIMIT = 2
 SEED = 42
 TREE_SAMPLE = 20_000
 SHARD_SIZE = 4096
-# the wide form: bits that may differ (0.75 to 0.8 of the shingles shared), 64-bit words, keys and minima per key
-WIDE_LIMIT = 44
+# shingles of the documents that are compared in one task
+SHARD_SHINGLES = 2_000_000
+# the wide form: the share of the shingles that near copies have in common, as a fraction
+SIMILAR = (4, 5)
+# bits in which candidates may differ: sets of a similarity of 0.8 differ in 39 of 256 on average, the smallest in 48,
+# with a deviation of 6; 64-bit words, keys and minima per key
+WIDE_LIMIT = 80
 WORDS = 4
 BANDS, ROWS = 20, 6
 _RANDOM = np.random.default_rng(SEED)
@@ -273,17 +280,18 @@ def classes(prints: DataFrame, limit: int = LIMIT, shard_size: int = SHARD_SIZE,
 
 
 def wide_fingerprints(docs: DataFrame, shingle: int, **columns: str) -> DataFrame:
-    """doc_id, u2, fp (the name of the wide fingerprint), its words and the keys."""
+    """doc_id, u2, fp (the name of the wide fingerprint), its words, the keys and the number of distinct shingles."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            sets = [np.unique(shingle_hashes(t, shingle)) for t in batch.text]
             found = [wide_fingerprint(shingle_hashes(t, shingle)) for t in batch.text]
             words = np.array([w for w, _ in found], np.uint64).reshape(-1, WORDS)
             fp = np.array([xxhash.xxh64_intdigest(w.tobytes(), SEED) for w in words], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": batch.doc_id.astype("Int64"), "u2": batch.u2, "fp": fp, "words": list(words.view(np.int64)), "keys": [k.view(np.int64) for _, k in found]})
+            yield pd.DataFrame({"doc_id": batch.doc_id.astype("Int64"), "u2": batch.u2, "fp": fp, "words": list(words.view(np.int64)), "keys": [k.view(np.int64) for _, k in found], "size": [len(x) for x in sets]})
 
     t = texts(docs, **columns).withColumn("u2", F.xxhash64(F.col("doc_id").isNull(), "text"))
-    return t.mapInPandas(run, "doc_id long, u2 long, fp long, words array<long>, keys array<long>")
+    return t.mapInPandas(run, "doc_id long, u2 long, fp long, words array<long>, keys array<long>, size long")
 
 
 def part_links(words: np.ndarray, limit: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -353,6 +361,64 @@ def wide_links(distinct: DataFrame, limit: int = WIDE_LIMIT, shard_size: int = S
     return task_links(dealt(keyed, "key", parts), "key", lambda part: part_links(part[names].to_numpy().view(np.uint64), limit))
 
 
+def alike(one: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """Which of the `sets` have a similarity of SIMILAR or more with `one`; all are sorted and without repeats."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    if not len(one):
+        return sizes == 0
+    flat = np.concatenate(sets)
+    found = one[np.minimum(np.searchsorted(one, flat), len(one) - 1)] == flat
+    both = np.diff(np.r_[0, np.cumsum(found)][np.r_[0, np.cumsum(sizes)]])
+    return SIMILAR[1] * both >= SIMILAR[0] * (len(one) + sizes - both)
+
+
+def set_links(words: np.ndarray, sets: list[np.ndarray], limit: int) -> Iterator[tuple[int, np.ndarray]]:
+    """As `part_links`, of the pairs within `limit` bits whose sets are alike."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    rest = np.arange(len(words))
+    while len(rest) > 1:
+        start, rest = rest[0], rest[1:]
+        front, members = [start], []
+        while front and len(rest):
+            at = front.pop()
+            near = np.bitwise_count(words[rest] ^ words[at]).sum(axis=1, dtype=np.int64) <= limit
+            near &= SIMILAR[1] * np.minimum(sizes[rest], sizes[at]) >= SIMILAR[0] * np.maximum(sizes[rest], sizes[at])
+            where = np.flatnonzero(near)
+            for cut in range(0, len(where), 256):
+                some = where[cut : cut + 256]
+                near[some] = alike(sets[at], [sets[i] for i in rest[some].tolist()])
+            members.append(rest[near])
+            front.extend(rest[near].tolist())
+            rest = rest[~near]
+        if any(map(len, members)):
+            yield start, np.concatenate(members)
+
+
+def similar_links(docs: DataFrame, distinct: DataFrame, candidates: DataFrame, shingle: int, limit: int = WIDE_LIMIT, shard_size: int = SHARD_SIZE, shard_shingles: int = SHARD_SHINGLES, **columns: str) -> DataFrame:
+    """(fp, root) links of the fingerprints that `candidates` connects and whose shingle sets are alike."""
+    names = [f"w{i}" for i in range(WORDS)]
+    groups = components(candidates)
+    groups = groups.union(groups.select("root", "root")).distinct()
+    words = [F.col("first.words")[i].alias(w) for i, w in enumerate(names)]
+    members = settle(distinct.join(groups, "fp").select("fp", "root", F.col("first.id").alias("id"), F.col("first.none").alias("none"), F.col("first.u2").alias("u2"), "first.size", *words))
+    weight = F.greatest(F.count(F.lit(1)) / shard_size, F.sum("size") / shard_shingles)
+    parts = settle(members.groupBy("root").agg(weight.alias("weight")).filter("weight > 1").select("root", F.ceil(2 * F.col("weight")).alias("blocks")))
+    # the text of a member is that of its first row; rows that repeat it are the same
+    t = texts(docs, **columns).select("text", F.col("doc_id").alias("id"), F.xxhash64(F.col("doc_id").isNull(), "text").alias("u2"))
+    m = small(members)
+    rows = t.join(m, t.id.eqNullSafe(members.id) & (t.u2 == members.u2)).select("fp", "root", *names, "text").dropDuplicates(["fp"])
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.drop(columns="text").assign(hashes=[np.unique(shingle_hashes(x, shingle)).tobytes() for x in batch.text])
+
+    def walk(part: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+        return set_links(part[names].to_numpy().view(np.uint64), [np.frombuffer(x, np.uint64) for x in part.hashes], limit)
+
+    sets = rows.mapInPandas(hashed, f"fp long, root long, {', '.join(f'{w} long' for w in names)}, hashes binary").withColumnRenamed("root", "class")
+    return task_links(dealt(sets, "class", parts.withColumnRenamed("root", "class")), "class", walk)
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, limit: int = LIMIT, **columns: str) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id."""
     prints = settle(fingerprints(docs, shingle, **columns))
@@ -364,8 +430,9 @@ def one_of_each(docs: DataFrame, shingle: int = 5, limit: int = WIDE_LIMIT, id_c
     """`docs` with one document of each class of near copies (five-word shingles, 0.8 of them shared): that of the
     smallest id, and of repeated rows the first."""
     prints = settle(wide_fingerprints(docs, shingle, id_col=id_col, text_col=text_col))
-    distinct = distinct_prints(prints, "words", "keys")
-    named = named_classes(distinct, wide_links(distinct, limit))
+    distinct = distinct_prints(prints, "words", "keys", "size")
+    candidates = wide_links(distinct, limit)
+    named = named_classes(distinct, similar_links(docs, distinct, candidates, shingle, limit, id_col=id_col, text_col=text_col))
     keep = prints.join(named, "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("u2") == F.col("keep_u2"))).select("doc_id", "u2").distinct()
     r = F.col("row")
     rows = packed(docs).withColumns({"k1": r[id_col].cast("long"), "k2": F.xxhash64(r[id_col].cast("long").isNull(), F.coalesce(r[text_col], F.lit("")))})

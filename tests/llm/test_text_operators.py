@@ -234,6 +234,27 @@ def test_wide_links_of_a_crowded_part(spark):
         assert {tuple(sorted(p)) for p in got} == {(i, i + 2500) for i in range(2500)}
 
 
+def test_classes_by_the_similarity_of_the_shingles(spark):
+    # pairs a little above and a little below 0.8: a changed word in the middle touches 5 shingles
+    rng = random.Random(21)
+    rows, want = [], set()
+    for k in range(120):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(604)]
+        changed = 12 if k % 2 else 18  # 540 of 660 shingles shared, 0.818, or 510 of 690, 0.739
+        copy = list(base)
+        for i in range(changed):
+            copy[20 + 30 * i] = f"v{k}_{i}"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+        want |= {2 * k} if k % 2 else {2 * k, 2 * k + 1}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in simhash.one_of_each(docs).collect()} == want
+    # parts dealt into blocks give the same classes
+    prints = simhash.distinct_prints(simhash.wide_fingerprints(docs, 5), "words", "keys", "size")
+    all_one = spark.createDataFrame([(r.fp, 0) for r in prints.collect()], "fp long, root long")
+    links = simhash.similar_links(docs, prints, all_one, 5, shard_size=60)
+    assert {r.component_id for r in simhash.named_classes(prints, links).collect()} == want
+
+
 def test_tree_finds_all_links(spark):
     rng = np.random.default_rng(2)
     centres = rng.integers(-(2**63), 2**63 - 1, 900)
