@@ -280,14 +280,15 @@ def classes(prints: DataFrame, limit: int = LIMIT, shard_size: int = SHARD_SIZE,
 
 
 def wide_fingerprints(docs: DataFrame, shingle: int, **columns: str) -> DataFrame:
-    """doc_id, u2, fp (the name of the wide fingerprint), its words, the keys and the number of distinct shingles."""
+    """doc_id, u2, fp (a hash of the set of shingles), the words of its SimHash, the keys and the number of shingles.
+    Each distinct shingle counts once, so a repeated one cannot decide the SimHash alone."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [np.unique(shingle_hashes(t, shingle)) for t in batch.text]
-            found = [wide_fingerprint(shingle_hashes(t, shingle)) for t in batch.text]
+            found = [wide_fingerprint(x) for x in sets]
             words = np.array([w for w, _ in found], np.uint64).reshape(-1, WORDS)
-            fp = np.array([xxhash.xxh64_intdigest(w.tobytes(), SEED) for w in words], np.uint64).view(np.int64)
+            fp = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
             yield pd.DataFrame({"doc_id": batch.doc_id.astype("Int64"), "u2": batch.u2, "fp": fp, "words": list(words.view(np.int64)), "keys": [k.view(np.int64) for _, k in found], "size": [len(x) for x in sets]})
 
     t = texts(docs, **columns).withColumn("u2", F.xxhash64(F.col("doc_id").isNull(), "text"))

@@ -255,6 +255,14 @@ def test_classes_by_the_similarity_of_the_shingles(spark):
     assert {r.component_id for r in simhash.named_classes(prints, links).collect()} == want
 
 
+def test_a_repeated_shingle_does_not_merge_documents(spark):
+    # one token repeated makes up over half of each text; the rest of the words differ
+    rows = [(k, "0 " * 200 + " ".join(f"w{k}_{i}" for i in range(120))) for k in range(6)]
+    rows.append((6, rows[5][1] + " more"))  # a near copy of a later one
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) == [0, 1, 2, 3, 4, 5]
+
+
 def test_tree_finds_all_links(spark):
     rng = np.random.default_rng(2)
     centres = rng.integers(-(2**63), 2**63 - 1, 900)
