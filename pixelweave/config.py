@@ -61,7 +61,7 @@ DETECTION = {
 
 @dataclass(frozen=True)
 class Registration:
-    max_stars: int = 50
+    max_stars: int | None = None  # first attempt only; `register` goes on to the remaining stars
     min_triangles: int = 3
     descriptor_tolerance: float = 0.05
     max_residual: float = 8.0
@@ -74,7 +74,7 @@ class Registration:
 
 
 REGISTRATION = {
-    "default": Registration(),
+    "default": Registration(50),
     "wide_field": Registration(30, 3, 0.04, 8.0, 3, 800.0, 20.0, True, 50, 6.0),
     "narrow_field": Registration(40, 3, 0.02, 3.0, 3, 300.0, 3.0, True, 50, 3.0),
     "robust": Registration(25, 2, 0.05, 10.0, 3, 600.0, 5.0, True, 80, 8.0),

@@ -1,14 +1,17 @@
 """Registration: star triangles, a range join on their shapes, voting and a robust fit.
 
 ``stars``: session, frame_id, star_idx (0 = brightest), x, y.  ``references``: session,
-frame_id of the reference frame of each session.  Star lists are cut to ``max_stars``
-(a few dozen), so per-frame arrays of stars, votes and pairs are small by construction;
-triangles, their matches and the votes are rows.
+frame_id of the reference frame of each session.  An attempt compares the brightest
+``max_stars`` stars where its parameter set names a limit; ``register`` repeats a failed
+attempt with twice as many until no star is left out, so only frames that fail pay for
+all their stars.  Triangles, their matches and the votes are rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -196,7 +199,7 @@ def votes(targets: DataFrame, references: DataFrame, config: Registration, salts
 def one_to_one(vote_rows: DataFrame) -> DataFrame:
     """Pairs by falling votes, then (ref, tgt); each star is used once.
 
-    At most max_stars^2 vote rows per frame are folded in order: frame, pair_idx, ref, tgt.
+    The vote rows of a frame, at most the square of the stars compared, are folded in order: frame, pair_idx, ref, tgt.
     """
     ordered = F.sort_array(F.collect_list(F.struct((-F.col("votes")).alias("n"), "ref", "tgt")))
     g = vote_rows.groupBy(*FRAME).agg(ordered.alias("_v"))
@@ -445,29 +448,51 @@ def register(
 ) -> DataFrame:
     """Register with the presets in turn, each only on frames the ones before did not place.
 
-    One row per frame: transform, matched, residual, config, attempts, status, reason.
+    Frames that fail with more stars than the last preset compares, in the frame or in its
+    reference, are tried again with twice as many until all stars are compared.
+    One row per frame: transform, matched, residual, config, attempts, status, reason and
+    dropped, the stars of the frame that its last attempt left out.
     """
     steps = [(name, REGISTRATION[name]) for name in cascade] + list(extra)
     if hints is not None:
         steps.insert(0, ("hint_based", hints.registration()))
     stars = settle(stars.select(*FRAME, "star_idx", "x", "y"))  # read by every attempt
+    counts = stars.groupBy(*FRAME).agg(F.count("*").alias("_stars"))
+    ref_counts = counts.join(references.select(*FRAME), FRAME, "left_semi").select("session", F.col("_stars").alias("_ref_stars"))
+    sizes = settle(counts.join(ref_counts, "session", "left"))
     todo, placed, failed = frames.select(*FRAME), None, None
-    for i, (name, config) in enumerate(steps):
-        result = settle(attempt(stars, references, todo, config, salts))
+
+    def step(name: str, config: Registration, number: int) -> None:
+        nonlocal todo, placed, failed
+        left_out = F.greatest(F.coalesce("_stars", F.lit(0)) - config.max_stars, F.lit(0)) if config.max_stars is not None else F.lit(0)
+        result = attempt(stars, references, todo, config, salts).join(sizes.select(*FRAME, "_stars"), FRAME, "left")
+        result = result.withColumn("dropped", left_out.cast("long")).withColumn("attempts", F.lit(number)).drop("_stars")
+        result = settle(result.withColumn("_step", F.lit(name)))
         good = result.filter("status = 'ok'")
-        detail = diagnostics(stars, references, good, config.max_residual * 2.0)
-        good = good.join(detail, FRAME).withColumn("config", F.lit(name)).withColumn("attempts", F.lit(i + 1))
+        detail = diagnostics(stars, references, good.drop("dropped", "attempts", "_step"), config.max_residual * 2.0)
+        good = good.join(detail, FRAME).withColumnRenamed("_step", "config")
         placed = good if placed is None else placed.unionByName(good)
-        failed = result.filter("status = 'failed'")
-        todo = failed.select(*FRAME)
-        last = name
-    text = F.concat(F.lit(f"All registration strategies failed. Last error: {last}: "), F.col("reason"))
+        bad = result.filter("status = 'failed'")
+        failed = bad if failed is None else failed.join(todo, FRAME, "left_anti").unionByName(bad)
+        todo = bad.select(*FRAME)
+
+    for i, (name, config) in enumerate(steps):
+        step(name, config, i + 1)
+    number, limit = len(steps), config.max_stars
+    while limit is not None:
+        most = F.greatest("_stars", F.coalesce("_ref_stars", F.lit(0)))
+        todo = settle(todo.join(sizes.filter(most > limit), FRAME, "left_semi"))
+        if todo.isEmpty():
+            break
+        number, limit = number + 1, 2 * limit
+        step(f"{name}_{limit}", replace(config, max_stars=limit), number)
+    text = F.concat(F.lit("All registration strategies failed. Last error: "), F.col("_step"), F.lit(": "), F.col("reason"))
     lost = (
         failed.withColumn("reason", text)
         .withColumn("matched", F.lit(0))
         .withColumn("residual", F.lit(None).cast("double"))
         .withColumn("config", F.lit(None).cast("string"))
-        .withColumn("attempts", F.lit(len(steps)))
+        .drop("_step")
     )
     for c in ("rotation", "scale", "tx", "ty"):
         lost = lost.withColumn(c, F.lit(None).cast("double"))

@@ -234,7 +234,7 @@ TRUTH = """truth AS (SELECT session, frame_id, ((frame_id % 17) - 8) * 0.01::DOU
 def _(spark, sf):
     s = moved_stars(spark, sf)
     fr = s.select(*FRAME, "frame_number").distinct()
-    return G.register(s, fr.filter("frame_number = 1").select(*FRAME), fr.filter("frame_number > 1"))
+    return G.register(s, fr.filter("frame_number = 1").select(*FRAME), fr.filter("frame_number > 1")).drop("dropped")
 
 
 @query(
