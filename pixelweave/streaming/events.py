@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
 EVENT_SCHEMA = "camera bigint, event_id bigint, client bigint, t_us bigint, ts timestamp, kind string, value double, props string"
 
@@ -34,18 +34,6 @@ def write_stream(df: DataFrame, path: str, checkpoint: str, mode: str = "append"
     )
 
 
-def rejection_bursts(events: DataFrame, window: str = "1 second", slide: str = "500 milliseconds", threshold: int = 10, late: str = "10 seconds") -> DataFrame:
-    """Sliding windows that hold at least ``threshold`` rejections of a camera.
-
-    The partial counts of a busy camera merge before the exchange.
-    """
-    # every event counts for the watermark, so a quiet camera cannot hold its windows open
-    w = events.withWatermark("ts", late)
-    hit = (F.col("kind") == "rejected").cast("long")
-    g = w.groupBy("camera", F.window("ts", window, slide).alias("w")).agg(F.sum(hit).alias("recent"))
-    return g.filter(F.col("recent") >= threshold).select("camera", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "recent")
-
-
 def deduplicate(frames: DataFrame, late: str = "1 hour") -> DataFrame:
     """One row per (session, frame_number) within the watermark; later copies are dropped."""
     return frames.withWatermark("ts", late).dropDuplicatesWithinWatermark(["session", "frame_number"])
@@ -129,6 +117,71 @@ def timeout_streaks(events: DataFrame, threshold: int = 3) -> DataFrame:
     )
 
 
+class _Bursts(StatefulProcessor):
+    """Rejections of one camera that end a burst, counted back from each over the trailing window."""
+
+    def __init__(self, window_us: int, threshold: int, late_us: int):
+        self.window_us, self.threshold, self.late_us = window_us, threshold, late_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        fields = [StructField(c, ArrayType(LongType())) for c in ("t", "id", "told")]
+        self.seen = handle.getValueState("seen", StructType([*fields, StructField("first", ArrayType(LongType()))]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        t, ids, told, first = self.seen.get() if self.seen.exists() else ([], [], [], [])
+        held = list(zip(t, ids, told))
+        first = tuple(first)  # the first captured frame: nothing was stacked before it
+        for pdf in rows:
+            for event_id, t_us, kind in zip(pdf["event_id"].tolist(), pdf["t_us"].tolist(), pdf["kind"]):
+                if kind == "rejected":
+                    held.append((t_us, event_id, 0))
+                else:
+                    first = min(first or (t_us, event_id), (t_us, event_id))
+        held.sort()
+        out, kept, start = [], [], 0
+        for at, (t_us, event_id, told) in enumerate(held):
+            while held[start][0] < t_us - self.window_us:
+                start += 1
+            recent = at - start + 1
+            if recent >= self.threshold and not told:
+                told = 1
+                out.append((key[0], event_id, t_us, recent, True, not first or first > (t_us, event_id)))
+            if t_us >= held[-1][0] - self.window_us - self.late_us:
+                kept.append((t_us, event_id, told))
+        self.seen.update(([x[0] for x in kept], [x[1] for x in kept], [x[2] for x in kept], list(first)))
+        if out:
+            yield pd.DataFrame(out, columns=["camera", "event_id", "t_us", "recent", "alert", "stop"])
+
+    def close(self) -> None:
+        pass
+
+
+BURST_SCHEMA = StructType(
+    [
+        StructField("camera", LongType()),
+        StructField("event_id", LongType()),
+        StructField("t_us", LongType()),
+        StructField("recent", LongType()),
+        StructField("alert", BooleanType()),
+        StructField("stop", BooleanType()),
+    ]
+)
+
+
+def rejection_bursts(events: DataFrame, window: str = "1 second", threshold: int = 10, late: str = "10 seconds") -> DataFrame:
+    """The alerts of the batch form: rejections with ``threshold`` or more in their trailing window.
+
+    State: the rejections of the window and of ``late`` before it, so that rejections which
+    arrive late still complete a burst, and the first captured frame of the camera.
+    """
+    _stateful(events.sparkSession)
+    us = lambda text: int(pd.Timedelta(text).total_seconds() * 1_000_000)
+    kept = events.filter(F.col("kind").isin("rejected", "captured")).select("camera", "event_id", "t_us", "kind")
+    return kept.groupBy("camera").transformWithStateInPandas(
+        statefulProcessor=_Bursts(us(window), threshold, us(late)), outputStructType=BURST_SCHEMA, outputMode="Append", timeMode="None"
+    )
+
+
 class _Queue(StatefulProcessor):
     """Queue warnings of one camera: entering, repeated, clearing."""
 

@@ -62,6 +62,26 @@ def test_burst_stream(spark, log):
     assert {r["camera"] for r in out} == {1} and max(r["recent"] for r in out) == 10
 
 
+def test_burst_stream_equals_batch(spark, tmp_path):
+    # ten rejections from 0.3 s to 1.2 s lie whole in no window that slides by half a second
+    t0, rows = 1_700_000_000 * MS, []
+    for k in range(10):
+        rows.append((1, k, 0, t0 + 300_000 + k * 100_000, "rejected", 1.0, "{}"))
+    rows.append((2, 10, 0, t0, "captured", 1.0, "{}"))
+    for k in range(12):
+        rows.append((2, 11 + k, 0, t0 + 300_000 + k * 70_000, "rejected", 1.0, "{}"))
+    df = spark.createDataFrame(rows, "camera bigint, event_id bigint, client bigint, t_us bigint, kind string, value double, props string")
+    df = df.withColumn("ts", F.timestamp_micros("t_us")).select("camera", "event_id", "client", "t_us", "ts", "kind", "value", "props")
+    path = str(tmp_path / "log")
+    for part in ("event_id < 6 OR event_id BETWEEN 10 AND 15", "event_id BETWEEN 6 AND 9 OR event_id > 15"):
+        df.filter(part).coalesce(1).write.mode("append").parquet(path)
+    columns = ["camera", "event_id", "t_us", "recent", "alert", "stop"]
+    want = sorted(map(tuple, H.rejection_bursts(df).filter("alert").select(*columns).collect()))
+    assert [(r[0], r[3], r[5]) for r in want] == [(1, 10, True), (2, 10, False), (2, 11, False), (2, 12, False)]
+    got = drain(spark, E.rejection_bursts(E.read_events(spark, path))).select(*columns)
+    assert sorted(map(tuple, got.collect())) == want
+
+
 def test_streaks(spark, log):
     batch = H.timeout_streaks(log[0]).select("camera", "event_id", "streak", "unresponsive")
     stream = drain(spark, E.timeout_streaks(E.read_events(spark, log[1]))).select("camera", "event_id", "streak", "unresponsive")
