@@ -1,9 +1,10 @@
 """Suffix-array dedup on bytes: remove every byte of a string of 200 bytes that also starts elsewhere.
 
-Prefix doubling over the positions that can still repeat. Spark sorts (position, rank) rows, the rank being that
-of the 32 bytes at a content-chosen position; unique ranks leave (`passages`). Within the shards of equal ranks,
-the pairs (rank at i, rank at i + h) are sorted and re-ranked for h = 32, 64, 128 and past the threshold; positions
-of unique rank leave at every round.
+Spark counts the 32-byte grams at content-chosen positions and the hashes of the stretches that hold them; unique
+ones leave (`passages`). Positions of equal gram go to one shard, and prefix doubling runs in numpy inside each shard:
+the pairs (rank at i, rank at i + h) are sorted and re-ranked for h = 32, 64, 128 and past the threshold; positions of
+unique rank leave at every round. Grams beyond the shard bound are not doubled: their windows are counted by 128-bit
+fingerprints (`_counted`). Spark does not sort or re-rank positions itself.
 
 Null or empty text: nothing to remove, zero bytes. Texts under the threshold are kept. Repeated rows of at least
 that length repeat each other and are removed whole. Empty table: no rows.
