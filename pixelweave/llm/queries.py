@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import automata, cascade, lattice, merkle, mixing, pieces, simhash, sites, suffixes, warc
+from . import automata, cascade, lattice, merkle, mixing, pieces, prefixes, simhash, sites, suffixes, tongues, warc, whitening
 from .common import table
 from .places import fresh_folder
 
@@ -84,3 +84,18 @@ def op9(spark, sf):
 @query("op10_sentencepiece")
 def op10(spark, sf):
     return pieces.digests(table(spark, sf, "documents"))
+
+
+@query("op11_language_id")
+def op11(spark, sf):
+    return tongues.identify(table(spark, sf, "documents"))
+
+
+@query("op12_prefix_trie")
+def op12(spark, sf):
+    return prefixes.trie(table(spark, sf, "conversations"))
+
+
+@query("op13_whitening")
+def op13(spark, sf):
+    return whitening.whiten(table(spark, sf, "embeddings"))
