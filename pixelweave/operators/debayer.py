@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..config import CFA_PATTERNS
+from ..functions import tiles as TL
 from ..functions.columns import cfa_colour, clamp
 from ..functions.stencil import at, neighbourhood
 from ..model import FRAME
@@ -140,3 +144,70 @@ def auto(pixels: DataFrame, frames: DataFrame, algorithm: str = "bilinear") -> D
     """Detect each frame's pattern, then demosaic."""
     found = detect_pattern(pixels, frames)
     return (bilinear if algorithm == "bilinear" else variable_gradients)(pixels, found)
+
+
+# ---- tiles -------------------------------------------------------------------------
+
+
+def _sites(pattern: str, y0: int, x0: int, h: int, w: int) -> np.ndarray:
+    """Colour of each site of a tile that begins at (y0, x0)."""
+    table = np.array([[CFA_PATTERNS[pattern][(r, c)] for c in (0, 1)] for r in (0, 1)])
+    return table[(y0 + np.arange(h))[:, None] % 2, (x0 + np.arange(w))[None, :] % 2]
+
+
+def _bilinear_tile(near, own: np.ndarray, beside: np.ndarray) -> list[np.ndarray]:
+    """The rule of `_bilinear` for all sites of a tile; `near(dy, dx)` gives the samples at an offset."""
+    sides_x, sides_y = (near(0, -1) + near(0, 1)) * 0.5, (near(-1, 0) + near(1, 0)) * 0.5
+    cross = (near(0, -1) + near(0, 1) + near(-1, 0) + near(1, 0)) * 0.25
+    corners = (near(-1, -1) + near(-1, 1) + near(1, -1) + near(1, 1)) * 0.25
+    out = []
+    for c in (0, 2):
+        at_green = np.where(beside == c, sides_x, sides_y)
+        out.append(np.where(own == c, near(0, 0), np.where(own == 1, at_green, corners)))
+    return [out[0], np.where(own == 1, near(0, 0), cross), out[1]]
+
+
+def _gradients_tile(near, own: np.ndarray, beside: np.ndarray, colour, per_colour_count: bool) -> list[np.ndarray]:
+    """The rule of `variable_gradients` for all sites of a tile; `colour(dy, dx)` gives the sites' colours at an offset."""
+    g = [np.abs(near(2 * dy, 2 * dx) - near(0, 0)) + np.abs(near(dy, dx) - near(-dy, -dx)) for dx, dy in COMPASS]
+    low, high = np.minimum.reduce(g), np.maximum.reduce(g)
+    limit = low + (high - low) * 0.5
+    used = [gi <= limit for gi in g]
+    number = sum(u.astype(float) for u in used)
+    out = []
+    for c, plain in enumerate(_bilinear_tile(near, own, beside)):
+        holds = [u & (colour(dy, dx) == c) for u, (dx, dy) in zip(used, COMPASS)]
+        total = sum(np.where(k, near(dy, dx), 0.0) for k, (dx, dy) in zip(holds, COMPASS))
+        count = sum(k.astype(float) for k in holds) if per_colour_count else number
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out.append(np.where(own == c, near(0, 0), np.where(total > 0.0, total / count, plain)))
+    return out
+
+
+def demosaic_tiles(tiles: DataFrame, pattern: str | DataFrame, algorithm: str = "bilinear", side: int = TL.SIDE, per_colour_count: bool = False) -> DataFrame:
+    """Mosaic tiles (`functions.tiles`) to tiles of three channels, bilinear or by gradients.
+
+    Equal to `bilinear` and `variable_gradients` on the long table; a task sees one tile and its halo at a time.
+    """
+    if isinstance(pattern, str):
+        known = tiles.withColumn("pattern", F.lit(pattern))
+    else:
+        known = tiles.join(pattern.select(*FRAME, "pattern"), FRAME)
+    known = known.select(*[c for c in known.columns if c != "data"], "data")
+    radius = 1 if algorithm == "bilinear" else 2
+
+    def kernel(r: dict, block: np.ndarray) -> Iterator[tuple]:
+        y0, x0, h, w = r["ty"] * side, r["tx"] * side, r["h"], r["w"]
+
+        def near(dy: int, dx: int) -> np.ndarray:
+            return TL.shifted(block, radius, dy, dx)
+
+        def colour(dy: int, dx: int) -> np.ndarray:
+            return _sites(r["pattern"], y0 + dy, x0 + dx, h, w)
+
+        own, beside = colour(0, 0), colour(0, 1)
+        planes = _bilinear_tile(near, own, beside) if radius == 1 else _gradients_tile(near, own, beside, colour, per_colour_count)
+        for c, plane in enumerate(planes):
+            yield *[r[k] for k in FRAME], c, r["ty"], r["tx"], h, w, r["fh"], r["fw"], plane.tobytes()
+
+    return TL.with_halo(known, radius, kernel, TL.tile_schema(tiles), side, repeat_edge=True)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import Lucky
 from ..functions import scan
+from ..functions import tiles as TL
 from ..functions.columns import clamp
 from ..functions.stencil import at, neighbourhood
 from ..model import FRAME, PIXEL
@@ -34,6 +39,50 @@ def sharpness(luminance: DataFrame) -> DataFrame:
     )
 
 
+def sharpness_tiles(tiles: DataFrame, side: int = TL.SIDE) -> DataFrame:
+    """`sharpness` from luminance tiles: a task sees one tile and its halo; sums and spreads per tile are added up.
+
+    Spreads are taken about each tile's own mean first, so large means do not cancel.
+    """
+    names = ("lap", "root", "square", "value")
+    fields = [T.StructField(f"{a}_{n}", T.DoubleType()) for n in names for a in ("n", "mean", "m2")]
+    schema = T.StructType([*[tiles.schema[n] for n in FRAME], *fields])
+
+    def kernel(r: dict, block: np.ndarray) -> Iterator[tuple]:
+        def near(dy: int, dx: int) -> np.ndarray:
+            return TL.shifted(block, 1, dy, dx)
+
+        gx = (near(-1, 1) - near(-1, -1)) + 2.0 * (near(0, 1) - near(0, -1)) + (near(1, 1) - near(1, -1))
+        gy = (near(1, -1) - near(-1, -1)) + 2.0 * (near(1, 0) - near(-1, 0)) + (near(1, 1) - near(-1, 1))
+        lap = near(-1, 0) + near(1, 0) + near(0, -1) + near(0, 1) - 4.0 * near(0, 0)
+        own = ~np.isnan(near(0, 0))
+        interior = own & ~np.isnan(near(-1, -1)) & ~np.isnan(near(1, 1))
+        square = gx * gx + gy * gy
+        out = []
+        for v, use in ((lap, interior), (np.sqrt(square), interior), (square, interior), (near(0, 0), own)):
+            v = v[use & ~np.isnan(v)]
+            mean = v.mean() if v.size else 0.0
+            out += [float(v.size), float(mean), float(((v - mean) ** 2).sum())]
+        yield *[r[k] for k in FRAME], *out
+
+    parts = TL.with_halo(tiles, 1, kernel, schema, side)
+    sums = parts.groupBy(*FRAME).agg(
+        *[F.sum(f"n_{n}").alias(f"n_{n}") for n in names],
+        *[F.sum(F.col(f"n_{n}") * F.col(f"mean_{n}")).alias(f"s_{n}") for n in names],
+        *[F.sum(F.col(f"m2_{n}") + F.col(f"n_{n}") * F.col(f"mean_{n}") ** 2).alias(f"q_{n}") for n in names],
+    )
+    mean = lambda n: F.try_divide(F.col(f"s_{n}"), F.col(f"n_{n}"))
+    spread = lambda n: F.greatest(F.try_divide(F.col(f"q_{n}"), F.col(f"n_{n}")) - mean(n) ** 2, F.lit(0.0))
+    none = F.lit(0.0)
+    return sums.select(
+        *FRAME,
+        F.coalesce(spread("lap"), none).alias("laplacian"),
+        F.coalesce(mean("root"), none).alias("sobel"),
+        F.coalesce(mean("square"), none).alias("tenengrad"),
+        F.sqrt(spread("value")).alias("stddev"),
+    )
+
+
 def frame_scores(luminance: DataFrame, metric: str) -> DataFrame:
     if metric == "stddev":
         return luminance.groupBy(*FRAME).agg(F.stddev_pop("v").alias("quality"))

@@ -144,7 +144,7 @@ def stretch_frames(
     color_intensity: float = 1.0,
     contrast: Contrast | None = None,
 ) -> DataFrame:
-    """Tone-map frames of one or three channels. ``strengths``: frame, channels, strength.
+    """Tone-map frames of one or three channels; others keep their values. ``strengths``: frame, channels, strength.
 
     Contrast, when given, is folded into the colour curve, as one pass.
     """
@@ -157,7 +157,8 @@ def stretch_frames(
     curve = _tone_curve(tone, k)
     full = (lambda lum: s_curve(curve(lum), contrast)) if contrast else curve
     colour = from_rgb(map_rgb(rgb, keep_colour(full, color_intensity)).select(*SITE, "r", "g", "b"))
-    return mono.unionByName(colour.select(*FRAME_PIXEL, "v"))
+    others = j.filter("channels IS NULL OR channels NOT IN (1, 3)").select(*FRAME_PIXEL, "v")
+    return mono.unionByName(colour.select(*FRAME_PIXEL, "v")).unionByName(others)
 
 
 def contrast_frames(pixels: DataFrame, contrast: Contrast = Contrast()) -> DataFrame:
@@ -253,7 +254,10 @@ def stretch_parameters(pixels: DataFrame, frames: DataFrame, config: Stretch = S
 def auto_stretch(
     pixels: DataFrame, frames: DataFrame, config: Stretch = Stretch(), contrast: Contrast | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """(stretched pixels, parameters per frame)."""
+    """(stretched pixels, parameters per frame). Frames of other than one or three channels keep their pixels."""
+    others = frames.filter("channels IS NULL OR channels NOT IN (1, 3)").select(*FRAME)
+    untouched = pixels.join(others, FRAME, "left_semi").select(*FRAME_PIXEL, "v")
+    pixels, frames = pixels.join(others, FRAME, "left_anti"), frames.filter("channels IN (1, 3)")
     stats = S.image_stats(pixels, frames, Stats())
     params = stretch_parameters(pixels, frames, config, stats)
     strengths = params.join(frames.select(*FRAME, "channels"), FRAME)
@@ -264,7 +268,7 @@ def auto_stretch(
         cut = subtract_black_point(pixels, per_channel.unionByName(mono))
     else:
         cut = subtract_black_point(pixels, params)
-    return stretch_frames(cut, strengths, config.tone, config.color_intensity, contrast), params
+    return stretch_frames(cut, strengths, config.tone, config.color_intensity, contrast).unionByName(untouched), params
 
 
 # ---- output ----------------------------------------------------------------------------------------

@@ -146,10 +146,10 @@ def _(spark, sf):
     "translate_frames",
     "session:i frame_id:i ch:i y:i x:i v:d",
     [*fx.F1, "moves AS (SELECT session, frame_id, CASE WHEN frame_id % 5 = 0 THEN 0.0 ELSE (frame_id % 7 - 3) / 2.0::DOUBLE END AS dx, CASE WHEN frame_id % 5 = 0 THEN 0.0 ELSE (frame_id % 3 - 1) * 0.75::DOUBLE END AS dy FROM vectors)",
-     """grid AS (SELECT m.session, m.frame_id, y.y, x.x, dx, dy, x.x - dx AS sx, y.y - dy AS sy FROM moves m, range(0, 8) y(y), range(0, 8) x(x) WHERE abs(dx) >= 0.001 OR abs(dy) >= 0.001)""",
-     "corner AS (SELECT g.*, floor(sx)::INT + ox.ox AS px, floor(sy)::INT + oy.oy AS py FROM grid g, range(0, 2) ox(ox), range(0, 2) oy(oy) WHERE sx >= 0 AND sx < 7 AND sy >= 0 AND sy < 7)"],
-    """SELECT g.session, g.frame_id, 0 AS ch, g.y, g.x, sum(p.v * (1 - abs(p.x - sx)) * (1 - abs(p.y - sy))) AS v FROM corner g JOIN pixels p ON p.session = g.session AND p.frame_id = g.frame_id AND p.x = g.px AND p.y = g.py
-       GROUP BY g.session, g.frame_id, g.y, g.x
+     "points AS (SELECT * FROM (SELECT p.session, p.frame_id, p.y, p.x, p.x - dx AS sx, p.y - dy AS sy FROM pixels p JOIN moves m ON m.session = p.session AND m.frame_id = p.frame_id WHERE abs(dx) >= 0.001 OR abs(dy) >= 0.001) WHERE sx >= 0 AND sx < 7 AND sy >= 0 AND sy < 7)",
+     "corner AS (" + " UNION ALL ".join(f"SELECT session, frame_id, y, x, floor(sy)::INT + {dy} AS py, floor(sx)::INT + {dx} AS px, (1 - abs(sy - (floor(sy) + {dy}))) * (1 - abs(sx - (floor(sx) + {dx}))) AS k FROM points" for dy in (0, 1) for dx in (0, 1)) + ")"],
+    """SELECT c.session, c.frame_id, 0 AS ch, c.y, c.x, sum(k * p.v) AS v FROM corner c JOIN pixels p ON p.session = c.session AND p.frame_id = c.frame_id AND p.x = c.px AND p.y = c.py
+       GROUP BY c.session, c.frame_id, c.y, c.x
        UNION ALL SELECT p.session, p.frame_id, 0, p.y, p.x, v FROM pixels p JOIN moves USING (session, frame_id) WHERE abs(dx) < 0.001 AND abs(dy) < 0.001""",
 )
 def _(spark, sf):

@@ -200,6 +200,33 @@ def _(spark, sf):
     return render.render(px, fr, Render(background=BG))[1]
 
 
+def mixed_channels(spark, sf):
+    """The three-channel mosaics with every fourth frame cut to one channel and every fourth to two."""
+    px, fr = fx.mosaic(spark, sf, 3)
+    k = (F.col("session") + F.col("frame_id")) % 4
+    left = F.when(k == 1, 1).when(k == 2, 2).otherwise(3)
+    return px.filter(F.col("ch") < left), fr.withColumn("channels", left)
+
+
+@query(
+    "render_status_mixed",
+    "session:i frame_id:i background_subtracted:b auto_stretched:b saturation_boosted:b contrast_applied:b reason:s",
+    fx.F2,
+    """SELECT DISTINCT session, frame_id, (session + frame_id) % 4 <> 2 AS background_subtracted, (session + frame_id) % 4 <> 2 AS auto_stretched, false AS saturation_boosted, (session + frame_id) % 4 IN (0, 3) AS contrast_applied,
+       CASE WHEN (session + frame_id) % 4 = 2 THEN '2 channels, not one or three' END AS reason FROM mosaic""",
+)
+def _(spark, sf):
+    px, fr = mixed_channels(spark, sf)
+    return render.render(px, fr, Render(background=BG))[1]
+
+
+@query("render_odd_channels", PX, fx.F3M, "SELECT session, frame_id, ch, y, x, v FROM mosaic WHERE (session + frame_id) % 4 = 2 AND ch < 2")
+def _(spark, sf):
+    px, fr = mixed_channels(spark, sf)
+    out, status = render.render(px, fr, Render(background=BG))
+    return out.join(status.filter("reason IS NOT NULL").select(*FRAME), FRAME, "left_semi")
+
+
 @query(
     "background_custom_model",
     PX,

@@ -75,6 +75,7 @@ def load_all() -> dict[str, Query]:
         q_sources,
         q_stacking,
         q_statistics,
+        q_tiles,
         q_tone,
     )
 

@@ -22,11 +22,13 @@ def _apply(pixels: DataFrame, able: DataFrame, fn) -> DataFrame:
 def render(pixels: DataFrame, frames: DataFrame, config: Render = Render(), model=None, boost=None) -> tuple[DataFrame, DataFrame]:
     """(pixels, status): each stage runs on the frames that fit it and is reported per frame.
 
-    Frames need one or three channels; a background grid needs at least its
-    own size, saturation and contrast need colour.  ``model`` and ``boost``
-    replace the background model and the saturation curve.
+    Frames of any size are stretched; a background grid needs at least its own size, saturation and
+    contrast need colour.  Frames of other than one or three channels keep their pixels, and their status gives the
+    ``reason``.  ``model`` and ``boost`` replace the background model and the saturation curve.
     """
     known = frames.filter("channels IN (1, 3)")
+    others = frames.filter("channels IS NULL OR channels NOT IN (1, 3)")
+    untouched = pixels.join(others.select(*FRAME), FRAME, "left_semi").select(*FRAME_PIXEL, "v")
     sites = F.col("width") * F.col("height")
     px = pixels.join(known.select(*FRAME), FRAME, "left_semi")
     no = F.lit(False)
@@ -59,4 +61,6 @@ def render(pixels: DataFrame, frames: DataFrame, config: Render = Render(), mode
     report = known.select(*FRAME, *[c.alias(n) for n, c in status.items()])
     if params is not None:
         report = report.join(params.select(*FRAME, "black_point", "strength"), FRAME, "left")
-    return px, report
+    odd = others.select(*FRAME, *[no.alias(n) for n in status], F.format_string("%s channels, not one or three", F.col("channels").cast("string")).alias("reason"))
+    report = report.withColumn("reason", F.lit(None).cast("string")).unionByName(odd, allowMissingColumns=True)
+    return px.select(*FRAME_PIXEL, "v").unionByName(untouched), report

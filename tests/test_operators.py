@@ -50,7 +50,7 @@ def test_grouped_search_equals_shift_rows(planet):
     rois = fr.select("session", "frame_id", *[F.lit(v).alias(n) for n, v in (("roi_x", 2), ("roi_y", 20), ("roi_w", 40), ("roi_h", 30))])
     surface = L.ncc_surface(lum, ref, rois, fr, 4)
     rows = L.refine_shift(surface, L.best_shift(surface), 4)
-    wide = L.wide_shift(lum, ref, rois, fr, 4)
+    wide = L.shift_search(lum, ref, rois, fr, 4)
     key = lambda df: sorted((r["frame_id"], r["dx"], r["dy"], round(r["ncc"], 6), round(r["sub_dx"], 5), round(r["sub_dy"], 5)) for r in df.collect())
     assert key(rows) == key(wide)
 
@@ -169,13 +169,16 @@ def test_auto_aggressiveness_limits(spark):
 def test_render_skips_what_does_not_fit(spark):
     small, big = np.full((8, 8), 0.2), np.abs(noise(40, 40, 2, 0.3)) + 0.05
     colour = np.stack([big, big * 0.9, big * 0.8], axis=2)
-    px, fr = frames_of(spark, [("r", 1, 1, small), ("r", 2, 2, big), ("r", 3, 3, colour)])
+    pair = np.stack([big, big * 2.0], axis=2)
+    px, fr = frames_of(spark, [("r", 1, 1, small), ("r", 2, 2, big), ("r", 3, 3, colour), ("r", 4, 4, pair)])
     out, status = render.render(px, fr, Render(background=Background(cols=10, rows=10)))
-    s = {r["frame_id"]: (r["background_subtracted"], r["auto_stretched"], r["contrast_applied"]) for r in status.collect()}
-    assert s == {1: (False, False, False), 2: (True, True, False), 3: (True, True, True)}
-    assert np.allclose(to_array(out, 8, 8, where="frame_id = 1"), 0.2)
-    assert out.count() == 64 + 1600 + 4800
-    assert out.filter("v < 0 OR v > 1").count() == 0
+    s = {r["frame_id"]: (r["background_subtracted"], r["auto_stretched"], r["contrast_applied"], r["reason"]) for r in status.collect()}
+    # a small frame is stretched from the samples it has; two channels are left alone and said so
+    assert s == {1: (False, True, False, None), 2: (True, True, False, None), 3: (True, True, True, None), 4: (False, False, False, "2 channels, not one or three")}
+    for c in (0, 1):
+        assert np.array_equal(to_array(out, 40, 40, ch=c, where="frame_id = 4"), pair[:, :, c])
+    assert out.count() == 64 + 1600 + 4800 + 3200
+    assert out.filter("frame_id <> 4 AND (v < 0 OR v > 1)").count() == 0
 
 
 def test_darkened_render_rule():
