@@ -125,10 +125,10 @@ class Grams:
                 if 0 < k < size - 1:
                     inner &= c != 0
             ends = fresh[size - 1 : size - 1 + count]
-            some = (low[:count] != 0) | (low[size - 1 : size - 1 + count] != 0)
-            inner &= ends & some
+            inner &= ends
             found.append(_mixed(key[inner] ^ np.uint64(size << 60)))
-            owner.append(rows[size - 1 : size - 1 + count][inner])
+            # a gram that ends at a border belongs to the letter before it
+            owner.append(np.where(low[size - 1 :] != 0, rows[size - 1 :], rows[size - 2 : -1])[inner])
         self.tail = low[-(max(SIZES) - 1) :]
         self.row = -1 if last else end
         if not found:
@@ -167,7 +167,7 @@ def _positions(h: np.ndarray) -> list[np.ndarray]:
 
 def learn(train: DataFrame, per_language: int = PER_LANGUAGE) -> Filter | None:
     """The filter from rows of doc_id, text, lang; None where no row has both a text and a language."""
-    train = train.filter("text IS NOT NULL AND lang IS NOT NULL")
+    train = train.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").filter("text IS NOT NULL AND lang IS NOT NULL")
     sizes = {r.lang: r.n for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
     if not sizes:
         return None
