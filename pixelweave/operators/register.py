@@ -2,13 +2,15 @@
 
 ``stars``: session, frame_id, star_idx (0 = brightest), x, y.  ``references``: session,
 frame_id of the reference frame of each session.  An attempt compares the brightest
-``max_stars`` stars where its parameter set names a limit; ``register`` repeats a failed
-attempt with twice as many until no star is left out, so only frames that fail pay for
-all their stars.  Triangles, their matches and the votes are rows.
+``max_stars`` stars where its parameter set names a limit; ``register`` accepts its fit only if
+it holds for the other stars too, and repeats a failed attempt with twice as many, beyond ``ALL_TRIPLES`` stars with the
+triangles of near neighbours (``crowded``), so only frames that fail pay for all their stars.
+Triangles, their matches and the votes are rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import replace
 
@@ -17,14 +19,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import CASCADE, CASCADE_THOROUGH, REGISTRATION, Hints, Registration
 from ..functions.arrays import let
-from ..functions.geometry import distance, residual
+from ..functions.geometry import distance, forward, residual
+from ..functions.salting import CELL_ROWS, salted_join
 from ..model import FRAME
 from ..session import settle
+from . import crowded
 
-SALTS = 16
+# stars up to which an attempt lists all triples
+ALL_TRIPLES = 64
+# share of the shorter star list that must lie at a partner, beyond those that do by chance, for a fit of the brightest stars to count
+CONFIRMED = 0.25
 
 
 # ---- triangles -----------------------------------------------------------------
@@ -103,17 +111,15 @@ def triangles(stars: DataFrame, config: Registration = Registration(), adaptive:
 # ---- matching --------------------------------------------------------------------
 
 
-def match_triangles(targets: DataFrame, references: DataFrame, tolerance: float, salts: int = SALTS) -> DataFrame:
+def match_triangles(targets: DataFrame, references: DataFrame, tolerance: float, limit: int = CELL_ROWS) -> DataFrame:
     """Pairs of target and reference triangles of a session with both shape numbers within ``tolerance``.
 
     ``references`` holds the reference frame's triangles.  Shapes fall into cells of the
     tolerance; a reference triangle is repeated for the 3x3 cells around it, so the join
-    is an equi-join on the cell.  A session with very many frames would pile up on few
-    cells: target rows get a salt from their frame and reference rows one copy per salt.
+    is an equi-join on the cell.  Cells with more than ``limit`` targets are salted by their count.
     """
     cell = lambda c: F.floor(F.col(c) / tolerance).cast("int")
-    salt = F.pmod(F.hash("frame_id"), F.lit(salts))
-    t = targets.withColumn("_c0", cell("d0")).withColumn("_c1", cell("d1")).withColumn("_salt", salt)
+    t = targets.withColumn("_c0", cell("d0")).withColumn("_c1", cell("d1"))
     around = F.sequence(F.lit(-1), F.lit(1))
     r = references.select(
         "session",
@@ -125,14 +131,11 @@ def match_triangles(targets: DataFrame, references: DataFrame, tolerance: float,
         cell("d1").alias("_b1"),
     )
     r = r.withColumn("_c0", F.explode(F.transform(around, lambda d: F.col("_b0") + d)))
-    r = r.withColumn("_c1", F.explode(F.transform(around, lambda d: F.col("_b1") + d)))
-    r = r.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).drop("_b0", "_b1")
+    r = r.withColumn("_c1", F.explode(F.transform(around, lambda d: F.col("_b1") + d))).drop("_b0", "_b1")
     need = F.greatest(F.abs(F.col("d0") - F.col("_r0")), F.abs(F.col("d1") - F.col("_r1")))
-    keys = ["session", "_salt", "_c0", "_c1"]
-    # the output is far larger than the input, so small inputs must not be coalesced into few tasks
     partitions = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    t = t.repartition(partitions, *keys)
-    j = t.join(r, keys).withColumn("distance", need).filter(F.col("distance") < tolerance)
+    j = salted_join(t, r, ["session", "_c0", "_c1"], F.struct("frame_id", "i", "j", "k"), limit, partitions)
+    j = j.withColumn("distance", need).filter(F.col("distance") < tolerance)
     return j.select(
         *FRAME,
         F.array("i", "j", "k").alias("tgt_stars"),
@@ -169,7 +172,7 @@ def tally(matches: DataFrame, tolerance: float) -> DataFrame:
     )
 
 
-def votes(targets: DataFrame, references: DataFrame, config: Registration, salts: int = SALTS) -> tuple[DataFrame, DataFrame]:
+def votes(targets: DataFrame, references: DataFrame, config: Registration, limit: int = CELL_ROWS) -> tuple[DataFrame, DataFrame]:
     """(votes: frame, ref, tgt, votes), (matches per frame: matches, level).
 
     The first widening level with at least ten matches is used, else the plain tolerance.
@@ -177,10 +180,10 @@ def votes(targets: DataFrame, references: DataFrame, config: Registration, salts
     runs only for the others.
     """
     tol = config.descriptor_tolerance
-    plain = settle(tally(match_triangles(targets, references, tol, salts), tol))
+    plain = settle(tally(match_triangles(targets, references, tol, limit), tol))
     settled = plain.filter((F.col("ref") == -1) & (F.col("votes_0") >= ENOUGH_MATCHES)).select(*FRAME)
     rest = targets.join(settled, FRAME, "left_anti")
-    wide = tally(match_triangles(rest, references, tol * LEVELS[-1], salts), tol)
+    wide = tally(match_triangles(rest, references, tol * LEVELS[-1], limit), tol)
     everything = plain.join(settled, FRAME, "left_semi").unionByName(wide)
     counts = everything.filter("ref = -1")
     level = F.when(F.col("votes_0") >= ENOUGH_MATCHES, 0)
@@ -199,7 +202,7 @@ def votes(targets: DataFrame, references: DataFrame, config: Registration, salts
 def one_to_one(vote_rows: DataFrame) -> DataFrame:
     """Pairs by falling votes, then (ref, tgt); each star is used once.
 
-    The vote rows of a frame, at most the square of the stars compared, are folded in order: frame, pair_idx, ref, tgt.
+    The vote rows of a frame, at most the square of the (at most ALL_TRIPLES) stars compared, are folded in order: frame, pair_idx, ref, tgt.
     """
     ordered = F.sort_array(F.collect_list(F.struct((-F.col("votes")).alias("n"), "ref", "tgt")))
     g = vote_rows.groupBy(*FRAME).agg(ordered.alias("_v"))
@@ -340,23 +343,36 @@ def robust_fit(pairs: DataFrame, config: Registration) -> DataFrame:
 # ---- one attempt, the cascade, diagnostics ---------------------------------------------------
 
 
-def attempt(stars: DataFrame, references: DataFrame, frames: DataFrame, config: Registration, salts: int = SALTS) -> DataFrame:
+def attempt(stars: DataFrame, references: DataFrame, frames: DataFrame, config: Registration, limit: int = CELL_ROWS) -> DataFrame:
     """Register ``frames`` to their session's reference with one parameter set.
 
+    Without a star limit, or with one above ``ALL_TRIPLES``, the triangles are those of near neighbours.
     One row per frame: rotation, scale, tx, ty, status (ok or failed), reason.
     """
+    near = config.max_stars is None or config.max_stars > ALL_TRIPLES
     ref_key = references.select("session", F.col("frame_id").alias("_ref"))
     counts = stars.groupBy(*FRAME).agg(F.count("*").alias("_stars"))
     ref_counts = counts.join(references.select(*FRAME), FRAME, "left_semi").select("session", F.col("_stars").alias("_ref_stars"))
     wanted = frames.select(*FRAME).unionByName(references.select(*FRAME)).distinct()
-    tri = settle(triangles(stars.join(wanted, FRAME, "left_semi"), config))
+    compared = stars.join(wanted, FRAME, "left_semi")
+    if near:
+        compared = compared if config.max_stars is None else compared.filter(F.col("star_idx") < config.max_stars)
+        tri = settle(crowded.near_triangles(compared, low=config.min_triangle_side, high=config.max_triangle_side))
+    else:
+        tri = settle(triangles(compared, config))
     tri_counts = tri.groupBy(*FRAME).agg(F.count("*").alias("_tri"))
     ref_tri = tri.join(references.select(*FRAME), FRAME, "left_semi")
     ref_tri_counts = tri_counts.join(references.select(*FRAME), FRAME, "left_semi").select("session", F.col("_tri").alias("_ref_tri"))
     usable = tri_counts.filter(F.col("_tri") >= config.min_triangles).select(*FRAME)
     targets = tri.join(frames.select(*FRAME), FRAME, "left_semi").join(usable, FRAME, "left_semi")
-    vote_rows, chosen = votes(targets, ref_tri, config, salts)
-    pairs = settle(with_positions(one_to_one(vote_rows), stars, references))
+    if near:
+        vote_rows = settle(crowded.near_votes(targets, ref_tri, min(config.descriptor_tolerance, crowded.TOLERANCE), limit))
+        chosen = vote_rows.groupBy(*FRAME).agg(F.ceil(F.sum("votes") / 3).alias("matches"))
+        chosen_pairs = crowded.mutual_best(vote_rows)
+    else:
+        vote_rows, chosen = votes(targets, ref_tri, config, limit)
+        chosen_pairs = one_to_one(vote_rows)
+    pairs = settle(with_positions(chosen_pairs, stars, references))
     pair_counts = pairs.groupBy(*FRAME).agg(F.count("*").alias("_pairs"))
     enough = pair_counts.filter(F.col("_pairs") >= config.min_matches).select(*FRAME)
     fitted = robust_fit(pairs.join(enough, FRAME, "left_semi"), config)
@@ -374,17 +390,17 @@ def attempt(stars: DataFrame, references: DataFrame, frames: DataFrame, config:
     n = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("int")
     lack = lambda text, c, need: F.format_string(text, n(c), F.lit(need))
     reason = (
-        F.when(n("_ref_stars") < 3, "Not enough stars in reference frame (need at least 3)")
-        .when(n("_stars") < 3, "Not enough stars in target frame (need at least 3)")
-        .when(n("_ref_tri") < config.min_triangles, lack("Not enough triangles in reference (%d, need %d)", "_ref_tri", config.min_triangles))
-        .when(n("_tri") < config.min_triangles, lack("Not enough triangles in target (%d, need %d)", "_tri", config.min_triangles))
-        .when(n("matches") == 0, "No matching triangles found between frames")
-        .when(n("_pairs") < config.min_matches, lack("Not enough matched stars (%d, need %d)", "_pairs", config.min_matches))
-        .when(F.col("rotation").isNull(), "Failed to estimate transform from correspondences")
-        .when(F.col("sampled") & (n("used") < config.min_matches), lack("RANSAC found only %d inliers, need %d", "used", config.min_matches))
+        F.when(n("_ref_stars") < 3, "reference frame has fewer than 3 stars")
+        .when(n("_stars") < 3, "frame has fewer than 3 stars")
+        .when(n("_ref_tri") < config.min_triangles, lack("%d triangles in the reference frame, %d wanted", "_ref_tri", config.min_triangles))
+        .when(n("_tri") < config.min_triangles, lack("%d triangles in the frame, %d wanted", "_tri", config.min_triangles))
+        .when(n("matches") == 0, "no triangle of the frame is like one of the reference")
+        .when(n("_pairs") < config.min_matches, lack("%d star pairs, %d wanted", "_pairs", config.min_matches))
+        .when(F.col("rotation").isNull(), "star pairs give no transform")
+        .when(F.col("sampled") & (n("used") < config.min_matches), lack("%d pairs agree on a transform, %d wanted", "used", config.min_matches))
         .when(
             F.col("mean_residual") > config.max_residual,
-            F.format_string("Registration failed: mean residual %.2f > max %.2f", "mean_residual", F.lit(config.max_residual)),
+            F.format_string("pairs are %.2f apart on average, %.2f allowed", "mean_residual", F.lit(config.max_residual)),
         )
     )
     return j.withColumn("reason", reason).select(
@@ -398,43 +414,42 @@ def attempt(stars: DataFrame, references: DataFrame, frames: DataFrame, config:
     )
 
 
+@F.pandas_udf(T.StructType([T.StructField("matched", T.IntegerType()), T.StructField("residual", T.DoubleType())]))
+def taken_in_order(ref: pd.Series, tgt: pd.Series, d: pd.Series) -> pd.DataFrame:
+    """Pairs of a frame in order of (ref, d, tgt): each reference star takes its nearest free target."""
+    out = []
+    for refs, tgts, ds in zip(ref, tgt, d):
+        used, last, total = set(), None, 0.0
+        for r, t, x in zip(refs, tgts, ds):
+            if r != last and t not in used:
+                used.add(t)
+                last, total = r, total + x
+        out.append((len(used), total / len(used) if used else 0.0))
+    return pd.DataFrame(out, columns=["matched", "residual"])
+
+
 def diagnostics(stars: DataFrame, references: DataFrame, transforms: DataFrame, threshold: Column | float) -> DataFrame:
     """Matched stars and mean residual of each transform.
 
-    Reference stars in order each take the nearest unused target star under the
-    threshold.  Both lists are bounded by the detection limit, and the fold runs over
-    the two arrays of a frame.
+    Reference stars in order each take the nearest unused target star under the threshold. Candidates meet
+    in cells of the threshold's size, so a frame costs its stars and not their product; what is taken in order is the list of
+    pairs that near.
     """
-    arrays = star_arrays(stars)
-    ref = arrays.join(references.select(*FRAME), FRAME, "left_semi").select("session", F.col("stars").alias("_ref"))
     limit = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
-    j = transforms.join(arrays, FRAME).join(ref, "session").withColumn("_limit", limit)
-    c, s = F.cos("rotation"), F.sin("rotation")
-    moved = F.transform(
-        "stars",
-        lambda t: F.struct(
-            t["i"].alias("i"),
-            (F.col("scale") * (c * t["x"] - s * t["y"]) + F.col("tx")).alias("x"),
-            (F.col("scale") * (s * t["x"] + c * t["y"]) + F.col("ty")).alias("y"),
-        ),
-    )
-    j = j.withColumn("_moved", moved)
-    start = F.struct(F.array().cast("array<int>").alias("used"), F.lit(0.0).alias("sum"))
-
-    def take(acc: Column, r: Column) -> Column:
-        free = F.filter("_moved", lambda t: ~F.array_contains(acc["used"], t["i"]))
-        near = F.array_min(F.transform(free, lambda t: F.struct(_apart(t, r).alias("d"), t["i"].alias("i"))))
-        return let(
-            near,
-            lambda b: F.when(
-                b["d"] < F.col("_limit"),
-                F.struct(F.concat(acc["used"], F.array(b["i"])).alias("used"), (acc["sum"] + b["d"]).alias("sum")),
-            ).otherwise(acc),
-        )
-
-    j = j.withColumn("_d", F.aggregate("_ref", start, take))
-    n = F.size("_d.used")
-    return j.select(*FRAME, n.alias("matched"), F.when(n > 0, F.col("_d.sum") / n).otherwise(0.0).alias("residual"))
+    t = transforms.withColumn("_limit", limit).select(*FRAME, "rotation", "scale", "tx", "ty", "_limit")
+    place = lambda c: F.floor(F.col(c) / F.col("_limit"))
+    mx, my = forward(F.col("x"), F.col("y"))
+    moved = stars.select(*FRAME, "star_idx", "x", "y").join(t, FRAME).select(*FRAME, "_limit", F.col("star_idx").alias("_t"), mx.alias("_mx"), my.alias("_my"))
+    moved = moved.withColumn("_cx", place("_mx")).withColumn("_cy", place("_my")).drop("_limit")
+    ref = stars.join(references.select(*FRAME), FRAME, "left_semi").select("session", F.col("star_idx").alias("_r"), F.col("x").cast("double").alias("_rx"), F.col("y").cast("double").alias("_ry"))
+    ref = ref.join(t.select(*FRAME, "_limit"), "session")
+    around = F.sequence(F.lit(-1), F.lit(1))
+    ref = ref.withColumn("_cx", F.explode(F.transform(around, lambda d: place("_rx") + d))).withColumn("_cy", F.explode(F.transform(around, lambda d: place("_ry") + d)))
+    j = moved.join(ref, [*FRAME, "_cx", "_cy"]).withColumn("_d", distance(F.col("_mx"), F.col("_my"), F.col("_rx"), F.col("_ry"))).filter("_d < _limit")
+    pairs = j.groupBy(*FRAME).agg(F.sort_array(F.collect_list(F.struct("_r", "_d", "_t"))).alias("_p"))
+    pairs = pairs.select(*FRAME, taken_in_order(F.col("_p._r"), F.col("_p._t"), F.col("_p._d")).alias("_m"))
+    found = t.select(*FRAME).join(pairs, FRAME, "left")
+    return found.select(*FRAME, F.coalesce("_m.matched", F.lit(0)).alias("matched"), F.coalesce("_m.residual", F.lit(0.0)).alias("residual"))
 
 
 def register(
@@ -444,12 +459,13 @@ def register(
     cascade: Sequence[str] = CASCADE,
     hints: Hints | None = None,
     extra: Sequence[tuple[str, Registration]] = (),
-    salts: int = SALTS,
+    limit: int = CELL_ROWS,
 ) -> DataFrame:
     """Register with the presets in turn, each only on frames the ones before did not place.
 
-    Frames that fail with more stars than the last preset compares, in the frame or in its
-    reference, are tried again with twice as many until all stars are compared.
+    A fit that left stars out counts only if it brings more of all stars (of the frame or of its reference, whichever
+    has fewer) to a partner than chance does at their density, and ``CONFIRMED`` of the rest. Frames that fail with more stars than the last preset compares, in
+    the frame or in its reference, are tried again with twice as many up to ``ALL_TRIPLES``, then with all stars by near neighbours.
     One row per frame: transform, matched, residual, config, attempts, status, reason and
     dropped, the stars of the frame that its last attempt left out.
     """
@@ -458,35 +474,46 @@ def register(
         steps.insert(0, ("hint_based", hints.registration()))
     stars = settle(stars.select(*FRAME, "star_idx", "x", "y"))  # read by every attempt
     counts = stars.groupBy(*FRAME).agg(F.count("*").alias("_stars"))
-    ref_counts = counts.join(references.select(*FRAME), FRAME, "left_semi").select("session", F.col("_stars").alias("_ref_stars"))
+    span = lambda c: F.max(c) - F.min(c) + 1.0
+    ref_counts = stars.join(references.select(*FRAME), FRAME, "left_semi").groupBy("session").agg(F.count("*").alias("_ref_stars"), (span("x") * span("y")).alias("_area"))
     sizes = settle(counts.join(ref_counts, "session", "left"))
     todo, placed, failed = frames.select(*FRAME), None, None
 
     def step(name: str, config: Registration, number: int) -> None:
         nonlocal todo, placed, failed
         left_out = F.greatest(F.coalesce("_stars", F.lit(0)) - config.max_stars, F.lit(0)) if config.max_stars is not None else F.lit(0)
-        result = attempt(stars, references, todo, config, salts).join(sizes.select(*FRAME, "_stars"), FRAME, "left")
-        result = result.withColumn("dropped", left_out.cast("long")).withColumn("attempts", F.lit(number)).drop("_stars")
-        result = settle(result.withColumn("_step", F.lit(name)))
-        good = result.filter("status = 'ok'")
-        detail = diagnostics(stars, references, good.drop("dropped", "attempts", "_step"), config.max_residual * 2.0)
-        good = good.join(detail, FRAME).withColumnRenamed("_step", "config")
+        result = attempt(stars, references, todo, config, limit).join(sizes, FRAME, "left")
+        result = settle(result.withColumn("dropped", left_out.cast("long")).withColumn("attempts", F.lit(number)).withColumn("_step", F.lit(name)))
+        detail = diagnostics(stars, references, result.filter("status = 'ok'"), config.max_residual * 2.0)
+        result = result.join(detail, FRAME, "left")
+        if config.max_stars is not None:
+            # a fit of the brightest stars that the others do not share is one of chance or of hot pixels
+            by_chance = 1.0 - F.exp(-F.col("_ref_stars") * math.pi * (config.max_residual * 2.0) ** 2 / F.col("_area"))
+            share = CONFIRMED + (1.0 - CONFIRMED) * by_chance
+            short = (F.col("status") == "ok") & (F.col("dropped") > 0) & (F.col("matched") < share * F.least("_stars", "_ref_stars"))
+            why = F.format_string("fit of the brightest stars holds for %d of %d stars", F.col("matched"), F.least("_stars", "_ref_stars"))
+            result = result.withColumn("reason", F.when(short, why).otherwise(F.col("reason"))).withColumn("status", F.when(short, "failed").otherwise(F.col("status")))
+        result = settle(result.drop("_stars", "_ref_stars", "_area"))
+        good = result.filter("status = 'ok'").withColumnRenamed("_step", "config")
         placed = good if placed is None else placed.unionByName(good)
-        bad = result.filter("status = 'failed'")
+        bad = result.filter("status = 'failed'").drop("matched", "residual")
         failed = bad if failed is None else failed.join(todo, FRAME, "left_anti").unionByName(bad)
         todo = bad.select(*FRAME)
 
     for i, (name, config) in enumerate(steps):
         step(name, config, i + 1)
-    number, limit = len(steps), config.max_stars
-    while limit is not None:
+    number, compared = len(steps), config.max_stars
+    while compared is not None:
         most = F.greatest("_stars", F.coalesce("_ref_stars", F.lit(0)))
-        todo = settle(todo.join(sizes.filter(most > limit), FRAME, "left_semi"))
+        todo = settle(todo.join(sizes.filter(most > compared), FRAME, "left_semi"))
         if todo.isEmpty():
             break
-        number, limit = number + 1, 2 * limit
-        step(f"{name}_{limit}", replace(config, max_stars=limit), number)
-    text = F.concat(F.lit("All registration strategies failed. Last error: "), F.col("_step"), F.lit(": "), F.col("reason"))
+        number, compared = number + 1, 2 * compared
+        if compared > ALL_TRIPLES:
+            step(f"{name}_all", replace(config, max_stars=None), number)
+            break
+        step(f"{name}_{compared}", replace(config, max_stars=compared), number)
+    text = F.concat(F.lit("no attempt placed the frame; the last one, "), F.col("_step"), F.lit(": "), F.col("reason"))
     lost = (
         failed.withColumn("reason", text)
         .withColumn("matched", F.lit(0))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scan
 from ..functions.columns import clamp
+from ..functions.salting import CELL_ROWS, salted_join
 
 HINTS = ("N", "NE", "E", "SE", "S", "SW", "W", "NW")
 
@@ -61,14 +62,14 @@ def pointing(pairs: DataFrame) -> DataFrame:
     return p.withColumn("direction_hint", F.when(F.col("is_close"), "OK").otherwise(F.element_at(names, slot))).drop("_b")
 
 
-def within_radius(positions: DataFrame, catalogue: DataFrame, radius_deg: float, salts: int = 4) -> DataFrame:
+def within_radius(positions: DataFrame, catalogue: DataFrame, radius_deg: float, limit: int = CELL_ROWS) -> DataFrame:
     """Catalogue entries within ``radius_deg`` of each position.
 
     Sky cells are declination bands of the radius, cut in right ascension into steps at
     least as wide as the radius at the band's poleward edge.  A position is repeated for
     the three bands and, in each, the cells its radius can reach, so the join is an
-    equi-join on (band, cell) with the distance as residual test.  Crowded cells are
-    split: entries get a salt, positions one copy per salt.
+    equi-join on (band, cell) with the distance as residual test.  Cells with more than
+    ``limit`` entries are split by their count: entries get a salt, positions one copy per salt.
     """
     def bands(dec: Column) -> Column:
         return F.floor((dec + 90.0) / radius_deg).cast("int")
@@ -82,7 +83,7 @@ def within_radius(positions: DataFrame, catalogue: DataFrame, radius_deg: float,
     c = catalogue.withColumn("_band", bands(F.col("dec")))
     c = c.withColumn("_n", cells_in(F.col("_band")))
     c = c.withColumn("_cell", (F.pmod(F.floor(F.pmod(F.col("ra"), F.lit(360.0)) / 360.0 * F.col("_n")), F.col("_n"))).cast("int"))
-    c = c.select("entry_id", F.col("ra").alias("entry_ra"), F.col("dec").alias("entry_dec"), "_band", "_cell", F.pmod(F.hash("entry_id"), F.lit(salts)).alias("_salt"))
+    c = c.select("entry_id", F.col("ra").alias("entry_ra"), F.col("dec").alias("entry_dec"), "_band", "_cell")
     p = positions.withColumn("_band", F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda d: bands(F.col("dec")) + d)))
     p = p.withColumn("_n", cells_in(F.col("_band")))
     # half-width of the cone in right ascension; everything near a pole
@@ -94,9 +95,8 @@ def within_radius(positions: DataFrame, catalogue: DataFrame, radius_deg: float,
     first = F.floor((F.col("ra") - half) / size).cast("int")
     last = F.least(F.floor((F.col("ra") + half) / size).cast("int"), first + F.col("_n") - 1)
     p = p.withColumn("_cell", F.explode(F.transform(F.sequence(first, last), lambda k: F.pmod(k, F.col("_n"))))).drop("_n")
-    p = p.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    j = p.join(c, ["_band", "_cell", "_salt"]).withColumn("distance_deg", separation(F.col("ra"), F.col("dec"), F.col("entry_ra"), F.col("entry_dec")))
-    return j.filter(F.col("distance_deg") <= radius_deg).drop("_band", "_cell", "_salt")
+    j = salted_join(c, p, ["_band", "_cell"], F.col("entry_id"), limit).withColumn("distance_deg", separation(F.col("ra"), F.col("dec"), F.col("entry_ra"), F.col("entry_dec")))
+    return j.filter(F.col("distance_deg") <= radius_deg).drop("_band", "_cell")
 
 
 def sexagesimal(ra: Column, dec: Column) -> tuple[Column, Column]:

@@ -229,7 +229,7 @@ TRUTH = """truth AS (SELECT session, frame_id, ((frame_id % 17) - 8) * 0.01::DOU
     [fx.VECTORS, TRUTH],
     f"""SELECT session, frame_id, CASE WHEN NOT lost THEN rotation END AS rotation, CASE WHEN NOT lost THEN scale END AS scale, CASE WHEN NOT lost THEN tx END AS tx, CASE WHEN NOT lost THEN ty END AS ty,
        CASE WHEN lost THEN 0 ELSE {N} END AS matched, CASE WHEN NOT lost THEN 0.0 END AS residual, CASE WHEN NOT lost THEN 'fast' END AS config, CASE WHEN lost THEN 2 ELSE 1 END AS attempts,
-       CASE WHEN lost THEN 'failed' ELSE 'ok' END AS status, CASE WHEN lost THEN 'All registration strategies failed. Last error: robust: Not enough stars in target frame (need at least 3)' END AS reason FROM truth""",
+       CASE WHEN lost THEN 'failed' ELSE 'ok' END AS status, CASE WHEN lost THEN 'no attempt placed the frame; the last one, robust: frame has fewer than 3 stars' END AS reason FROM truth""",
 )
 def _(spark, sf):
     s = moved_stars(spark, sf)
@@ -242,7 +242,7 @@ def _(spark, sf):
     "session:i frame_id:i rotation:d scale:d tx:d ty:d status:s reason:s",
     [fx.VECTORS, TRUTH],
     """SELECT session, frame_id, CASE WHEN NOT lost THEN rotation END AS rotation, CASE WHEN NOT lost THEN scale END AS scale, CASE WHEN NOT lost THEN tx END AS tx, CASE WHEN NOT lost THEN ty END AS ty,
-       CASE WHEN lost THEN 'failed' ELSE 'ok' END AS status, CASE WHEN lost THEN 'Not enough stars in target frame (need at least 3)' END AS reason FROM truth""",
+       CASE WHEN lost THEN 'failed' ELSE 'ok' END AS status, CASE WHEN lost THEN 'frame has fewer than 3 stars' END AS reason FROM truth""",
 )
 def _(spark, sf):
     s = moved_stars(spark, sf)
