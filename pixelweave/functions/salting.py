@@ -5,25 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# rows of the larger side that one (cell, salt) holds at most, unless all rows are so many that fewer heavy cells count
+# rows of the larger side that one (cell, salt) should hold at most
 CELL_ROWS = 20_000
-# heavy cells at most, so the table of them is always small
+# heavy cells, and salts of one, at most; a cell that is not among the HEAVY largest has under 1/HEAVY of all rows
 HEAVY = 4096
 
 
 def heavy_cells(rows: DataFrame, keys: list[str], limit: int = CELL_ROWS) -> DataFrame:
-    """keys and ``_salts`` (two or more) of the cells with more rows than the limit; fewer than HEAVY of them."""
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    total = rows.count()
-    most = max(limit, total // HEAVY)
-    return sizes.filter(F.col("_rows") > most).select(*keys, F.ceil(F.col("_rows") / most).cast("int").alias("_salts"))
+    """keys and ``_salts`` (two or more) of the largest cells with more rows than the limit; at most HEAVY of them."""
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > limit)
+    salts = F.least(F.ceil(F.col("_rows") / limit), F.lit(HEAVY)).cast("int")
+    return sizes.orderBy(F.desc("_rows"), *keys).limit(HEAVY).select(*keys, salts.alias("_salts"))
 
 
 def salted_join(many: DataFrame, few: DataFrame, keys: list[str], spread: Column, limit: int = CELL_ROWS, partitions: int | None = None) -> DataFrame:
     """Inner join on ``keys``. A heavy cell of ``many`` is dealt over its salts by ``spread``; rows of ``few`` in it get
     one copy per salt. Rows in other cells have a single copy.
 
-    ``many`` is read three times, so it should be stored or cheap. ``partitions``: the number of join partitions
+    ``many`` is read twice (its cells are counted first), so it should be stored or cheap. ``partitions``: the number of join partitions
     where the result is far larger than the input, which would otherwise be coalesced into few tasks.
     """
     heavy = F.broadcast(heavy_cells(many, keys, limit))

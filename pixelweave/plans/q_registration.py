@@ -17,6 +17,7 @@ from ..functions import geometry as geo
 from ..model import FRAME
 from ..operators import register as G
 from ..operators import warp as W
+from ..session import settle
 from . import fixtures as fx
 from .registry import query
 
@@ -96,7 +97,7 @@ def matched(tol: str) -> str:
 
 def sides(spark, sf):
     s = stars(spark, sf)
-    tri = G.triangles(s, CFG)
+    tri = settle(G.triangles(s, CFG))  # as an attempt does: targets and references both come from it
     first = s.filter("frame_number = 1").select(*FRAME).distinct()
     return tri.join(first, FRAME, "left_anti"), tri.join(first, FRAME, "left_semi")
 
