@@ -14,7 +14,9 @@ Null text: as empty, no ids. Repeated rows: each is encoded. Empty table: no row
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -77,80 +79,92 @@ class Coder:
         self.matcher = automaton(vocabulary)
         self.single = {p for p in vocabulary.pieces if p and len(p) == 1}
         self.fallback = min(s for s, p in zip(vocabulary.scores, vocabulary.pieces) if p and len(p) == 1) + UNKNOWN
-        self.known: dict[str, tuple[list[int], float]] = {}
-        self.bytes = {i: b for b, i in enumerate(vocabulary.byte_ids)}
+        # ids as little-endian 32-bit numbers, and the score, of a stretch
+        self.known: dict[str, tuple[bytes, float]] = {}
+        spelled = [b"" if p is None else p.replace(SPACE, " ").encode() for p in vocabulary.pieces]
+        for b, i in enumerate(vocabulary.byte_ids):
+            spelled[i] = bytes([b])
+        self.spelled = spelled
+        self.mark = np.array([vocabulary.byte_ids[b] for b in SPACE.encode()], "<i4").tobytes()
 
     def best(self, stretch: str) -> tuple[list[int], float]:
         """Ids and score of the best segmentation."""
         n = len(stretch)
-        score = [0.0] + [-np.inf] * n
-        arc: list[tuple[int, int] | None] = [None] * (n + 1)
-        done = 0
-
-        def spell_out(until: int) -> None:
-            nonlocal done
-            for q in range(done + 1, until + 1):
-                c = stretch[q - 1]
-                if c not in self.single:
-                    s = score[q - 1] + self.fallback * len(c.encode("utf-8", "surrogatepass"))
-                    if s > score[q]:
-                        score[q], arc[q] = s, (q - 1, -1)
-            done = max(done, until)
-
-        for at, (length, piece_score, piece) in self.matcher.iter(stretch):
-            if at > done:
-                spell_out(at)
-            s = score[at + 1 - length] + piece_score
-            if s > score[at + 1]:
-                score[at + 1], arc[at + 1] = s, (at + 1 - length, piece)
-        spell_out(n)
+        score = [0.0] + [-math.inf] * n
+        start, which = [0] * (n + 1), [-1] * (n + 1)
+        if self.single.issuperset(stretch):
+            for at, (length, piece_score, piece) in self.matcher.iter(stretch):
+                s = score[at + 1 - length] + piece_score
+                if s > score[at + 1]:
+                    score[at + 1], start[at + 1], which[at + 1] = s, at + 1 - length, piece
+        else:
+            # a character without a piece is spelled out before anything that ends behind it is relaxed
+            done = 0
+            for at, output in (*self.matcher.iter(stretch), (n, None)):
+                for q in range(done + 1, at + 1):
+                    c = stretch[q - 1]
+                    if c not in self.single:
+                        s = score[q - 1] + self.fallback * len(c.encode("utf-8", "surrogatepass"))
+                        if s > score[q]:
+                            score[q], start[q], which[q] = s, q - 1, -1
+                done = max(done, at)
+                if output is not None:
+                    length, piece_score, piece = output
+                    s = score[at + 1 - length] + piece_score
+                    if s > score[at + 1]:
+                        score[at + 1], start[at + 1], which[at + 1] = s, at + 1 - length, piece
         ids: list[int] = []
         q = n
         while q:
-            p, piece = arc[q]
-            ids += [piece] if piece >= 0 else [self.vocabulary.byte_ids[b] for b in reversed(stretch[p:q].encode("utf-8", "surrogatepass"))]
+            p, piece = start[q], which[q]
+            if piece >= 0:
+                ids.append(piece)
+            else:
+                ids += [self.vocabulary.byte_ids[b] for b in reversed(stretch[p:q].encode("utf-8", "surrogatepass"))]
             q = p
         ids.reverse()
         return ids, score[n]
 
-    def encode(self, text: str) -> tuple[list[int], float]:
+    def stretch(self, text: str) -> tuple[bytes, float]:
+        """Packed ids and score of a stretch, remembered if it is short."""
+        found = self.known.get(text)
+        if found is None:
+            ids, score = self.best(text)
+            found = struct.pack(f"<{len(ids)}i", *ids), score
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            if len(text) <= 64:
+                self.known[text] = found
+        return found
+
+    def packed(self, text: str) -> tuple[bytes, float]:
+        """Ids as little-endian 32-bit numbers, and the score, of a text."""
         if not text:
-            return [], 0.0
-        ids: list[int] = []
-        total = 0.0
-        known = self.known
+            return b"", 0.0
+        out: list[tuple[bytes, float]] = []
+        known = self.known.get
         # the text's own marks are set apart and written as bytes
         for k, part in enumerate(text.split(SPACE)):
             if k:
-                ids += [self.vocabulary.byte_ids[b] for b in SPACE.encode()]
-                total += self.fallback * 3
+                out.append((self.mark, self.fallback * 3))
             line = (SPACE if k == 0 else "") + part.replace(" ", SPACE)
-            for stretch in STRETCH.findall(line):
-                found = known.get(stretch)
-                if found is None:
-                    found = self.best(stretch)
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    if len(stretch) <= 64:
-                        known[stretch] = found
-                ids += found[0]
-                total += found[1]
-        return ids, total
+            stretches = STRETCH.findall(line)
+            found = list(map(known, stretches))
+            if None in found:
+                found = list(map(self.stretch, stretches))
+            out += found
+        return b"".join([f[0] for f in out]), math.fsum([f[1] for f in out])
+
+    def encode(self, text: str) -> tuple[list[int], float]:
+        ids, score = self.packed(text)
+        return np.frombuffer(ids, "<i4").tolist(), score
+
+    def spell(self, ids: list[int]) -> bytes:
+        """The UTF-8 bytes of the text that the ids stand for."""
+        return b"".join(map(self.spelled.__getitem__, ids))[1:]
 
     def decode(self, ids: list[int]) -> str:
-        if not ids:
-            return ""
-        pieces, own = self.vocabulary.pieces, self.bytes
-        if own.keys().isdisjoint(ids):
-            return "".join([pieces[i] for i in ids]).replace(SPACE, " ")[1:]
-        out = bytearray()
-        for i in ids:
-            b = own.get(i)
-            if b is None:
-                out += pieces[i].replace(SPACE, " ").encode()
-            else:
-                out.append(b)
-        return out.decode("utf-8", "surrogatepass")[1:]
+        return self.spell(ids).decode("utf-8", "surrogatepass")
 
 
 def digests(docs: DataFrame, model: str = MODEL, **columns: str) -> DataFrame:
@@ -162,8 +176,9 @@ def digests(docs: DataFrame, model: str = MODEL, **columns: str) -> DataFrame:
         for batch in batches:
             rows = []
             for text in batch.text:
-                ids, score = own.encode(text)
-                rows.append((len(text), len(ids), score, hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest(), hashlib.sha256(own.decode(ids).encode()).hexdigest()))
+                ids, score = own.packed(text)
+                back = own.spell(np.frombuffer(ids, "<i4").tolist())
+                rows.append((len(text), len(ids) // 4, score, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()))
             out = pd.DataFrame(rows, columns=["n_chars", "n_tokens", "score", "ids_sha256", "decoded_sha256"])
             out.insert(0, "doc_id", batch.doc_id.astype("Int64"))
             yield out
@@ -180,7 +195,7 @@ def encoded(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_co
         for batch in batches:
             for at in range(0, len(batch), 500):
                 part = batch.iloc[at : at + 500]
-                yield pd.DataFrame({"doc_id": part.doc_id.astype("Int64"), "ids": [own.encode(t)[0] for t in part.text]})
+                yield pd.DataFrame({"doc_id": part.doc_id.astype("Int64"), "ids": [np.frombuffer(own.packed(t)[0], "<i4") for t in part.text]})
 
     return texts(docs, id_col, text_col).mapInPandas(run, "doc_id long, ids array<int>")
 
