@@ -160,11 +160,11 @@ class Coder:
         return np.frombuffer(ids, "<i4").tolist(), score
 
     def spell(self, ids: list[int]) -> bytes:
-        """The UTF-8 bytes of the text that the ids stand for."""
-        return b"".join(map(self.spelled.__getitem__, ids))[1:]
+        """The UTF-8 bytes that the ids stand for, with the space put before the text."""
+        return b"".join(map(self.spelled.__getitem__, ids))
 
     def decode(self, ids: list[int]) -> str:
-        return self.spell(ids).decode("utf-8", "surrogatepass")
+        return self.spell(ids).decode("utf-8", "surrogatepass")[1:]
 
 
 def digests(docs: DataFrame, model: str = MODEL, **columns: str) -> DataFrame:
@@ -177,7 +177,7 @@ def digests(docs: DataFrame, model: str = MODEL, **columns: str) -> DataFrame:
             rows = []
             for text in batch.text:
                 ids, score = own.packed(text)
-                back = own.spell(np.frombuffer(ids, "<i4").tolist())
+                back = own.spell(np.frombuffer(ids, "<i4").tolist())[1:]
                 rows.append((len(text), len(ids) // 4, score, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()))
             out = pd.DataFrame(rows, columns=["n_chars", "n_tokens", "score", "ids_sha256", "decoded_sha256"])
             out.insert(0, "doc_id", batch.doc_id.astype("Int64"))
