@@ -3,6 +3,8 @@
 No broadcast is forced: a master of a large sensor is hundreds of megabytes as rows.
 Spark broadcasts it only where the measured size is under its threshold and merges
 the two sides on the pixel key otherwise.
+
+A frame with a sample that a master lacks is left out whole and listed; it never loses samples.
 """
 
 from __future__ import annotations
@@ -11,7 +13,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import FRAME, PIXEL
-from ..session import settle
 
 FLAT_FLOOR = 0.01
 
@@ -42,50 +43,58 @@ def _keys_of(master: DataFrame, value: str) -> list[str]:
     return [c for c in master.columns if c != value]
 
 
-def subtract_dark(pixels: DataFrame, dark: DataFrame) -> DataFrame:
-    keys = _keys_of(dark, "dark")
-    j = pixels.join(dark, keys)
-    return j.withColumn("v", F.greatest(F.col("v") - F.col("dark"), F.lit(0.0))).select(*pixels.columns)
-
+def _applied(pixels: DataFrame, dark: DataFrame | None, flat: DataFrame | None) -> DataFrame:
+    """Dark, then flat, on the samples the masters hold. Masters on the same keys are joined first, so the pixels meet
+    one join."""
+    v = F.col("v")
+    if dark is not None and flat is not None and set(_keys_of(dark, "dark")) == set(_keys_of(flat, "flat")):
+        keys = _keys_of(dark, "dark")
+        j = pixels.join(dark.join(flat, keys), keys)
+        return j.withColumn("v", F.greatest(v - F.col("dark"), F.lit(0.0)) / F.col("flat")).select(*pixels.columns)
+    out = pixels
+    if dark is not None:
+        out = out.join(dark, _keys_of(dark, "dark")).withColumn("v", F.greatest(v - F.col("dark"), F.lit(0.0))).select(*pixels.columns)
+    if flat is not None:
+        out = out.join(flat, _keys_of(flat, "flat")).withColumn("v", v / F.col("flat")).select(*pixels.columns)
+    return out
 
-def divide_flat(pixels: DataFrame, flat: DataFrame) -> DataFrame:
-    keys = _keys_of(flat, "flat")
-    j = pixels.join(flat, keys)
-    return j.withColumn("v", F.col("v") / F.col("flat")).select(*pixels.columns)
 
+def uncovered(pixels: DataFrame, *masters: DataFrame) -> DataFrame:
+    """Frames with samples that some master lacks: frame, missing (samples), reason.
 
-def calibrate(pixels: DataFrame, dark: DataFrame | None = None, flat: DataFrame | None = None) -> DataFrame:
-    """Dark, then flat; either may be left out.
-
-    With both on the same keys the masters are joined first, so the pixels meet one join.
+    Masters on the same keys are intersected first, so the pixels are read once for them.
     """
-    if dark is None and flat is None:
-        return pixels
-    if flat is None:
-        return subtract_dark(pixels, dark)
-    if dark is None:
-        return divide_flat(pixels, flat)
-    keys = _keys_of(dark, "dark")
-    if set(keys) != set(_keys_of(flat, "flat")):
-        return divide_flat(subtract_dark(pixels, dark), flat)
-    j = pixels.join(dark.join(flat, keys), keys)
-    return j.withColumn("v", F.greatest(F.col("v") - F.col("dark"), F.lit(0.0)) / F.col("flat")).select(*pixels.columns)
-
-
-def uncovered(pixels: DataFrame, *masters: DataFrame) -> DataFrame:
-    """Frames with samples that some master lacks: frame, missing (samples), reason."""
-    out = None
+    groups: dict[frozenset, DataFrame] = {}
     for master in masters:
         keys = [c for c in master.columns if c not in ("dark", "flat")]
-        lost = pixels.join(master.select(*keys), keys, "left_anti").select(*FRAME)
+        held = master.select(*keys)
+        known = groups.get(frozenset(keys))
+        groups[frozenset(keys)] = held if known is None else known.join(held, keys)
+    out = None
+    for keys, held in groups.items():
+        lost = pixels.join(held, list(keys), "left_anti").select(*FRAME)
         out = lost if out is None else out.unionByName(lost)
     return out.groupBy(*FRAME).agg(F.count("*").alias("missing")).withColumn("reason", F.lit("samples outside a calibration master"))
 
 
-def calibrate_checked(pixels: DataFrame, dark: DataFrame | None = None, flat: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(calibrated pixels, rejects): a frame that a master does not cover is left out whole and listed."""
+def calibrate(pixels: DataFrame, dark: DataFrame | None = None, flat: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(calibrated pixels, rejects): dark, then flat; either may be left out.
+
+    ``rejects`` lists the frames that a master does not cover (frame, missing, reason); they have no pixels in the result.
+    Without such frames the look-up of them is empty and the plan drops it as it runs.
+    """
     masters = [m for m in (dark, flat) if m is not None]
     if not masters:
         return pixels, pixels.select(*FRAME).limit(0).withColumns({"missing": F.lit(0).cast("long"), "reason": F.lit("")})
-    rejects = settle(uncovered(pixels, *masters))
-    return calibrate(pixels.join(rejects.select(*FRAME), FRAME, "left_anti"), dark, flat), rejects
+    rejects = uncovered(pixels, *masters)
+    return _applied(pixels.join(rejects.select(*FRAME), FRAME, "left_anti"), dark, flat), rejects
+
+
+def subtract_dark(pixels: DataFrame, dark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pixels less the dark, not under zero; rejects)."""
+    return calibrate(pixels, dark=dark)
+
+
+def divide_flat(pixels: DataFrame, flat: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pixels over the flat, rejects)."""
+    return calibrate(pixels, flat=flat)

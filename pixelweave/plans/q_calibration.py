@@ -47,7 +47,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     px = fx.pixels(spark, sf)
-    return C.subtract_dark(px.filter("session > 1"), masters(px)[0])
+    return C.subtract_dark(px.filter("session > 1"), masters(px)[0])[0]
 
 
 @query(
@@ -58,7 +58,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     px = fx.pixels(spark, sf)
-    return C.divide_flat(px.filter("session > 1"), masters(px)[1])
+    return C.divide_flat(px.filter("session > 1"), masters(px)[1])[0]
 
 
 @query(
@@ -69,7 +69,38 @@ def _(spark, sf):
 )
 def _(spark, sf):
     px = fx.pixels(spark, sf)
-    return C.calibrate(px.filter("session > 1"), *masters(px))
+    return C.calibrate(px.filter("session > 1"), *masters(px))[0]
+
+
+# a dark without its last row, and every third frame cut to six rows: only those are covered
+SHORT = "part AS (SELECT * FROM pixels WHERE session > 1 AND (frame_id % 3 <> 0 OR y < 6)), short AS (SELECT * FROM dark WHERE y < 7)"
+
+
+def short_master(spark, sf):
+    px = fx.pixels(spark, sf)
+    dark, flat = masters(px)
+    part = px.filter("session > 1 AND (frame_id % 3 <> 0 OR y < 6)")
+    return C.calibrate(part, dark.filter("y < 7"), flat)
+
+
+@query(
+    "calibrate_short_master",
+    PX,
+    [*fx.F1, DARK, FLAT, SHORT],
+    "SELECT session, frame_id, ch, y, x, greatest(v - dark, 0.0::DOUBLE) / flat AS v FROM part JOIN short USING (ch, y, x) JOIN flat USING (ch, y, x) WHERE frame_id % 3 = 0",
+)
+def _(spark, sf):
+    return short_master(spark, sf)[0]
+
+
+@query(
+    "calibrate_rejects",
+    "session:i frame_id:i missing:i reason:s",
+    [*fx.F1, DARK, SHORT],
+    "SELECT session, frame_id, count(*) AS missing, 'samples outside a calibration master' AS reason FROM part ANTI JOIN short USING (ch, y, x) GROUP BY session, frame_id",
+)
+def _(spark, sf):
+    return short_master(spark, sf)[1]
 
 
 # ---- debayer ---------------------------------------------------------------------

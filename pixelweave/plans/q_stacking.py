@@ -96,7 +96,7 @@ def _(spark, sf):
 def _(spark, sf):
     px = fx.pixels(spark, sf, carry=("frame_number",))
     dark = C.master_dark(px.filter("session = 0"), SITE_KEYS).withColumn("dark", F.col("dark") * 0.1)
-    cal = C.subtract_dark(px.filter("session > 0"), dark)
+    cal = C.subtract_dark(px.filter("session > 0"), dark)[0]
     g = cal.groupBy(*FRAME, "frame_number").agg(F.stddev_pop("v").alias("s"), F.max("v").alias("m"))
     quality = g.select(
         *FRAME, "frame_number", F.when(F.col("frame_id") % 7 != 0, 2.0 + F.col("s") * 10.0).alias("fwhm"), (F.col("m") / F.col("s")).alias("snr")

@@ -139,7 +139,7 @@ def test_dark_and_flat(spark):
     dark, _ = frames_of(spark, [("d", i, i, np.full((4, 4), 0.1 + 0.02 * i)) for i in (1, 2)])
     flat, _ = frames_of(spark, [("f", 1, 1, np.linspace(0.4, 0.6, 16).reshape(4, 4))])
     keys = ["ch", "y", "x"]
-    out = C.calibrate(px, C.master_dark(dark, keys), C.master_flat(flat, keys))
+    out, _ = C.calibrate(px, C.master_dark(dark, keys), C.master_flat(flat, keys))
     want = 0.37 / (np.linspace(0.4, 0.6, 16).reshape(4, 4) / 0.5)
     assert np.allclose(to_array(out, 4, 4), want)
     black, _ = frames_of(spark, [("f", 1, 1, np.zeros((4, 4)))])
@@ -201,6 +201,6 @@ def test_frames_outside_a_master_are_listed(spark):
     rows = [("s", f, 0, 0, x, 0.5) for f in (1, 2) for x in range(2)] + [("s", 2, 0, 0, 9, 0.5)]
     px = spark.createDataFrame(rows, "session string, frame_id long, ch int, y int, x int, v double")
     dark = spark.createDataFrame([(0, 0, x, 0.1) for x in range(2)], "ch int, y int, x int, dark double")
-    good, rejects = C.calibrate_checked(px, dark)
+    good, rejects = C.calibrate(px, dark)
     assert sorted((r["frame_id"], round(r["v"], 6)) for r in good.collect()) == [(1, 0.4), (1, 0.4)]
     assert [(r["frame_id"], r["missing"]) for r in rejects.collect()] == [(2, 1)]
