@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import struct
 import tempfile
+import uuid
+import zlib
 
 from pyspark.sql import functions as F
 
@@ -13,8 +16,8 @@ from ..operators import background as B
 from ..operators import pixels as P
 from ..operators import stack as K
 from ..session import ensure_checkpoint_dir
-from ..sources import fits, raw, ser
-from ..streaming import live
+from ..sources import fits, images, raw, ser
+from ..streaming import events, live
 from . import deep_sky, planetary, render
 from . import fixtures as fx
 from .q_background import CFG as BG
@@ -254,3 +257,133 @@ def _(spark, sf):
     px = fx.pixels(spark, sf).filter("v > 0.5")
     counts = fx.frames(spark, sf).groupBy("session").agg(F.count("*").alias("frames"))
     return K.coverage(K.stack(px, border=None), counts)
+
+
+# ---- own functions in the end-to-end plans ---------------------------------------------
+
+
+SWAPPED = """nb AS (SELECT session, frame_id, x AS y, y AS x, v * 0.05::DOUBLE + ((x * 3 + y * 5) % 8) * 0.1::DOUBLE AS v FROM pixels),
+lap AS (SELECT a.session, a.frame_id, b.v + c.v + d.v + e.v - 4.0::DOUBLE * a.v AS lap FROM nb a
+  JOIN nb b ON b.session = a.session AND b.frame_id = a.frame_id AND b.y = a.y - 1 AND b.x = a.x JOIN nb c ON c.session = a.session AND c.frame_id = a.frame_id AND c.y = a.y + 1 AND c.x = a.x
+  JOIN nb d ON d.session = a.session AND d.frame_id = a.frame_id AND d.y = a.y AND d.x = a.x - 1 JOIN nb e ON e.session = a.session AND e.frame_id = a.frame_id AND e.y = a.y AND e.x = a.x + 1
+  WHERE a.y BETWEEN 1 AND 6 AND a.x BETWEEN 1 AND 6),
+rk AS (SELECT session, frame_id, row_number() OVER (PARTITION BY session ORDER BY q DESC, frame_id) AS rank, count(*) OVER (PARTITION BY session) AS total
+  FROM (SELECT session, frame_id, var_pop(lap) AS q FROM lap GROUP BY session, frame_id))"""
+
+
+@query(
+    "lucky_stack_prewarp",
+    "session:i ch:i y:i x:i v:d",
+    [*fx.F1, SWAPPED],
+    """SELECT p.session, 0 AS ch, y, x, coalesce(avg(CASE WHEN v > 0 THEN v END), 0) AS v FROM nb p JOIN rk USING (session, frame_id)
+       WHERE rank <= least(greatest(ceil(round(total * 0.25, 9)), 5), total) GROUP BY p.session, y, x""",
+)
+def _(spark, sf):
+    """The caller's own reshaping of the frames (rows and columns change places, the contrast goes down on top of a common
+    pattern, so that all frames correlate), then the lucky plan without a search."""
+
+    def swap(pixels, frames):
+        v = F.col("v") * 0.05 + ((F.col("x") * 3 + F.col("y") * 5) % 8) * 0.1
+        return pixels.select(*FRAME, "ch", F.col("x").alias("y"), F.col("y").alias("x"), v.alias("v"))
+
+    config = Lucky(selection=0.25, min_frames=5, search_radius=0, subpixel_factor=1, method="mean", roi=(0, 0, 8, 8))
+    return planetary.stack_lucky(fx.pixels(spark, sf), fx.frames(spark, sf), config, prewarp=swap).stack
+
+
+@query(
+    "comet_stack_tracker",
+    "session:i ch:i y:i x:i mean:d n:i",
+    [*fx.F1],
+    """SELECT session, 0 AS ch, y, x, avg(v) AS mean, count(*) AS n FROM (
+         SELECT session, y + (frame_id % 2)::INT AS y, x + (frame_id % 3)::INT AS x, v FROM pixels WHERE frame_id % 6 = 0 OR (y < 7 AND x < 7))
+       WHERE y < 8 AND x < 8 AND abs(v) > 0 GROUP BY session, y, x""",
+)
+def _(spark, sf):
+    """The caller's own tracker: whole steps from the frame id."""
+
+    def tracker(pixels, frames, rois):
+        return frames.select(*FRAME, (F.col("frame_id") % 3).cast("double").alias("dx"), (F.col("frame_id") % 2).cast("double").alias("dy"))
+
+    fr = fx.frames(spark, sf)
+    rois = fr.select(*FRAME, *[F.lit(v).alias(n) for n, v in (("roi_x", 0), ("roi_y", 0), ("roi_w", 8), ("roi_h", 8))])
+    return planetary.stack_comet(fx.pixels(spark, sf), fr, rois, Rejection(), tracker)[0]
+
+
+# ---- event-time dedup on a stream -------------------------------------------------------
+
+
+WATERMARK = """wm AS (SELECT max(ts) - INTERVAL 10 DAY AS w FROM events WHERE event_id % 2 = 0),
+arrived AS (SELECT user_id % 5 AS session, event_id AS frame_number, event_id % 2 = 1 AND ts <= w AS late FROM events, wm)"""
+
+
+def deduplicated(spark, sf):
+    """(what arrived, what the stream kept): the even events come first and twice, the odd ones in a second run."""
+    ensure_checkpoint_dir(spark)
+    base = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/stream-{uuid.uuid4().hex}"
+    e = fx.camera_events(spark, sf).select((F.col("client") % 5).alias("session"), F.col("event_id").alias("frame_number"), "ts")
+    even, odd = e.filter("frame_number % 2 = 0"), e.filter("frame_number % 2 = 1")
+    for rows in (even.unionByName(even), odd):
+        rows.write.mode("append").parquet(f"{base}/in")
+        arriving = spark.readStream.schema(e.schema).parquet(f"{base}/in")
+        events.write_stream(events.deduplicate(arriving, "10 days"), f"{base}/out", f"{base}/state").awaitTermination()
+    return spark.read.parquet(f"{base}/in"), spark.read.parquet(f"{base}/out")
+
+
+@query("stream_dedup", "session:i frame_number:i", [WATERMARK], "SELECT session, frame_number FROM arrived WHERE NOT late")
+def _(spark, sf):
+    return deduplicated(spark, sf)[1]
+
+
+@query("stream_late_frames", "session:i frame_number:i", [WATERMARK], "SELECT session, frame_number FROM arrived WHERE late")
+def _(spark, sf):
+    return events.late_frames(*deduplicated(spark, sf))
+
+
+# ---- image folders ----------------------------------------------------------------------
+
+
+def grey_png(levels: bytes, w: int, h: int) -> bytes:
+    """An 8-bit grey image."""
+
+    def chunk(kind: bytes, body: bytes) -> bytes:
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    rows = b"".join(b"\0" + levels[i * w : (i + 1) * w] for i in range(h))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+
+def image_folder(spark, sf) -> str:
+    """Every frame as one image file; those with an id divisible by 10 are cut off."""
+    path = scratch(spark)
+    fr = fx.frame_arrays(spark, sf).select("frame_id", F.transform("data", lambda v: F.floor(F.least(F.greatest(v.cast("double") + 0.5, F.lit(0.0)), F.lit(1.0)) * 255.0 + 0.5).cast("int")).alias("levels"))
+
+    def save(batches):
+        for batch in batches:
+            for i, levels in zip(batch.frame_id, batch.levels):
+                data = grey_png(bytes(levels.tolist()), 8, 8)
+                with open(f"{path}/frame_{i}.png", "wb") as out:
+                    out.write(data[:20] if i % 10 == 0 else data)
+            yield batch[["frame_id"]]
+
+    fr.mapInPandas(save, "frame_id long").count()
+    return path
+
+
+def image_id():
+    return F.regexp_extract("path", r"frame_(\d+)\.png$", 1).cast("long").alias("frame_id")
+
+
+@query(
+    "image_folder_frames",
+    "frame_id:i width:i height:i channels:i total:d",
+    fx.F1,
+    "SELECT frame_id, 8 AS width, 8 AS height, 1 AS channels, sum(floor(v * 255.0::DOUBLE + 0.5::DOUBLE) / 255.0::DOUBLE) AS total FROM pixels WHERE frame_id % 10 <> 0 GROUP BY frame_id",
+)
+def _(spark, sf):
+    back = images.image_frames(spark, image_folder(spark, sf))
+    return back.select(image_id(), "width", "height", "channels", F.aggregate("data", F.lit(0.0), lambda a, b: a + b).alias("total"))
+
+
+@query("image_folder_rejects", "session:s frame_id:i reason:s", fx.F1, "SELECT 'images' AS session, frame_id, 'not a readable image' AS reason FROM vectors WHERE frame_id % 10 = 0")
+def _(spark, sf):
+    return images.image_rejects(spark, image_folder(spark, sf)).select("session", image_id(), "reason")

@@ -39,6 +39,13 @@ def deduplicate(frames: DataFrame, late: str = "1 hour") -> DataFrame:
     return frames.withWatermark("ts", late).dropDuplicatesWithinWatermark(["session", "frame_number"])
 
 
+def late_frames(frames: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows of ``frames`` (a table of all that arrived) without a copy in ``kept`` (what `deduplicate` wrote): they came
+    after the watermark had passed them, and the stream dropped them."""
+    keys = ["session", "frame_number"]
+    return frames.join(kept.select(*keys).distinct(), keys, "left_anti")
+
+
 def frame_rates(events: DataFrame, width: str = "1 minute", late: str = "1 minute") -> DataFrame:
     from ..operators.health import frame_rates as batch
 
