@@ -31,13 +31,13 @@ STARS = [
 ]
 
 
-def stars(spark, sf):
+def stars(spark, sf, n=N):
     v = fx.numbered_vectors(spark, sf).select("session", "frame_id", "frame_number", F.posexplode("embedding").alias("p", "e"))
     w = Window.partitionBy(*FRAME).orderBy(F.col("e").desc(), "p")
     p, i = F.col("p"), F.col("frame_id")
     x = (p % 8) * 80 + (p * 37) % 61 + (i * 7 + p * 3) % 5
     y = F.floor(p / 8) * 60 + (p * 29) % 47 + (i * 5 + p) % 3
-    r = v.withColumn("star_idx", F.row_number().over(w) - 1).filter(F.col("star_idx") < N)
+    r = v.withColumn("star_idx", F.row_number().over(w) - 1).filter(F.col("star_idx") < n)
     return r.select(*FRAME, "frame_number", "star_idx", x.cast("double").alias("x"), y.cast("double").alias("y"))
 
 
@@ -200,13 +200,13 @@ def _(spark, sf):
     )
 
 
-def moved_stars(spark, sf):
+def moved_stars(spark, sf, n=N):
     """Every frame sees the session's first star list under its own rotation, scale and shift.
 
     Stars are put where the inverse of (rotation, scale, tx, ty) takes them, so that
     transform is the truth; every ninth frame lost all but two stars.
     """
-    s = stars(spark, sf)
+    s = stars(spark, sf, n)
     base = s.filter("frame_number = 1").select("session", "star_idx", "x", "y")
     fr = s.select(*FRAME, "frame_number").distinct()
     i = F.col("frame_id")
@@ -276,6 +276,27 @@ def _(spark, sf):
     return G.robust_fit(p, REGISTRATION["robust"])
 
 
+HOT_PIXELS = 20
+
+
+@query(
+    "register_crowded",
+    "session:i frame_id:i rotation:d scale:d tx:d ty:d config:s attempts:i status:s dropped:i",
+    [fx.VECTORS, TRUTH],
+    """SELECT session, frame_id, CASE WHEN NOT lost THEN rotation END AS rotation, CASE WHEN NOT lost THEN scale END AS scale, CASE WHEN NOT lost THEN tx END AS tx, CASE WHEN NOT lost THEN ty END AS ty,
+       CASE WHEN NOT lost THEN 'near' END AS config, 1 AS attempts, CASE WHEN lost THEN 'failed' ELSE 'ok' END AS status, 0 AS dropped FROM truth""",
+)
+def _(spark, sf):
+    """All 64 stars of every frame behind 20 brighter hot pixels at fixed places, by near neighbours and sampling; frames
+    that lost their stars have no more pairs than hot pixels, which is not enough."""
+    s = moved_stars(spark, sf, 64).withColumn("star_idx", (F.col("star_idx") + HOT_PIXELS).cast("int"))
+    fr = s.select(*FRAME, "frame_number").distinct()
+    hot = fr.withColumn("star_idx", F.explode(F.sequence(F.lit(0), F.lit(HOT_PIXELS - 1))))
+    hot = hot.withColumn("x", ((F.col("star_idx") * 211 + 37) % 640).cast("double")).withColumn("y", ((F.col("star_idx") * 131 + 59) % 480).cast("double"))
+    near = Registration(None, 3, 0.01, 3.0, HOT_PIXELS + 4, 600.0, 5.0, True, 300, 0.02)
+    return G.register(s.unionByName(hot), fr.filter("frame_number = 1").select(*FRAME), fr.filter("frame_number > 1"), (), extra=[("near", near)])
+
+
 WARP = """tf AS (SELECT session, frame_id, ((frame_id % 17) - 8) * 0.02::DOUBLE AS rotation, 1.0::DOUBLE + ((frame_id % 5) - 2) * 0.04::DOUBLE AS scale,
   ((frame_id % 7) - 3) * 0.45::DOUBLE AS tx, ((frame_id % 3) - 1) * 0.6::DOUBLE AS ty FROM vectors),
 grid AS (SELECT t.session, t.frame_id, y.y, x.x, (cos(rotation) * (x.x - tx) + sin(rotation) * (y.y - ty)) / scale AS sx, (cos(rotation) * (y.y - ty) - sin(rotation) * (x.x - tx)) / scale AS sy
