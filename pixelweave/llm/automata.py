@@ -114,7 +114,7 @@ _hashes: dict[bytes, int] = {}
 
 def _codes(text: str):
     words = text.encode("utf-8", "surrogateescape").split()
-    if len(_hashes) > 500_000:
+    if len(_hashes) > 100_000:
         _hashes.clear()
     codes = []
     for w in words:

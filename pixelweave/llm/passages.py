@@ -30,8 +30,10 @@ from pyspark.sql import functions as F
 from .places import stored
 from .winnow import anchors
 
-BATCH_ITEMS = 1 << 18
+# items whose anchors are found together, and bytes of rows given on together
+BATCH_ITEMS = 1 << 16
 SHARD_BYTES = 1 << 20
+SLICE_BYTES = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -72,6 +74,19 @@ def unpack(z: bytes) -> str:
     return zstandard.ZstdDecompressor().decompress(z).decode()
 
 
+def sliced(rows: Iterator[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
+    """Rows as frames of about SLICE_BYTES, so that a batch of many long stretches is never held whole."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += 64 + sum(len(x) for x in row if isinstance(x, bytes))
+        if size >= SLICE_BYTES:
+            yield pd.DataFrame(held, columns=columns)
+            held, size = [], 0
+    if held:
+        yield pd.DataFrame(held, columns=columns)
+
+
 def _anchor_rows(docs: DataFrame, kind: Kind) -> DataFrame:
     """u1, u2, g (gram), w (the stretch of all its windows), p (anchor and first and last offset, packed)."""
     rows = docs.select(F.coalesce("doc_id", F.xxhash64("text")).alias("u1"), F.xxhash64(F.col("doc_id").isNull(), "text").bitwiseAND(0x7FFFFFFF).cast("int").alias("u2"), "text")
@@ -116,16 +131,17 @@ def _contexts(docs: DataFrame, open_rows: DataFrame, kind: Kind) -> DataFrame:
     lists = open_rows.groupBy("u1", "u2").agg(F.collect_list(F.struct("g", "p", "hot")).alias("open"))
     joined = keyed(docs.select("doc_id", "text")).drop("doc_id").join(lists, ["u1", "u2"])
 
+    def stretches(batch: pd.DataFrame) -> Iterator[tuple]:
+        for u1, u2, z, listed in zip(batch.u1.tolist(), batch.u2.tolist(), batch.z, batch.open):
+            cut = kind.codes(unpack(z))[1]
+            for x in listed:
+                p = x["p"]
+                a, low, high = p >> 24, p >> 12 & 4095, p & 4095
+                yield u1, u2, x["g"], x["hot"], a - high, high, cut(a - high, a - low + kind.size)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for u1, u2, z, listed in zip(batch.u1.tolist(), batch.u2.tolist(), batch.z, batch.open):
-                cut = kind.codes(unpack(z))[1]
-                for x in listed:
-                    p = x["p"]
-                    a, low, high = p >> 24, p >> 12 & 4095, p & 4095
-                    rows.append((u1, u2, x["g"], x["hot"], a - high, high, cut(a - high, a - low + kind.size)))
-            yield pd.DataFrame(rows, columns=["u1", "u2", "g", "hot", "first", "high", "body"])
+            yield from sliced(stretches(batch), ["u1", "u2", "g", "hot", "first", "high", "body"])
 
     return joined.select("u1", "u2", "z", "open").mapInPandas(run, "u1 long, u2 int, g long, hot boolean, first long, high int, body binary")
 
@@ -167,25 +183,28 @@ def _counted(rows: DataFrame, kind: Kind) -> DataFrame:
     def digest(codes_cut, a: int, b: int, offset: int) -> bytes:
         return xxhash.xxh3_128_digest(codes_cut(a, b) + b"|%d" % offset)
 
+    def block_rows(batch: pd.DataFrame) -> Iterator[tuple]:
+        for u1, u2, first, high, body in zip(batch.u1.tolist(), batch.u2.tolist(), batch["first"].tolist(), batch.high.tolist(), batch.body):
+            codes, cut = kind.codes(bytes(body).decode("utf-8", "surrogateescape"))
+            low = high - (len(codes) - kind.size)
+            for k in range(low // block, high // block + 1):
+                at = high - k * block
+                begin, end = max(0, at - block + 1), min(at, len(codes) - kind.size)
+                yield u1, u2, first + begin, cut(begin, end + kind.size), digest(cut, at, at - block + 1 + kind.size, k)
+
+    def window_rows(batch: pd.DataFrame) -> Iterator[tuple]:
+        for u1, u2, first, body in zip(batch.u1.tolist(), batch.u2.tolist(), batch["first"].tolist(), batch.body):
+            codes, cut = kind.codes(bytes(body).decode("utf-8", "surrogateescape"))
+            for i in range(len(codes) - kind.size + 1):
+                yield u1, u2, first + i, xxhash.xxh3_128_digest(cut(i, i + kind.size))
+
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for u1, u2, first, high, body in zip(batch.u1.tolist(), batch.u2.tolist(), batch["first"].tolist(), batch.high.tolist(), batch.body):
-                codes, cut = kind.codes(bytes(body).decode("utf-8", "surrogateescape"))
-                low = high - (len(codes) - kind.size)
-                for k in range(low // block, high // block + 1):
-                    at = high - k * block
-                    begin, end = max(0, at - block + 1), min(at, len(codes) - kind.size)
-                    out.append((u1, u2, first + begin, cut(begin, end + kind.size), digest(cut, at, at - block + 1 + kind.size, k)))
-            yield pd.DataFrame(out, columns=["u1", "u2", "first", "body", "h"])
+            yield from sliced(block_rows(batch), ["u1", "u2", "first", "body", "h"])
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for u1, u2, first, body in zip(batch.u1.tolist(), batch.u2.tolist(), batch["first"].tolist(), batch.body):
-                codes, cut = kind.codes(bytes(body).decode("utf-8", "surrogateescape"))
-                out.extend((u1, u2, first + i, xxhash.xxh3_128_digest(cut(i, i + kind.size))) for i in range(len(codes) - kind.size + 1))
-            yield pd.DataFrame(out, columns=["u1", "u2", "b", "h"])
+            yield from sliced(window_rows(batch), ["u1", "u2", "b", "h"])
 
     def twice(df: DataFrame) -> DataFrame:
         # written, so that the join deals both sides anew and can split a frequent key
