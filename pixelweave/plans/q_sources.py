@@ -15,7 +15,7 @@ from ..model import FRAME
 from ..operators import background as B
 from ..operators import pixels as P
 from ..operators import stack as K
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, settle
 from ..sources import fits, images, raw, ser
 from ..streaming import events, live
 from . import deep_sky, planetary, render
@@ -143,16 +143,19 @@ def _(spark, sf):
     "SELECT s.*, n / frames::DOUBLE AS coverage FROM wstack s JOIN (SELECT session, count(*) AS frames FROM weights GROUP BY session) USING (session)",
 )
 def _(spark, sf):
-    path, source = scratch(spark), scratch(spark)
-    q = fx.frame_quality(spark, sf)
-    rows = fx.pixels(spark, sf).join(q, FRAME)
-    # three files in frame order, one per micro-batch
-    third = F.when(F.col("frame_number") <= 15, 0).when(F.col("frame_number") <= 30, 1).otherwise(2)
+    ensure_checkpoint_dir(spark)
+    base = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/live-{uuid.uuid4().hex}"
+    size = fx.numbered_vectors(spark, sf).groupBy("session").agg(F.max("frame_number").alias("_n"))
+    rows = fx.pixels(spark, sf).join(fx.frame_quality(spark, sf), FRAME).join(size, "session")
+    # thirds of each session, one micro-batch each; of every tenth frame the lower half comes one batch later
+    third = F.floor((F.col("frame_number") - 1) * 3 / F.col("_n"))
+    late = (F.col("frame_number") % 10 == 0) & (F.col("y") >= 4)
+    rows = settle(rows.withColumn("_part", F.least(third + late.cast("int"), F.lit(2))).drop("_n"))
     for part in range(3):
-        rows.filter(third == part).coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    live.live_stack(stream, path, scratch(spark)).awaitTermination()
-    return live.current_stack(spark, path)
+        rows.filter(F.col("_part") == part).drop("_part").write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(rows.drop("_part").schema).parquet(f"{base}/in")
+        live.live_stack(stream, f"{base}/out", f"{base}/state").awaitTermination()
+    return live.current_stack(spark, f"{base}/out")
 
 
 @query("deep_sky_stack", "session:i ch:i y:i x:i mean:d n:i coverage:d")

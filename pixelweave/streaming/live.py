@@ -1,7 +1,9 @@
-"""Live stacking: per-batch partial sums in Parquet, merged on demand.
+"""Live stacking: per-batch partial sums in Parquet, merged by levels while the stream runs.
 
 Every batch writes under its own ``batch_id`` and reads only what earlier batches wrote,
-so a repeated batch replaces its own output and nothing else.
+so a repeated batch replaces its own output and nothing else.  FAN tables of one level are merged into one
+of the next when the last of them is written, so a reader meets at most FAN - 1 tables per level; tables that a merged one
+covers are removed FAN batches later, when no repeat can need them.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from ..operators import lucky as L
 from ..operators import stack as K
 
 LIMITS = ("min_fwhm", "max_fwhm", "min_snr", "max_snr")
+FAN = 8
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame | None:
@@ -35,8 +38,61 @@ def _store(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
+# ---- levels ----------------------------------------------------------------------
+
+
+def _tables(spark: SparkSession, path: str) -> list[tuple[int, int]]:
+    """(level, batch_id) of the tables under ``path`` that have rows; few, since merged ones are removed."""
+    df = _read(spark, path)
+    return [] if df is None else sorted((r.level, r.batch_id) for r in df.select("level", "batch_id").distinct().collect())
+
+
+def _covers(upper: tuple[int, int], lower: tuple[int, int]) -> bool:
+    """A table of level k holds the FAN**k batches that end with its own."""
+    return lower[0] < upper[0] and upper[1] - FAN ** upper[0] < lower[1] <= upper[1]
+
+
+def _place(path: str, table: tuple[int, int]) -> str:
+    return f"{path}/level={table[0]}/batch_id={table[1]}"
+
+
+def _union(spark: SparkSession, path: str, tables: list[tuple[int, int]]) -> DataFrame | None:
+    return spark.read.parquet(*[_place(path, t) for t in tables]) if tables else None
+
+
+def _held(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """The rows of all batches (before one), each batch once."""
+    tables = [t for t in _tables(spark, path) if before is None or t[1] < before]
+    return _union(spark, path, [t for t in tables if not any(_covers(u, t) for u in tables)])
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _put(df: DataFrame, path: str, batch_id: int, merged) -> None:
+    """Write a batch's rows and merge the levels that are full with it; ``merged`` makes one table of several."""
+    spark = df.sparkSession
+    known = _tables(spark, path)
+    for t in known:
+        if any(_covers(u, t) and u[1] < batch_id - FAN for u in known):
+            _remove(spark, _place(path, t))
+    df.write.mode("overwrite").parquet(_place(path, (0, batch_id)))
+    level = 1
+    while (batch_id + 1) % FAN**level == 0:
+        parts = [t for t in _tables(spark, path) if t[0] == level - 1 and _covers((level, batch_id), t)]
+        whole = _union(spark, path, parts)
+        if whole is not None:
+            merged(whole).write.mode("overwrite").parquet(_place(path, (level, batch_id)))
+        level += 1
+
+
+# ---- the stack -------------------------------------------------------------------
+
+
 def live_weights(quality: DataFrame, earlier: DataFrame | None, config: Weighting, block: int = 4096) -> tuple[DataFrame, DataFrame]:
-    """(weights of this batch, limits after it) given the limits of earlier batches.
+    """(weights of this batch, limits after it: one row per session) given the limits before it.
 
     ``quality``: session, frame_id, frame_number, fwhm, snr; ``earlier``: session and limits.
     """
@@ -46,46 +102,70 @@ def live_weights(quality: DataFrame, earlier: DataFrame | None, config: Weightin
         "min_snr": ("min", F.col("snr")),
         "max_snr": ("max", F.col("snr")),
     }
+    extreme = lambda c: F.min if c.startswith("min") else F.max
     r = scan.running(scan.number_blocks(quality, "frame_number", block), ["session"], ["frame_number"], values).drop(scan.BLOCK)
     if earlier is not None:
-        e = earlier.groupBy("session").agg(*[(F.min if c.startswith("min") else F.max)(c).alias(f"_{c}") for c in LIMITS])
+        e = earlier.groupBy("session").agg(*[extreme(c)(c).alias(f"_{c}") for c in LIMITS])
         r = r.join(e, "session", "left")
         for c in LIMITS:
             r = r.withColumn(c, (F.least if c.startswith("min") else F.greatest)(F.col(c), F.col(f"_{c}")))
-    after = r.groupBy("session").agg(*[(F.min if c.startswith("min") else F.max)(c).alias(c) for c in LIMITS])
+    after = r.select("session", *LIMITS)
+    if earlier is not None:
+        # sessions that this batch does not touch keep theirs
+        after = after.unionByName(earlier.select("session", *LIMITS))
+    after = after.groupBy("session").agg(*[extreme(c)(c).alias(c) for c in LIMITS])
     weight = F.lit(1.0) if config.disabled else K.weight_expr(config)
     return r.withColumn("weight", weight).select(*FRAME, "frame_number", "weight"), after
 
 
 def add_batch(pixels: DataFrame, quality: DataFrame, path: str, batch_id: int, config: Weighting = Weighting()) -> None:
-    """Stack one batch of aligned frames into ``path``."""
+    """Stack one batch of aligned frames into ``path``.
+
+    A frame whose rows come in several batches counts once and keeps the weight of its first.
+    """
     spark = pixels.sparkSession
-    weights, after = live_weights(quality, _before(spark, f"{path}/limits", batch_id), config)
-    _store(after, f"{path}/limits", batch_id)
-    _store(weights, f"{path}/frames", batch_id)
-    sums = K.accumulate(K.drop_border(pixels).join(weights, FRAME), PIXEL, "weight")
-    _store(sums, f"{path}/sums", batch_id)
+    limits = f"{path}/limits"
+    before = [t for t in _tables(spark, limits) if t[1] < batch_id]
+    weights, after = live_weights(quality, _union(spark, limits, before[-1:]), config)
+    seen = _held(spark, f"{path}/frames", batch_id)
+    if seen is not None:
+        first = seen.join(quality.select(*FRAME).distinct(), FRAME, "left_semi").select(*FRAME, F.col("weight").alias("_first"))
+        weights = weights.join(first, FRAME, "left")
+        again = weights.filter("_first IS NOT NULL")
+        used = weights.withColumn("weight", F.coalesce("_first", "weight")).drop("_first")
+        fresh = weights.join(again.select(*FRAME), FRAME, "left_anti").drop("_first")
+    else:
+        used = fresh = weights
+    after.write.mode("overwrite").parquet(_place(limits, (0, batch_id)))
+    _put(fresh, f"{path}/frames", batch_id, lambda df: df)
+    sums = K.accumulate(K.drop_border(pixels).join(used, FRAME), PIXEL, "weight")
+    _put(sums, f"{path}/sums", batch_id, K.merge)
+    # only the newest limits are read; those of a few batches stay for repeats
+    for t in before[:-1]:
+        if t[1] < batch_id - FAN:
+            _remove(spark, _place(limits, t))
 
 
 def current_stack(spark: SparkSession, path: str) -> DataFrame:
     """Stack and coverage of everything stored so far."""
-    sums = K.merge(spark.read.parquet(f"{path}/sums"))
-    counts = spark.read.parquet(f"{path}/frames").groupBy("session").agg(F.count("*").alias("frames"))
+    sums = K.merge(_held(spark, f"{path}/sums"))
+    counts = _held(spark, f"{path}/frames").groupBy("session").agg(F.count("*").alias("frames"))
     return K.coverage(K.finish(sums), counts)
 
 
 def compact(spark: SparkSession, path: str, target: str) -> None:
     """Merge all partial sums into one batch of a new folder; stop the stream first."""
-    last = spark.read.parquet(f"{path}/sums").agg(F.max("batch_id")).first()[0]
-    _store(K.merge(spark.read.parquet(f"{path}/sums")), f"{target}/sums", last)
-    for part in ("frames", "limits"):
-        spark.read.parquet(f"{path}/{part}").withColumn("batch_id", F.lit(last)).write.partitionBy("batch_id").mode("overwrite").parquet(f"{target}/{part}")
+    last = max(t[1] for t in _tables(spark, f"{path}/sums"))
+    K.merge(_held(spark, f"{path}/sums")).write.mode("overwrite").parquet(_place(f"{target}/sums", (0, last)))
+    _held(spark, f"{path}/frames").write.mode("overwrite").parquet(_place(f"{target}/frames", (0, last)))
+    newest = _tables(spark, f"{path}/limits")[-1:]
+    _union(spark, f"{path}/limits", newest).write.mode("overwrite").parquet(_place(f"{target}/limits", (0, last)))
 
 
 def live_stack(stream: DataFrame, path: str, checkpoint: str, config: Weighting = Weighting(), trigger: dict | None = None):
     """Stack a stream of aligned pixel rows that carry frame_number, fwhm and snr.
 
-    A frame's rows must arrive in one batch (one file per frame or more).
+    A frame's rows may arrive over several batches.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:

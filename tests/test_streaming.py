@@ -157,6 +157,25 @@ def test_live_stack_equals_batch_and_survives_a_repeated_batch(spark, frame_rows
     assert key(live.current_stack(spark, str(tmp_path / "small"))) == key(want)
 
 
+def test_levels_keep_few_tables_and_frames_count_once(spark, frame_rows, tmp_path, monkeypatch):
+    """Thirteen batches at a fan of two: every frame's rows come in two of them, the first batch's row by row."""
+    monkeypatch.setattr(live, "FAN", 2)
+    out = str(tmp_path / "out")
+    q = frame_rows.select("session", "frame_id", "frame_number", "fwhm", "snr").distinct()
+    px = frame_rows.select("session", "frame_id", "frame_number", "ch", "y", "x", "v")
+    cut = lambda df, b: df.filter(f"frame_number = {b + 1}" if b < 9 else f"frame_number BETWEEN {2 * (b - 9)} AND {2 * (b - 9) + 1}")
+    for b in range(14):
+        half = "y = 0" if b < 9 else "y = 1"
+        live.add_batch(cut(px, b).filter(half).drop("frame_number"), cut(q, b), out, b)
+        held = [t for t in live._tables(spark, f"{out}/sums")]
+        assert len(held) <= 4 * 3 + 2
+    want = K.stack(px.drop("frame_number"), K.quality_weights(q, Weighting()))
+    key = lambda df: sorted((r["session"], r["y"], r["x"], round(r["mean"], 9), round(r["w"], 9), r["n"]) for r in df.collect())
+    assert key(live.current_stack(spark, out)) == key(want)
+    assert {r["session"]: r["frames"] for r in live._held(spark, f"{out}/frames").groupBy("session").agg(F.count("*").alias("frames")).collect()} == {"a": 9, "b": 9}
+    assert live._union(spark, f"{out}/limits", live._tables(spark, f"{out}/limits")[-1:]).count() == 2
+
+
 def test_live_best_equals_batch(spark, tmp_path):
     scores = spark.createDataFrame([("s", i, float(i * 37 % 11)) for i in range(30)], "session string, frame_id bigint, quality double")
     src, out = str(tmp_path / "src"), str(tmp_path / "best")
