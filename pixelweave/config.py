@@ -234,6 +234,12 @@ class Stretch:
     color_intensity: float = 1.0
 
 
+# rules of the automatic stretch, fixed values
+STRONG_SIGNAL, SOME_SIGNAL = 0.4, 0.2  # shares of samples above the background
+STRONG_SIGMA, STRONG_SIGMA_LEAST, SOME_SIGMA = 0.6, 1.5, 0.8  # factors on the black point's sigmas, and their least
+STRONG_TARGET, STRONG_TARGET_MOST = 1.3, 0.20  # factor on the target background, and its most
+FAINT_LEVEL, LEAST_LEVEL = 0.001, 1e-6  # a background that near the black point keeps its level; the least level
+
 STRETCH = {
     "default": Stretch(),
     "dark_sky": Stretch(0.10, 2.5),

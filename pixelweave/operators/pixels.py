@@ -147,7 +147,7 @@ def check_dimensions(frames: DataFrame, reference: DataFrame) -> DataFrame:
     )
     same = (F.col("width") == F.col("_w")) & (F.col("height") == F.col("_h")) & (F.col("channels") == F.col("_c"))
     text = F.format_string(
-        "Dimension mismatch: expected %dx%dx%d, got %dx%dx%d", "_w", "_h", "_c", "width", "height", "channels"
+        "frame is %dx%dx%d, session has %dx%dx%d", "width", "height", "channels", "_w", "_h", "_c"
     )
     return (
         frames.join(ref, "session", "left")

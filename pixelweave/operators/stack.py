@@ -237,11 +237,11 @@ def verdicts(frames: DataFrame, checked: DataFrame, star_counts: DataFrame, regi
         .when(F.coalesce("status", F.lit("failed")) == "failed", "rejected_registration")
         .otherwise("stacked")
     )
-    few = F.format_string("Insufficient stars: %d detected, %d required", stars, F.lit(min_stars))
+    few = F.format_string("%d stars found, %d wanted", stars, F.lit(min_stars))
     reason = (
         F.when(F.col("verdict") == "rejected_dimensions", F.col("_dim"))
         .when(F.col("verdict") == "rejected_stars", few)
-        .when(F.col("verdict") == "rejected_registration", F.concat(F.lit("Registration failed: "), F.coalesce("_reg", F.lit("no result"))))
+        .when(F.col("verdict") == "rejected_registration", F.concat(F.lit("not registered: "), F.coalesce("_reg", F.lit("no result"))))
     )
     return (
         j.withColumn("verdict", verdict)

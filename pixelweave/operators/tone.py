@@ -7,6 +7,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import config as C
 from ..config import Contrast, Saturation, Stats, Stretch
 from ..functions.columns import asinh_stretch, clamp, clamp01, dither_offset, luma, mtf, s_curve, saturation_gain, solve_midtone
 from ..functions.solve import newton_factor
@@ -80,7 +81,10 @@ def grid_white_balance(pixels: DataFrame, frames: DataFrame, grid: int, percenti
     dims = frames.filter("channels = 3").select(*FRAME, F.floor(F.col("width") / grid).alias("_bw"), F.floor(F.col("height") / grid).alias("_bh"))
     j = pixels.join(dims.filter("_bw > 0 AND _bh > 0"), FRAME)
     block = [F.least(F.floor(F.col(p) / F.col(s)), F.lit(grid - 1)).alias(n) for p, s, n in (("y", "_bh", "_gy"), ("x", "_bw", "_gx"))]
-    med = j.groupBy(*FRAME, "ch", *block).agg(F.median("v").alias("m"))
+    keys = [*FRAME, "ch", "_gy", "_gx"]
+    # counts of distinct values and windows that spill: a block of a large sensor is no buffer
+    counts = S.value_counts(j.select(*FRAME, "ch", *block, "v"), keys, "v")
+    med = S.with_median(counts, keys, "v", "_n", "m").groupBy(*keys).agg(F.min("m").alias("m"))
     n = grid * grid
     index = min(int(percentile / 100.0 * n), n - 1)
     # a frame has grid*grid blocks, a fixed number
@@ -227,20 +231,20 @@ def stretch_parameters(pixels: DataFrame, frames: DataFrame, config: Stretch = S
     """Black point, effective median, target and strength per frame."""
     stats = S.image_stats(pixels, frames, Stats()) if stats is None else stats
     sigma = stats.groupBy(*FRAME).agg(F.avg("sigma").alias("sigma"))
-    # at most about 50 000 samples per frame, read three times below
+    # every sample, read three times below
     samples = settle(S.background_samples(pixels, frames))
     levels = S.mode_of_samples(samples).join(sigma, FRAME)
     share = S.signal_fraction(samples, levels)
     p = levels.join(share, FRAME)
     k, frac = config.black_point_sigma, F.col("signal_fraction")
-    adaptive = F.when(frac > 0.4, max(k * 0.6, 1.5)).when(frac > 0.2, k * 0.8).otherwise(k)
+    adaptive = F.when(frac > C.STRONG_SIGNAL, max(k * C.STRONG_SIGMA, C.STRONG_SIGMA_LEAST)).when(frac > C.SOME_SIGNAL, k * C.SOME_SIGMA).otherwise(k)
     p = p.withColumn("_bp", F.greatest(F.col("mode") - adaptive * F.col("sigma"), F.lit(0.0)))
     adjusted = F.col("mode") - F.col("_bp")
-    faint = adjusted < 0.001
+    faint = adjusted < C.FAINT_LEVEL
     p = p.withColumn("black_point", F.when(faint, 0.0).otherwise(F.col("_bp")))
-    p = p.withColumn("effective_median", F.greatest(F.when(faint, F.col("mode")).otherwise(adjusted), F.lit(1e-6)))
+    p = p.withColumn("effective_median", F.greatest(F.when(faint, F.col("mode")).otherwise(adjusted), F.lit(C.LEAST_LEVEL)))
     t = config.target_background
-    p = p.withColumn("target", F.when(frac > 0.4, min(t * 1.3, 0.20)).otherwise(t))
+    p = p.withColumn("target", F.when(frac > C.STRONG_SIGNAL, min(t * C.STRONG_TARGET, C.STRONG_TARGET_MOST)).otherwise(t))
     if config.tone == "asinh":
         # one row per frame: vectorised Newton steps
         strength = newton_factor(config)(F.col("effective_median"), F.col("target"))

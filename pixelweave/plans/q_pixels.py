@@ -105,7 +105,7 @@ def _(spark, sf):
     "session:i frame_id:i accepted:b reason:s",
     fx.F1[:1],
     """SELECT session, frame_id, w = 8 AND h = 8 AS accepted,
-       CASE WHEN NOT (w = 8 AND h = 8) THEN 'Dimension mismatch: expected 8x8x1, got ' || w || 'x' || h || 'x1' END AS reason
+       CASE WHEN NOT (w = 8 AND h = 8) THEN 'frame is ' || w || 'x' || h || 'x1, session has 8x8x1' END AS reason
        FROM (SELECT session, frame_id, CASE WHEN frame_id % 5 = 0 THEN 16 ELSE 8 END AS w, CASE WHEN frame_id % 11 = 0 THEN 4 ELSE 8 END AS h FROM vectors)""",
 )
 def _(spark, sf):

@@ -182,7 +182,7 @@ VERDICT_SRC = """SELECT session, frame_id, frame_number, frame_id % 9 <> 0 AS ac
 VERDICTS = f"""verdicts AS (SELECT session, frame_id, frame_number, CASE WHEN NOT accepted THEN 0 ELSE stars END AS stars,
   CASE WHEN NOT accepted THEN 'rejected_dimensions' WHEN stars < 5 THEN 'rejected_stars' WHEN status = 'failed' THEN 'rejected_registration' ELSE 'stacked' END AS verdict,
   CASE WHEN accepted AND stars >= 5 AND status = 'ok' THEN residual END AS residual,
-  CASE WHEN NOT accepted THEN 'size' WHEN stars < 5 THEN 'Insufficient stars: ' || stars || ' detected, 5 required' WHEN status = 'failed' THEN 'Registration failed: no match' END AS reason
+  CASE WHEN NOT accepted THEN 'size' WHEN stars < 5 THEN stars || ' stars found, 5 wanted' WHEN status = 'failed' THEN 'not registered: no match' END AS reason
   FROM ({VERDICT_SRC}))"""
 
 
