@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 CELL_ROWS = 20_000
 # heavy cells, and salts of one, at most; a cell that is not among the HEAVY largest has under 1/HEAVY of all rows
 HEAVY = 4096
+# rows of the smaller side up to which it goes to the larger one
+FEW_ROWS = 400_000
 
 
 def heavy_cells(rows: DataFrame, keys: list[str], limit: int = CELL_ROWS) -> DataFrame:
@@ -33,3 +35,11 @@ def salted_join(many: DataFrame, few: DataFrame, keys: list[str], spread: Column
     if partitions is not None:
         left = left.repartition(partitions, *on)
     return left.join(right, on).drop("_salt")
+
+
+def cell_join(many: DataFrame, few: DataFrame, keys: list[str], spread: Column, limit: int = CELL_ROWS, most: int = FEW_ROWS) -> DataFrame:
+    """Inner join on ``keys``: where ``few`` has at most ``most`` rows, counted, it is sent to the rows of ``many``, which keep their
+    partitions and their order; otherwise `salted_join`."""
+    if few.count() <= most:
+        return many.join(F.broadcast(few), keys)
+    return salted_join(many, few, keys, spread, limit, int(many.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import distance
-from ..functions.salting import CELL_ROWS, salted_join
+from ..functions.salting import CELL_ROWS, FEW_ROWS, cell_join
 from ..model import FRAME
 
 NEIGHBOURS = 6
@@ -22,6 +22,8 @@ NEIGHBOURS = 6
 SCALES = (0.90, 1.10)
 SIZE_STEP = 0.11
 TOLERANCE = 0.02
+# what a star adds to the weight of its partition of frames: the triangles and the vote rows it brings
+WEIGHT = 100
 
 
 def nearest(stars: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
@@ -36,12 +38,18 @@ def nearest(stars: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     s = s.join(span, FRAME).withColumn("_cell", cell).drop("_n", "_w", "_h")
     s = s.withColumn("_cy", F.floor(F.col("y") / F.col("_cell"))).withColumn("_cx", F.floor(F.col("x") / F.col("_cell")))
     around = F.sequence(F.lit(-1), F.lit(1))
-    o = s.select(*FRAME, F.col("star_idx").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("_cy").alias("_by"), F.col("_cx").alias("_bx"))
-    o = o.withColumn("_cy", F.explode(F.transform(around, lambda d: F.col("_by") + d))).withColumn("_cx", F.explode(F.transform(around, lambda d: F.col("_bx") + d)))
-    j = s.join(o.drop("_by", "_bx"), [*FRAME, "_cy", "_cx"]).filter("star_idx <> other")
-    j = j.withColumn("d", distance(F.col("x"), F.col("y"), F.col("ox"), F.col("oy"))).filter(F.col("d") <= F.col("_cell"))
-    w = Window.partitionBy(*FRAME, "star_idx").orderBy("d", "other")
-    return j.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(*FRAME, "star_idx", "x", "y", "rank", "other", "ox", "oy", "d")
+    # a star is listed in its own cell and as a neighbour in the 3 x 3 cells around; a cell holds some 4 k stars
+    own = F.struct("star_idx", "x", "y", F.col("_cell").alias("cell"))
+    at = F.explode(F.flatten(F.transform(around, lambda a: F.transform(around, lambda b: F.struct(a.alias("dy"), b.alias("dx"))))))
+    c = s.select(*FRAME, "_cy", "_cx", own.alias("_s"), at.alias("_at"))
+    c = c.select(*FRAME, (F.col("_cy") + F.col("_at.dy")).alias("_cy"), (F.col("_cx") + F.col("_at.dx")).alias("_cx"), "_s", ((F.col("_at.dy") == 0) & (F.col("_at.dx") == 0)).alias("_own"))
+    c = c.groupBy(*FRAME, "_cy", "_cx").agg(F.collect_list(F.when(F.col("_own"), F.col("_s"))).alias("_stars"), F.collect_list("_s").alias("_around"))
+    c = c.select(*FRAME, F.explode("_stars").alias("_s"), "_around")
+    apart = lambda o: distance(F.col("_s.x"), F.col("_s.y"), o["x"], o["y"])
+    partners = F.transform(F.filter("_around", lambda o: o["star_idx"] != F.col("_s.star_idx")), lambda o: F.struct(apart(o).alias("d"), o["star_idx"].alias("other"), o["x"].alias("ox"), o["y"].alias("oy")))
+    first = F.slice(F.sort_array(F.filter(partners, lambda o: o["d"] <= F.col("_s.cell"))), 1, k)
+    j = c.select(*FRAME, "_s", F.posexplode(first).alias("_rank", "_o"))
+    return j.select(*FRAME, "_s.star_idx", "_s.x", "_s.y", (F.col("_rank") + 1).alias("rank"), "_o.other", "_o.ox", "_o.oy", "_o.d")
 
 
 def near_triangles(stars: DataFrame, k: int = NEIGHBOURS, low: float = 0.0, high: float = float("inf")) -> DataFrame:
@@ -81,11 +89,11 @@ def near_triangles(stars: DataFrame, k: int = NEIGHBOURS, low: float = 0.0, high
     )
 
 
-def near_votes(targets: DataFrame, references: DataFrame, tolerance: float = TOLERANCE, limit: int = CELL_ROWS) -> DataFrame:
+def near_votes(targets: DataFrame, references: DataFrame, tolerance: float = TOLERANCE, limit: int = CELL_ROWS, few: int = FEW_ROWS) -> DataFrame:
     """frame, ref, tgt, votes: pairs of stars at the same corner of triangles of equal shape, size and hand.
 
     Cells are of the tolerance in shape and of a tenth in size; a reference triangle is repeated for the cells
-    around its own, so the join is on equal cells, crowded ones salted by their counted targets.
+    around its own, so the join is on equal cells; counted as few they go to the targets, else crowded cells are salted.
     """
     cells = {"_c0": F.floor(F.col("d0") / tolerance), "_c1": F.floor(F.col("d1") / tolerance), "_c2": F.floor(F.log("size") / SIZE_STEP)}
     t = targets.withColumns(cells)
@@ -93,19 +101,24 @@ def near_votes(targets: DataFrame, references: DataFrame, tolerance: float = TOL
     r = references.select("session", "hand", F.col("corners").alias("_ref"), F.col("d0").alias("_r0"), F.col("d1").alias("_r1"), F.col("size").alias("_rsize"), *[c.alias(f"_b{n}") for n, c in enumerate(cells.values())])
     for n in range(3):
         r = r.withColumn("_d", F.explode(around)).withColumn(f"_c{n}", F.col(f"_b{n}") + F.col("_d")).drop("_d", f"_b{n}")
-    partitions = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    j = salted_join(t, r, ["session", "hand", "_c0", "_c1", "_c2"], F.struct("frame_id", "corners"), limit, partitions)
+    j = cell_join(t, r, ["session", "hand", "_c0", "_c1", "_c2"], F.struct("frame_id", "corners"), limit, few)
     scale = F.col("_rsize") / F.col("size")
     j = j.filter((F.abs(F.col("d0") - F.col("_r0")) < tolerance) & (F.abs(F.col("d1") - F.col("_r1")) < tolerance) & scale.between(*SCALES))
     pair = F.explode(F.array(*[F.struct(F.get("_ref", F.lit(n)).alias("ref"), F.get("corners", F.lit(n)).alias("tgt")) for n in range(3)])).alias("_v")
     return j.select(*FRAME, pair).groupBy(*FRAME, F.col("_v.ref").alias("ref"), F.col("_v.tgt").alias("tgt")).agg(F.count("*").alias("votes"))
 
 
-def mutual_best(votes: DataFrame, least: int = 2) -> DataFrame:
-    """frame, pair_idx, ref, tgt: pairs that are the most voted of both their stars (ties: smaller ref, then tgt), with
-    at least ``least`` votes; pair_idx counts from 0 by falling votes."""
-    best = lambda key: F.row_number().over(Window.partitionBy(*FRAME, key).orderBy(F.desc("votes"), "ref", "tgt"))
-    v = votes.filter(F.col("votes") >= least)
-    v = v.withColumn("_a", best("tgt")).filter("_a = 1").join(v.withColumn("_b", best("ref")).filter("_b = 1").select(*FRAME, "ref", "tgt"), [*FRAME, "ref", "tgt"])
-    order = F.row_number().over(Window.partitionBy(*FRAME).orderBy(F.desc("votes"), "ref", "tgt")) - 1
-    return v.select(*FRAME, order.cast("int").alias("pair_idx"), F.col("ref").cast("int").alias("ref"), F.col("tgt").cast("int").alias("tgt"))
+def mutual_votes(votes: DataFrame, least: int = 2) -> DataFrame:
+    """frame, matches, pair_idx, ref, tgt: pairs that are the most voted of both their stars (ties: smaller ref, then tgt), with
+    at least ``least`` votes; pair_idx counts from 0 by falling votes. ``matches`` is a third of all votes of the frame; a
+    frame without such pairs has one row without a pair."""
+    frame = Window.partitionBy(*FRAME)
+    order = [F.desc("votes"), "ref", "tgt"]
+    best = lambda *key: F.row_number().over(Window.partitionBy(*FRAME, *key).orderBy(*order))
+    v = votes.withColumn("matches", F.ceil(F.sum("votes").over(frame) / 3)).withColumn("_first", best()).filter((F.col("votes") >= least) | (F.col("_first") == 1))
+    v = v.withColumn("_a", best("tgt")).withColumn("_b", best("ref"))
+    mutual = (F.col("votes") >= least) & (F.col("_a") == 1) & (F.col("_b") == 1)
+    v = v.withColumn("_mutual", mutual).filter(F.col("_mutual") | (F.col("_first") == 1))
+    index = F.sum(F.col("_mutual").cast("int")).over(frame.orderBy(*order)) - 1
+    pair = lambda c: F.when(F.col("_mutual"), F.col(c).cast("int")).alias(c)
+    return v.withColumn("pair_idx", index).select(*FRAME, "matches", pair("pair_idx"), pair("ref"), pair("tgt"))
