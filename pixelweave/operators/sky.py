@@ -69,7 +69,8 @@ def within_radius(positions: DataFrame, catalogue: DataFrame, radius_deg: float,
     least as wide as the radius at the band's poleward edge.  A position is repeated for
     the three bands and, in each, the cells its radius can reach, so the join is an
     equi-join on (band, cell) with the distance as residual test.  Cells with more than
-    ``limit`` entries are split by their count: entries get a salt, positions one copy per salt.
+    ``limit`` entries are split by their count: entries get a salt, positions one copy per salt. The pairs found grow with
+    the product of entries and positions.
     """
     def bands(dec: Column) -> Column:
         return F.floor((dec + 90.0) / radius_deg).cast("int")
@@ -95,7 +96,9 @@ def within_radius(positions: DataFrame, catalogue: DataFrame, radius_deg: float,
     first = F.floor((F.col("ra") - half) / size).cast("int")
     last = F.least(F.floor((F.col("ra") + half) / size).cast("int"), first + F.col("_n") - 1)
     p = p.withColumn("_cell", F.explode(F.transform(F.sequence(first, last), lambda k: F.pmod(k, F.col("_n"))))).drop("_n")
-    j = salted_join(c, p, ["_band", "_cell"], F.col("entry_id"), limit).withColumn("distance_deg", separation(F.col("ra"), F.col("dec"), F.col("entry_ra"), F.col("entry_dec")))
+    # the pairs are far more than the rows: their number of partitions is not left to the size of the input
+    partitions = int(catalogue.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    j = salted_join(c, p, ["_band", "_cell"], F.col("entry_id"), limit, partitions).withColumn("distance_deg", separation(F.col("ra"), F.col("dec"), F.col("entry_ra"), F.col("entry_dec")))
     return j.filter(F.col("distance_deg") <= radius_deg).drop("_band", "_cell")
 
 
