@@ -8,8 +8,9 @@ Each shard goes on splitting itself in the same way in memory and compares what
 link to a smallest member per local component, never the pairs of a dense group.
 
 At a shingle similarity of 0.8 fingerprints differ in some 15 of 100 bits, where triangle bounds prune nothing. For
-that width (`one_of_each`) documents meet where the least hashes of their shingles agree (``BANDS`` keys of ``ROWS``
-minima each); inside each such part 256-bit fingerprints are compared under a limit that near copies hardly miss, and
+that width (`one_of_each`) a document has ``BANDS`` 64-bit SimHash fingerprints more, each of a sample of ``ROWS`` of its
+shingles (those of least hash), and documents meet where the tree finds such fingerprints within `LIMIT` bits; inside each
+such part 256-bit fingerprints of all shingles are compared under a limit that near copies hardly miss, and
 links go to a smallest member as above. The components of these links are candidates only: inside each the shingle
 sets themselves are compared, and links of a similarity of 0.8 or more make the classes.
 Parts of more than ``SHARD_SIZE`` are dealt into blocks, and every two blocks of a part meet in a task of their own: the
@@ -86,13 +87,20 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def sample_fingerprints(least: np.ndarray) -> np.ndarray:
+    """The SimHash of each of BANDS samples, of the ROWS shingles whose hashes are `least`."""
+    hashes = _mixed(_mixed(least).reshape(BANDS, ROWS) * MIX)
+    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(BANDS, ROWS, 8), axis=2, bitorder="little")
+    return np.packbits(bits.sum(axis=1) * 2 > ROWS, axis=1, bitorder="little").view("<u8")[:, 0]
+
+
 def wide_fingerprint(hashes: np.ndarray) -> tuple[list[int], np.ndarray]:
-    """The words of a SimHash of WORDS * 64 bits, and the BANDS keys made of the shingles' least hashes."""
+    """The words of a SimHash of WORDS * 64 bits, and the fingerprints of BANDS samples of the shingles."""
     words = [majority(_mixed(hashes ^ salt)) for salt in SALTS]
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(hashes), 256):
         np.minimum(least, (hashes[at : at + 256, None] * FACTORS).min(axis=0), out=least)
-    return words, _mixed((_mixed(least).reshape(BANDS, ROWS) * MIX).sum(axis=1, dtype=np.uint64))
+    return words, sample_fingerprints(least)
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, **columns: str) -> DataFrame:
@@ -280,7 +288,7 @@ def classes(prints: DataFrame, limit: int = LIMIT, shard_size: int = SHARD_SIZE,
 
 
 def wide_fingerprints(docs: DataFrame, shingle: int, **columns: str) -> DataFrame:
-    """doc_id, u2, fp (a hash of the set of shingles), the words of its SimHash, the keys and the number of shingles.
+    """doc_id, u2, fp (a hash of the set of shingles), the words of its SimHash, the fingerprints of its samples (keys) and the number of shingles.
     Each distinct shingle counts once, so a repeated one cannot decide the SimHash alone."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -353,10 +361,19 @@ def task_links(rows: DataFrame, key: str, walk: Callable[[pd.DataFrame], Iterato
     return rows.mapInPandas(run, "fp long, root long").distinct()
 
 
+def meeting(distinct: DataFrame, shard_size: int = SHARD_SIZE) -> DataFrame:
+    """key, part: the sample fingerprints that others lie within LIMIT bits of, by the vantage-point tree, and the smallest
+    that such links reach from them; the others are parts of their own."""
+    samples = settle(distinct.select(F.explode("first.keys").alias("fp")).distinct())
+    return components(links(samples, LIMIT, shard_size)).select(F.col("fp").alias("key"), F.col("root").alias("part"))
+
+
 def wide_links(distinct: DataFrame, limit: int = WIDE_LIMIT, shard_size: int = SHARD_SIZE) -> DataFrame:
-    """(fp, root) links that connect exactly what pairs of one key within `limit` bits connect."""
+    """(fp, root) links that connect exactly what pairs within `limit` bits connect whose samples meet in the tree."""
     names = [f"w{i}" for i in range(WORDS)]
     keyed = distinct.select("fp", *[F.col("first.words")[i].alias(w) for i, w in enumerate(names)], F.explode("first.keys").alias("key"))
+    keyed = keyed.join(small(meeting(distinct, shard_size)), "key", "left").withColumn("key", F.coalesce("part", "key")).drop("part")
+    keyed = keyed.dropDuplicates(["fp", "key"])
     crowded = keyed.groupBy("key").count().filter(F.col("count") > shard_size)
     parts = settle(crowded.select("key", F.ceil(2 * F.col("count") / shard_size).alias("blocks")))
     return task_links(dealt(keyed, "key", parts), "key", lambda part: part_links(part[names].to_numpy().view(np.uint64), limit))

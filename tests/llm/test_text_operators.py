@@ -234,6 +234,21 @@ def test_wide_links_of_a_crowded_part(spark):
         assert {tuple(sorted(p)) for p in got} == {(i, i + 2500) for i in range(2500)}
 
 
+def test_samples_meet_in_the_tree(spark):
+    # sample fingerprints two bits apart meet as equal ones do, three bits apart they do not
+    rng = np.random.default_rng(6)
+    words = rng.integers(-(2**63), 2**63 - 1, (300, simhash.WORDS)).tolist()
+    keys = rng.integers(-(2**63), 2**63 - 1, 300)
+    rows = [(i, (words[i % 300], [int(keys[i % 300] ^ (0 if i < 300 else 0b11 if i % 2 else 0b111))])) for i in range(600)]
+    df = spark.createDataFrame(rows, "fp long, first struct<words: array<long>, keys: array<long>>")
+    got = {(r.fp, r.root) for r in simhash.wide_links(df, shard_size=50).collect()}
+    assert {tuple(sorted(p)) for p in got} == {(i, i + 300) for i in range(1, 300, 2)}
+    # a sample's fingerprint is the majority of its shingles' hashes
+    least = rng.integers(0, 2**63, simhash.BANDS * simhash.ROWS, np.uint64)
+    mixed = simhash._mixed(simhash._mixed(least).reshape(simhash.BANDS, simhash.ROWS) * simhash.MIX)
+    assert simhash.sample_fingerprints(least).tolist() == [simhash.majority(m) for m in mixed]
+
+
 def test_classes_by_the_similarity_of_the_shingles(spark):
     # pairs a little above and a little below 0.8: a changed word in the middle touches 5 shingles
     rng = random.Random(21)
