@@ -300,4 +300,4 @@ def block_medians(pixels: DataFrame, frames: DataFrame, rows: int, cols: int, k:
     b = j.withColumn("row", F.least(F.floor(F.col("y") / F.col("_bh")), F.lit(rows - 1)).cast("int")).withColumn(
         "col", F.least(F.floor(F.col("x") / F.col("_bw")), F.lit(cols - 1)).cast("int")
     )
-    return S.upper_sigma_clip(b, [*FRAME, "ch", "row", "col"], k, 1, keep_flat=False)
+    return S.upper_sigma_clip(b, [*FRAME, "ch", "row", "col"], k, 1, keep_flat=False, tasks=S.tasks_for(frames))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from ..model import FRAME
 from .pixels import luma_luminance, mean_luminance, strided_sample
 
 CHANNEL = [*FRAME, "ch"]
+# samples that one task sorts for medians
+TASK_SAMPLES = 1 << 18
 
 
 def with_median(df: DataFrame, keys: list[str], value: str, weight: str, name: str) -> DataFrame:
@@ -30,14 +34,26 @@ def with_median(df: DataFrame, keys: list[str], value: str, weight: str, name: s
     return counted.withColumn(name, middle).drop("_c", "_t")
 
 
-def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Rows per distinct value (``_n``), merged before the exchange; NULL is left out."""
-    return df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+def tasks_for(frames: DataFrame, samples: int = TASK_SAMPLES) -> int:
+    """Tasks over which the samples of ``frames`` are dealt, so that each has some ``samples`` of them at any input."""
+    channels = F.coalesce("channels", F.lit(1)) if "channels" in frames.columns else F.lit(1)
+    total = frames.agg(F.sum(F.col("width").cast("double") * F.col("height") * channels)).first()[0]
+    return max(1, math.ceil((total or 0) / samples))
+
+
+def value_counts(df: DataFrame, keys: list[str], value: str, tasks: int | None = None) -> DataFrame:
+    """Rows per distinct value (``_n``), merged before the exchange; NULL is left out.
+
+    ``tasks`` deals the groups over as many tasks. The windows of a median hold several sorted copies of a task's
+    rows, so their number is not left to the size of the shuffled bytes.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    return counts.repartition(tasks, *keys) if tasks else counts
 
 
-def robust_stats(sample: DataFrame, keys: list[str], value: str = "v") -> DataFrame:
+def robust_stats(sample: DataFrame, keys: list[str], value: str = "v", tasks: int | None = None) -> DataFrame:
     """median, mad, sigma = 1.4826*mad, min, max, n per group, from the counts of its distinct values."""
-    g = with_median(value_counts(sample, keys, value), keys, value, "_n", "_m")
+    g = with_median(value_counts(sample, keys, value, tasks), keys, value, "_n", "_m")
     g = with_median(g.withColumn("_d", F.abs(F.col(value) - F.col("_m"))), keys, "_d", "_n", "_mad")
     return g.groupBy(*keys).agg(
         F.min("_m").alias("median"),
@@ -52,13 +68,13 @@ def robust_stats(sample: DataFrame, keys: list[str], value: str = "v") -> DataFr
 def image_stats(pixels: DataFrame, frames: DataFrame, config: Stats = Stats()) -> DataFrame:
     """Channel statistics of every sample, or of the strided sample that ``config`` asks for."""
     sample = strided_sample(pixels, frames, config.max_samples, config.min_samples)
-    return robust_stats(sample, CHANNEL)
+    return robust_stats(sample, CHANNEL, tasks=tasks_for(frames))
 
 
 def luminance_stats(pixels: DataFrame, frames: DataFrame, weighted: bool = True, config: Stats = Stats()) -> DataFrame:
     sampled = strided_sample(pixels, frames, config.max_samples, config.min_samples)
     lum = luma_luminance(sampled) if weighted else mean_luminance(sampled)
-    return robust_stats(lum, FRAME)
+    return robust_stats(lum, FRAME, tasks=tasks_for(frames))
 
 
 def image_summary(stats: DataFrame) -> DataFrame:
@@ -86,7 +102,7 @@ def suggested_levels(stats: DataFrame, k: float = 2.8) -> DataFrame:
 
 def detection_background(luminance: DataFrame, frames: DataFrame, k: float | Column) -> DataFrame:
     """median, sigma (at least 1e-6) and threshold of a luminance frame."""
-    s = robust_stats(strided_sample(luminance, frames), FRAME)
+    s = robust_stats(strided_sample(luminance, frames), FRAME, tasks=tasks_for(frames))
     sigma = F.greatest(F.col("sigma"), F.lit(1e-6))
     k = k if isinstance(k, Column) else F.lit(float(k))
     return s.select(*FRAME, "median", sigma.alias("sigma"), (F.col("median") + k * sigma).alias("threshold"))
@@ -156,14 +172,20 @@ def contrast_std(luminance: DataFrame) -> DataFrame:
 
 
 def upper_sigma_clip(
-    df: DataFrame, keys: list[str], k: float = 3.0, rounds: int = 3, value: str = "v", keep_flat: bool = True
+    df: DataFrame,
+    keys: list[str],
+    k: float = 3.0,
+    rounds: int = 3,
+    value: str = "v",
+    keep_flat: bool = True,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Median after clipping the upper tail at median + k*1.4826*mad, at most ``rounds`` times.
 
     A round that removes nothing, or a spread under 1e-9, leaves the survivors as they
     are, and later rounds then repeat themselves; so unrolled rounds need no stop flag.
     """
-    g = value_counts(df, keys, value).withColumn("_alive", F.col("_n"))
+    g = value_counts(df, keys, value, tasks).withColumn("_alive", F.col("_n"))
     for _ in range(rounds):
         g = with_median(g, keys, value, "_alive", "_m")
         g = with_median(g.withColumn("_d", F.abs(F.col(value) - F.col("_m"))), keys, "_d", "_alive", "_mad")

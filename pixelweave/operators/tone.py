@@ -83,7 +83,7 @@ def grid_white_balance(pixels: DataFrame, frames: DataFrame, grid: int, percenti
     block = [F.least(F.floor(F.col(p) / F.col(s)), F.lit(grid - 1)).alias(n) for p, s, n in (("y", "_bh", "_gy"), ("x", "_bw", "_gx"))]
     keys = [*FRAME, "ch", "_gy", "_gx"]
     # counts of distinct values and windows that spill: a block of a large sensor is no buffer
-    counts = S.value_counts(j.select(*FRAME, "ch", *block, "v"), keys, "v")
+    counts = S.value_counts(j.select(*FRAME, "ch", *block, "v"), keys, "v", S.tasks_for(frames))
     med = S.with_median(counts, keys, "v", "_n", "m").groupBy(*keys).agg(F.min("m").alias("m"))
     n = grid * grid
     index = min(int(percentile / 100.0 * n), n - 1)
