@@ -20,8 +20,8 @@ from ..model import FRAME
 
 SIDE = 256
 KEY = [*FRAME, "ch", "ty", "tx"]
-# bytes of samples in one emitted batch
-BATCH = 1 << 24
+# bytes of samples in one emitted batch, and of those turned into rows at a time
+BATCH = 1 << 22
 SHAPE = [T.StructField(n, T.IntegerType()) for n in ("ch", "ty", "tx", "h", "w", "fh", "fw")]
 
 
@@ -54,6 +54,13 @@ def samples(data: bytes, h: int, w: int) -> np.ndarray:
     return np.frombuffer(data, "<f8").reshape(h, w)
 
 
+def records(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch, a slice of some BATCH bytes at a time."""
+    step = max(1, BATCH * batch.num_rows // max(batch.nbytes, 1))
+    for at in range(0, batch.num_rows, step):
+        yield from batch.slice(at, step).to_pylist()
+
+
 def _sorted_by(df: DataFrame, keys: list[str], *then: str) -> DataFrame:
     return df.repartition(*keys).sortWithinPartitions(*keys, *then)
 
@@ -94,7 +101,7 @@ def cut(pixels: DataFrame, frames: DataFrame, side: int = SIDE) -> DataFrame:
     def crop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Rows(schema)
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in records(batch):
                 h, w = min(side, r["fh"] - r["ty"] * side), min(side, r["fw"] - r["tx"] * side)
                 if min(h, w, r["ty"] + 1, r["tx"] + 1) > 0:
                     data = np.ascontiguousarray(samples(r["data"], side, side)[:h, :w]).tobytes()
@@ -184,7 +191,7 @@ def exchanged(tiles: DataFrame, need: Need, kernel, out_schema: T.StructType, si
     def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, current, parts = Rows(out_schema), None, []
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in records(batch):
                 key = tuple(r[k] for k in KEY)
                 if current is not None and key != tuple(current[k] for k in KEY):
                     for row in kernel(current, parts):

@@ -1,6 +1,7 @@
 """Tiles against the long form: halos, demosaic, resampling, sharpness, and crooked frame sizes."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,3 +96,19 @@ def test_only_strips_travel(spark, sky):
     seen = {(r["ty"], r["tx"]): (r["h"], r["w"]) for r in out}
     assert len(out) == len(seen) == 12
     assert max(h for h, _ in seen.values()) == SIDE + 4 and max(w for _, w in seen.values()) == SIDE + 4
+
+
+def test_records_come_in_slices_of_bounded_bytes(monkeypatch):
+    batch = pa.RecordBatch.from_pydict({"i": list(range(1000)), "data": [bytes(400)] * 1000})
+    monkeypatch.setattr(TL, "BATCH", 4096)
+    sizes, plain = [], pa.RecordBatch.slice
+
+    class Watched:
+        num_rows, nbytes = batch.num_rows, batch.nbytes
+
+        def slice(self, at, n):
+            sizes.append(n)
+            return plain(batch, at, n)
+
+    assert [r["i"] for r in TL.records(Watched())] == list(range(1000))
+    assert max(sizes) * 400 <= 4096 and not list(TL.records(batch.slice(0, 0)))
