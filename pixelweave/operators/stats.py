@@ -34,11 +34,26 @@ def with_median(df: DataFrame, keys: list[str], value: str, weight: str, name: s
     return counted.withColumn(name, middle).drop("_c", "_t")
 
 
+def _samples(frames: DataFrame) -> tuple[float, float]:
+    """Samples of all frames and of the largest."""
+    channels = F.coalesce("channels", F.lit(1)) if "channels" in frames.columns else F.lit(1)
+    n = F.col("width").cast("double") * F.col("height") * channels
+    total, most = frames.agg(F.sum(n), F.max(n)).first()
+    return total or 0, most or 0
+
+
 def tasks_for(frames: DataFrame, samples: int = TASK_SAMPLES) -> int:
     """Tasks over which the samples of ``frames`` are dealt, so that each has some ``samples`` of them at any input."""
-    channels = F.coalesce("channels", F.lit(1)) if "channels" in frames.columns else F.lit(1)
-    total = frames.agg(F.sum(F.col("width").cast("double") * F.col("height") * channels)).first()[0]
-    return max(1, math.ceil((total or 0) / samples))
+    return max(1, math.ceil(_samples(frames)[0] / samples))
+
+
+def dealt(pixels: DataFrame, frames: DataFrame, samples: int = TASK_SAMPLES) -> DataFrame:
+    """``pixels`` over as many tasks as ``tasks_for``: by frame, or by the rows of frames larger than a task's share.
+
+    What is joined and grouped by frame afterwards stays in these tasks.
+    """
+    total, most = _samples(frames)
+    return pixels.repartition(max(1, math.ceil(total / samples)), *FRAME, *(["y"] if most > samples else []))
 
 
 def value_counts(df: DataFrame, keys: list[str], value: str, tasks: int | None = None) -> DataFrame:

@@ -232,7 +232,7 @@ def stretch_parameters(pixels: DataFrame, frames: DataFrame, config: Stretch = S
     stats = S.image_stats(pixels, frames, Stats()) if stats is None else stats
     sigma = stats.groupBy(*FRAME).agg(F.avg("sigma").alias("sigma"))
     # every sample, read three times below
-    samples = settle(S.background_samples(pixels, frames))
+    samples = S.dealt(settle(S.background_samples(pixels, frames)), frames)
     levels = S.mode_of_samples(samples).join(sigma, FRAME)
     share = S.signal_fraction(samples, levels)
     p = levels.join(share, FRAME)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import Render, Stats
 from ..model import FRAME, FRAME_PIXEL
 from ..operators import background as B
+from ..operators import stats as S
 from ..operators import tone as R
 from ..session import settle
 
@@ -30,7 +31,7 @@ def render(pixels: DataFrame, frames: DataFrame, config: Render = Render(), mode
     others = frames.filter("channels IS NULL OR channels NOT IN (1, 3)")
     untouched = pixels.join(others.select(*FRAME), FRAME, "left_semi").select(*FRAME_PIXEL, "v")
     sites = F.col("width") * F.col("height")
-    px = pixels.join(known.select(*FRAME), FRAME, "left_semi")
+    px = S.dealt(pixels.join(known.select(*FRAME), FRAME, "left_semi"), known)
     no = F.lit(False)
     colour = F.col("channels") == 3
     can_stretch = sites >= Stats().min_samples
@@ -39,7 +40,7 @@ def render(pixels: DataFrame, frames: DataFrame, config: Render = Render(), mode
         bg = config.background
         able = B.usable(known, bg)
         # the stretch reads its input several times: write the subtracted pixels once
-        px = settle(_apply(px, able, lambda p: B.subtract(p, B.estimate(p, able, bg, model), bg)))
+        px = S.dealt(settle(_apply(px, able, lambda p: B.subtract(p, B.estimate(p, able, bg, model), bg))), known)
         status["background_subtracted"] = (F.col("width") >= bg.cols) & (F.col("height") >= bg.rows)
     contrast = config.contrast if config.contrast is not None and not config.contrast.disabled else None
     fused = contrast if config.saturation is None and config.stretch is not None else None
@@ -48,7 +49,7 @@ def render(pixels: DataFrame, frames: DataFrame, config: Render = Render(), mode
         able = known.filter(can_stretch)
         stretched, params = R.auto_stretch(px.join(able.select(*FRAME), FRAME, "left_semi"), able, config.stretch, fused)
         px = stretched.unionByName(px.join(able.select(*FRAME), FRAME, "left_anti").select(*FRAME_PIXEL, "v"))
-        px = px if fused is not None and config.saturation is None else settle(px)
+        px = px if fused is not None and config.saturation is None else S.dealt(settle(px), known)
         status["auto_stretched"] = can_stretch
     if config.saturation is not None:
         px = _apply(px, known.filter(colour), lambda p: R.saturate_frames(p, config.saturation, boost))

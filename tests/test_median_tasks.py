@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from pixelweave.model import FRAME
 from pixelweave.operators import background as B
 from pixelweave.operators import stats as S
@@ -34,3 +36,13 @@ def test_groups_of_a_median_are_dealt_by_samples(spark, monkeypatch):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert "RepartitionByExpression" in plan and ", 12" in plan.replace("\n", " "), name
         assert sorted(map(tuple, df.collect())) == before[name]
+
+
+def test_pixels_are_dealt_by_frame_or_by_row(spark):
+    pixels, frames = frames_and_pixels(spark)
+    for samples, tasks, keys in ((108, 4, FRAME), (50, 9, [*FRAME, "y"])):
+        out = S.dealt(pixels, frames, samples).withColumn("task", F.spark_partition_id())
+        # a frame larger than a task's share is dealt by its rows, and no key is split
+        assert out.rdd.getNumPartitions() == tasks
+        assert out.select(*keys, "task").distinct().count() == pixels.select(*keys).distinct().count()
+        assert out.count() == pixels.count()
