@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..config import Lucky
 from ..functions import scan
@@ -151,69 +154,121 @@ def best_shift(surface: DataFrame) -> DataFrame:
     ).select(*FRAME, "_b.dx", "_b.dy", "ncc")
 
 
-def _best_by_fft(search: int, subpixel: bool):
-    """Function for one frame's region: best shift from correlations of all shifts at once.
+# samples, or shifts, that one transform of several frames' regions covers
+SLAB = 1 << 18
+GEOMETRY = ("roi_x", "roi_y", "roi_w", "roi_h", "width", "height")
 
-    Cross terms come from a Fourier transform, means and deviations of every placement
-    from running sums.
-    """
-    import numpy as np
-    import pandas as pd
 
-    def placements(a, h, w):
-        s = np.pad(a, ((1, 0), (1, 0))).cumsum(0).cumsum(1)
-        return s[h:, w:] - s[:-h, w:] - s[h:, :-w] + s[:-h, :-w]
+def _placements(a: np.ndarray, h: int, w: int) -> np.ndarray:
+    """Sums of every h x w window of each frame in ``a`` (frame, y, x), from running sums."""
+    s = np.pad(a, ((0, 0), (1, 0), (1, 0))).cumsum(1).cumsum(2)
+    return s[:, h:, w:] - s[:, :-h, w:] - s[:, h:, :-w] + s[:, :-h, :-w]
+
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf.iloc[0]
-        rx, ry, rw, rh = (int(first[c]) for c in ("roi_x", "roi_y", "roi_w", "roi_h"))
+def _best_by_fft(area: np.ndarray, ref: np.ndarray, corner: tuple[int, int], roi: tuple[int, ...], search: int, subpixel: bool) -> tuple[np.ndarray, ...]:
+    """(which frames have a shift, dx, dy, ncc, sub_dx, sub_dy) from correlations of all shifts at once.
+
+    ``area``, ``ref``: the samples (frame, y, x) around regions ``roi`` of one size and place, from ``corner`` (y, x) on.
+    Cross terms come from a Fourier transform, means and deviations of every placement from running sums.
+    """
+    rx, ry, rw, rh = roi
+    y0, x0 = corner
+    patch = ref[:, ry - y0 : ry - y0 + rh, rx - x0 : rx - x0 + rw]
+    patch = patch - patch.mean((1, 2), keepdims=True)
+    sr, n = patch.std((1, 2), keepdims=True), rh * rw
+    base = area - area.mean((1, 2), keepdims=True)
+    shape = base.shape[1:]
+    cross = np.fft.irfft2(np.fft.rfft2(base) * np.conj(np.fft.rfft2(patch, shape)), shape)
+    mean = _placements(base, rh, rw) / n
+    std = np.sqrt(np.maximum(_placements(base * base, rh, rw) / n - mean * mean, 0.0))
+    _, high, wide = mean.shape
+    with np.errstate(all="ignore"):
+        placed = np.where((std >= 1e-6) & (sr >= 1e-6), cross[:, :high, :wide] / (n * sr * std), np.nan)
+    steps = np.arange(-search, search + 1)
+    cy, cx = np.maximum(ry + steps, 0) - y0, np.maximum(rx + steps, 0) - x0
+    surface = placed[:, np.minimum(cy, high - 1)[:, None], np.minimum(cx, wide - 1)[None, :]]
+    surface = np.where((cy < high)[:, None] & (cx < wide)[None, :], surface, np.nan)
+    some = ~np.isnan(surface).all((1, 2))
+    surface = surface[some]
+    # equal up to rounding counts as a tie, and the first in (dy, dx) order wins
+    top = np.nanmax(surface, (1, 2), initial=-np.inf)
+    iy, ix = np.divmod((surface >= top[:, None, None] - 1e-9).reshape(len(top), len(steps) ** 2).argmax(1), len(steps))
+    sub = np.zeros((2, len(top)))
+    if subpixel and search:
+        inner = (ix > 0) & (ix < 2 * search) & (iy > 0) & (iy < 2 * search)
+        k, y, x = np.flatnonzero(inner), iy[inner], ix[inner]
+        c = np.nan_to_num(surface)
+        for i, (lo, hi) in enumerate(((c[k, y, x - 1], c[k, y, x + 1]), (c[k, y - 1, x], c[k, y + 1, x]))):
+            denom = lo + hi - 2.0 * c[k, y, x]
+            bent = np.abs(denom) > 1e-6
+            sub[i, k] = np.where(bent, np.clip((lo - hi) / np.where(bent, 2.0 * denom, 1.0), -0.5, 0.5), 0.0)
+    return some, ix - search, iy - search, top, sub[0], sub[1]
+
+
+def _begins(rows: pa.Table | pa.RecordBatch, before: pa.RecordBatch | None = None) -> np.ndarray:
+    """Rows that begin a frame; ``before`` is the batch that came just before."""
+    new = np.zeros(rows.num_rows, bool)
+    new[:1] = before is None
+    for c in FRAME:
+        key = rows[c]
+        new[1:] |= pc.not_equal(key[1:], key[:-1]).to_numpy(zero_copy_only=False)
+        if before is not None:
+            new[0] |= key[0] != before[c][-1]
+    return new
+
+
+def _best_of_frames(rows: pa.Table, schema: pa.Schema, search: int, subpixel: bool) -> Iterator[pa.RecordBatch]:
+    """Best shifts of the whole frames in ``rows``; frames whose regions have one size and place are transformed together."""
+    starts = np.flatnonzero(_begins(rows))
+    ends = np.append(starts[1:], rows.num_rows)
+    col = {c: rows[c].to_numpy() for c in (*GEOMETRY, "y", "x", "v", "_ref")}
+    col["_ref"] = np.where(np.isnan(col["_ref"]), 0.0, col["_ref"])
+    kinds, kind = np.unique(np.stack([col[c][starts] for c in GEOMETRY], 1), axis=0, return_inverse=True)
+    for at, (rx, ry, rw, rh, width, height) in enumerate(kinds.tolist()):
         y0, x0 = max(ry - search, 0), max(rx - search, 0)
-        y1, x1 = min(ry + rh + search, int(first["height"])), min(rx + rw + search, int(first["width"]))
-        area = np.zeros((y1 - y0, x1 - x0))
-        ref = np.zeros_like(area)
-        ys, xs = pdf["y"].to_numpy() - y0, pdf["x"].to_numpy() - x0
-        area[ys, xs] = pdf["v"].to_numpy()
-        ref[ys, xs] = pdf["_ref"].fillna(0.0).to_numpy()
-        patch = ref[ry - y0 : ry - y0 + rh, rx - x0 : rx - x0 + rw]
-        patch = patch - patch.mean()
-        sr, n = patch.std(), patch.size
-        base = area - area.mean()
-        shape = base.shape
-        cross = np.fft.irfft2(np.fft.rfft2(base) * np.conj(np.fft.rfft2(patch, shape)), shape)
-        mean = placements(base, rh, rw) / n
-        var = np.maximum(placements(base * base, rh, rw) / n - mean * mean, 0.0)
-        std = np.sqrt(var)
-        with np.errstate(all="ignore"):
-            placed = np.where((std >= 1e-6) & (sr >= 1e-6), cross[: mean.shape[0], : mean.shape[1]] / (n * sr * std), np.nan)
-
-        def value(dx: int, dy: int) -> float:
-            cy, cx = max(ry + dy, 0) - y0, max(rx + dx, 0) - x0
-            return placed[cy, cx] if cy < placed.shape[0] and cx < placed.shape[1] else np.nan
-
-        steps = range(-search, search + 1)
-        surface = np.array([[value(dx, dy) for dx in steps] for dy in steps])
-        if np.isnan(surface).all():
-            return pd.DataFrame([], columns=["session", "frame_id", "dx", "dy", "ncc", "sub_dx", "sub_dy"])
-        # equal up to rounding counts as a tie, and the first in (dy, dx) order wins
-        top = np.nanmax(surface)
-        iy, ix = np.argwhere(surface >= top - 1e-9)[0]
-        sub = [0.0, 0.0]
-        if subpixel and 0 < ix < 2 * search and 0 < iy < 2 * search:
-            c = np.nan_to_num(surface)
-            for k, (lo, hi) in enumerate(((c[iy, ix - 1], c[iy, ix + 1]), (c[iy - 1, ix], c[iy + 1, ix]))):
-                denom = lo + hi - 2.0 * c[iy, ix]
-                sub[k] = float(np.clip((lo - hi) / (2.0 * denom), -0.5, 0.5)) if abs(denom) > 1e-6 else 0.0
-        row = [first["session"], first["frame_id"], int(ix) - search, int(iy) - search, float(top), *sub]
-        return pd.DataFrame([row], columns=["session", "frame_id", "dx", "dy", "ncc", "sub_dx", "sub_dy"])
-
-    return one
+        high, wide = min(ry + rh + search, height) - y0, min(rx + rw + search, width) - x0
+        if min(rh, rw) < 1 or rh > high or rw > wide:
+            continue
+        frames = np.flatnonzero(kind.reshape(-1) == at)
+        step = max(1, SLAB // max(high * wide, (2 * search + 1) ** 2))
+        for part in np.split(frames, range(step, len(frames), step)):
+            size = ends[part] - starts[part]
+            which = np.repeat(np.arange(len(part)), size)
+            own = np.arange(len(which)) + np.repeat(starts[part] - np.cumsum(size) + size, size)
+            area, met = np.zeros((2, len(part), high, wide))
+            place = which, col["y"][own] - y0, col["x"][own] - x0
+            area[place], met[place] = col["v"][own], col["_ref"][own]
+            some, *best = _best_by_fft(area, met, (y0, x0), (rx, ry, rw, rh), search, subpixel)
+            keys = rows.select(FRAME).take(starts[part][some])
+            out = [*keys.columns, *map(pa.array, best)]
+            yield from pa.table([c.cast(f.type) for c, f in zip(out, schema)], schema=schema).to_batches()
+
+
+def _search_batches(schema: T.StructType, search: int, subpixel: bool):
+    """Function over batches of samples that lie together by frame; it holds two batches, or the rows of one frame."""
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = np.flatnonzero(_begins(batch, held[-1] if held else None))
+            if held and len(new):
+                yield from _best_of_frames(pa.Table.from_batches([*held, batch.slice(0, new[-1])]), arrow, search, subpixel)
+                held, batch = [], batch.slice(new[-1])
+            held.append(batch)
+        if held:
+            yield from _best_of_frames(pa.Table.from_batches(held), arrow, search, subpixel)
+
+    return run
 
 
 def shift_search(luminance: DataFrame, reference: DataFrame, rois: DataFrame, frames: DataFrame, search: int, subpixel: bool = True) -> DataFrame:
     """Best shift with its sub-pixel part, for any search radius.
 
-    With shifts as rows a region would be repeated (2*search+1)^2 times; here the region of
-    one frame (bounded by the region plus the search radius) is one group.
+    With shifts as rows a region would be repeated (2*search+1)^2 times; here a frame's region (bounded by the
+    region plus the search radius) lies together in a task, which transforms many small ones at once.
     """
     region = rois.select(*FRAME, "roi_x", "roi_y", "roi_w", "roi_h").join(frames.select(*FRAME, "width", "height"), FRAME)
     px = luminance.select(*FRAME, "y", "x", "v").join(region, FRAME)
@@ -223,11 +278,11 @@ def shift_search(luminance: DataFrame, reference: DataFrame, rois: DataFrame, fr
         & (F.col("y") >= F.col("roi_y") - search)
         & (F.col("y") < F.col("roi_y") + F.col("roi_h") + search)
     )
-    ref = reference.select("session", "y", "x", F.col("v").alias("_ref"))
-    j = px.filter(near).join(ref, ["session", "y", "x"], "left")
-    session_type = luminance.schema["session"].dataType.simpleString()
-    out = f"session {session_type}, frame_id bigint, dx int, dy int, ncc double, sub_dx double, sub_dy double"
-    return j.groupBy(*FRAME).applyInPandas(_best_by_fft(search, subpixel), out)
+    ref = reference.select("session", "y", "x", F.col("v").cast("double").alias("_ref"))
+    j = px.filter(near).join(ref, ["session", "y", "x"], "left").repartition(*FRAME).sortWithinPartitions(*FRAME)
+    best = [T.StructField(n, T.IntegerType()) for n in ("dx", "dy")] + [T.StructField(n, T.DoubleType()) for n in ("ncc", "sub_dx", "sub_dy")]
+    schema = T.StructType([*[luminance.schema[c] for c in FRAME], *best])
+    return j.mapInArrow(_search_batches(schema, search, subpixel), schema)
 
 
 def parabola(c0: Column, c1: Column, c2: Column) -> Column:
