@@ -1,7 +1,7 @@
 """SER video as a Spark data source: ``spark.read.format("ser_frames")``.
 
 Frames have a fixed size, so a file is split by frame ranges and each task seeks to its
-own first frame.
+own first frame. Ranges of small files share a task.
 """
 
 from __future__ import annotations
@@ -12,10 +12,12 @@ from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .files import list_files, open_file
 
@@ -24,6 +26,11 @@ SIGNATURE = b"LUCAM-RECORDER"
 HEADER = "<14s7I40s40s40sQQ"
 HEADER_SIZE = 178
 COLOURS = {0: "mono", 8: "RGGB", 9: "GRBG", 10: "GBRG", 11: "BGGR", 100: "rgb", 101: "bgr"}
+# bytes of a file that one task reads at least, if there are more, and those that opening a file counts as
+TASK_BYTES = 1 << 22
+OPEN_BYTES = 1 << 16
+# bytes of samples in one batch of rows
+BATCH = 1 << 22
 EPOCH = datetime(1601, 1, 1, tzinfo=timezone.utc)
 SER_SCHEMA = (
     "path string, frame_index bigint, width int, height int, channels int, bit_depth int, colour string, "
@@ -83,53 +90,89 @@ def decode_frame(raw: bytes, h: dict) -> tuple[np.ndarray, int]:
     return a, h["samples"]
 
 
-class _Range(InputPartition):
-    def __init__(self, path: str, first: int, last: int):
-        self.path, self.first, self.last = path, first, last
+class _Ranges(InputPartition):
+    def __init__(self, ranges: list[tuple[str, int, int]]):
+        self.ranges = ranges  # path, first frame, frame after the last
+
+
+def _batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
+    def column(f: pa.Field) -> pa.Array:
+        values = [r.get(f.name) for r in rows]
+        if f.name != "data":
+            return pa.array(values, f.type)
+        ends = np.cumsum([0, *(0 if v is None else v.size for v in values)], dtype=np.int32)
+        flat = np.concatenate([np.empty(0), *(v for v in values if v is not None)])
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), type=f.type, mask=pa.array([v is None for v in values]))
+
+    return pa.RecordBatch.from_arrays([column(f) for f in schema], schema=schema)
 
 
 class SerReader(DataSourceReader):
-    def __init__(self, options: dict, names: list[str]):
+    """Without ``framesPerTask`` a task reads ranges of one file or of several, of some TASK_BYTES; with it, one range of so many frames."""
+
+    def __init__(self, options: dict, schema: T.StructType):
         self.path = options["path"]
+        self.asked = "framespertask" in options
         self.per_task = int(options.get("framespertask", 64))
-        self.names = names
+        self.schema = schema
 
     def partitions(self) -> list[InputPartition]:
-        out: list[InputPartition] = []
+        out: list[_Ranges] = []
+        room = 0
         for path in list_files(self.path, (".ser",)):
+            count, size = 1, 1  # where the header is wrong the task reports the reason
             try:
                 with open_file(path) as f:
-                    count = parse_header(f.read(HEADER_SIZE))["count"]
+                    h = parse_header(f.read(HEADER_SIZE))
+                    count, size = h["count"], max(h["frame_size"], 1)
             except ValueError:
-                count = 1  # the task reports the reason
-            out += [_Range(path, i, min(i + self.per_task, count)) for i in range(0, count, self.per_task)]
-        return out or [_Range("", 0, 0)]
-
-    def read(self, p: _Range) -> Iterator[tuple]:
-        if not p.path:
-            return
+                pass
+            step = self.per_task if self.asked else max(self.per_task, TASK_BYTES // size)
+            for i in range(0, count, step):
+                last = min(i + step, count)
+                need = max((last - i) * size, OPEN_BYTES)
+                if self.asked or need > room:
+                    out.append(_Ranges([]))
+                    room = TASK_BYTES
+                out[-1].ranges.append((path, i, last))
+                room -= need
+        return out or [_Ranges([])]
+
+    def rows(self, path: str, first: int, last: int) -> Iterator[dict]:
         try:
-            with open_file(p.path) as f:
+            with open_file(path) as f:
                 h = parse_header(f.read(HEADER_SIZE))
                 end = HEADER_SIZE + h["frame_size"] * h["count"]
                 stamped = os.fstat(f.fileno()).st_size >= end + 8 * h["count"]
                 base = {k: h[k] for k in ("width", "height", "bit_depth", "colour", "observer", "instrument", "telescope")}
-                for i in range(p.first, p.last):
-                    row = {"path": p.path, "frame_index": i, **base, "channels": 3 if h["colour"] in ("mono", "rgb", "bgr") else 1}
-                    if "data" in self.names:
+                for i in range(first, last):
+                    row = {"path": path, "frame_index": i, **base, "channels": 3 if h["colour"] in ("mono", "rgb", "bgr") else 1}
+                    if "data" in self.schema.names:
                         f.seek(HEADER_SIZE + i * h["frame_size"])
                         raw = f.read(h["frame_size"])
                         if len(raw) < h["frame_size"]:
                             row["reason"] = f"Failed to read frame data: {len(raw)} of {h['frame_size']} bytes"
                         else:
-                            row["data"] = decode_frame(raw, h)[0].tolist()
+                            row["data"] = decode_frame(raw, h)[0]
                     if stamped:
                         f.seek(end + 8 * i)
                         row["ts"] = filetime(struct.unpack("<Q", f.read(8))[0])
-                    yield tuple(row.get(n) for n in self.names)
+                    yield row
         except ValueError as e:
-            row = {"path": p.path, "reason": str(e)}
-            yield tuple(row.get(n) for n in self.names)
+            yield {"path": path, "reason": str(e)}
+
+    def read(self, p: _Ranges) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(self.schema)
+        held, size = [], 0
+        for place in p.ranges:
+            for row in self.rows(*place):
+                held.append(row)
+                size += 256 + (row["data"].nbytes if row.get("data") is not None else 0)
+                if size >= BATCH:
+                    yield _batch(held, arrow)
+                    held, size = [], 0
+        if held:
+            yield _batch(held, arrow)
 
 
 class SerSource(DataSource):
@@ -143,7 +186,7 @@ class SerSource(DataSource):
         return SER_SCHEMA.removesuffix(", data array<double>")
 
     def reader(self, schema) -> DataSourceReader:
-        return SerReader(dict(self.options), schema.fieldNames())
+        return SerReader(dict(self.options), schema)
 
 
 def ser_frames(spark: SparkSession, path: str, session: str = "ser", pixels: bool = True) -> DataFrame:

@@ -97,6 +97,28 @@ def test_ser_write_splits_long_sessions(spark, tmp_path):
     assert sorted(round(r["data"][0], 3) for r in back.collect()) == [n / 100 for n in range(1, 11)]
 
 
+def test_ser_small_files_share_tasks(spark, tmp_path):
+    for n in range(100):
+        ser_file(tmp_path / f"f{n:03d}.ser", "mono", 8, [np.full((2, 3), n), np.full((2, 3), n + 1)])
+    (tmp_path / "f050.ser").write_bytes(b"x" * 200)
+    (tmp_path / "f060.ser").write_bytes((tmp_path / "f060.ser").read_bytes()[:-1])
+    df = ser.ser_frames(spark, str(tmp_path))
+    assert df.rdd.getNumPartitions() == 2  # 64 files a task
+    rows = {(r["path"][-8:-4], r["frame_index"]): r for r in df.collect()}
+    assert len(rows) == 199 and rows["f050", None]["reason"] == "Invalid SER signature"
+    assert rows["f060", 1]["data"] is None and rows["f060", 1]["reason"] == "Failed to read frame data: 5 of 6 bytes"
+    good = {k: r["data"] for k, r in rows.items() if r["reason"] is None}
+    assert good == {(f"f{n:03d}", i): [(n + i) / 255] * 18 for n in range(100) for i in (0, 1) if n != 50 and (n, i) != (60, 1)}
+    assert ser.ser_frames(spark, str(tmp_path), pixels=False).count() == 199
+
+
+def test_ser_large_ranges_keep_their_tasks(spark, tmp_path):
+    ser_file(tmp_path / "wide.ser", "mono", 8, [np.full((400, 500), n) for n in range(70)])
+    df = ser.ser_frames(spark, str(tmp_path))
+    assert df.rdd.getNumPartitions() == 2  # 64 frames, then 6
+    assert sorted(round(r["v"] * 255) for r in df.select(F.get("data", F.lit(599_999)).alias("v")).collect()) == list(range(70))
+
+
 def png(path, img):
     h, w, n = img.shape
     raw_rows = b"".join(b"\0" + img[y].astype("u1").tobytes() for y in range(h))
