@@ -6,9 +6,11 @@ from dataclasses import replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..config import DETECTION, Detection
 from ..functions.columns import mad_sigma, upper_median
@@ -22,39 +24,39 @@ def local_maxima(luminance: DataFrame, frames: DataFrame, levels: DataFrame, con
     """Sites at or over the threshold that no neighbour within ``search_radius`` beats.
 
     Of equal values the later one in scan order wins.  Only a site over the threshold can
-    beat a candidate, so bright sites (a few per cent) send (v, y, x) to the sites they
-    could beat; a site is a maximum when the greatest it receives is its own.
+    beat a candidate, so bright sites (a few per cent) send v to the sites they could
+    beat; a site is a maximum when its own is over what later sites send, and not under what earlier ones do.
     """
     r = config.search_radius
     bright = (
         luminance.join(levels.select(*FRAME, "threshold"), FRAME).filter(F.col("v") >= F.col("threshold")).select(*SITE, "v")
     )
-    reach = F.sequence(F.lit(-r), F.lit(r))
-    sent = bright.withColumn("_ty", F.explode(F.transform(reach, lambda d: F.col("y") + d))).withColumn(
-        "_tx", F.explode(F.transform(reach, lambda d: F.col("x") + d))
+    reach, dy, dx = F.sequence(F.lit(-r), F.lit(r)), F.col("_dy"), F.col("_dx")
+    sent = bright.withColumn("_dy", F.explode(reach)).withColumn("_dx", F.explode(reach))
+    own, later = (dy == 0) & (dx == 0), (dy < 0) | ((dy == 0) & (dx < 0))
+    # numbers only, so the sums merge by hashing and nothing is sorted
+    top = sent.groupBy(*FRAME, (F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")).agg(
+        F.max(F.when(own, F.col("v"))).alias("value"), F.max(F.when(later, F.col("v"))).alias("_later"), F.max(F.when(~own & ~later, F.col("v"))).alias("_earlier")
     )
-    top = sent.groupBy(*FRAME, "_ty", "_tx").agg(F.max(F.struct("v", "y", "x")).alias("_m"))
-    own = top.filter((F.col("_m.y") == F.col("_ty")) & (F.col("_m.x") == F.col("_tx")))
+    unbeaten = F.coalesce(F.col("value") > F.col("_later"), F.lit(True)) & F.coalesce(F.col("value") >= F.col("_earlier"), F.lit(True))
+    own_top = top.filter(F.col("value").isNotNull() & unbeaten)
     m = config.border_margin
     dims = frames.select(*FRAME, "width", "height")
     inside = (F.col("y") >= m) & (F.col("x") >= m) & (F.col("y") < F.col("height") - m) & (F.col("x") < F.col("width") - m)
-    return own.select(*FRAME, "_m.y", "_m.x", "_m.v").join(dims, FRAME).filter(inside).select(*SITE, F.col("v").alias("value"))
+    return own_top.select(*SITE, "value").join(dims, FRAME).filter(inside).select(*SITE, "value")
 
 
-@F.pandas_udf(DoubleType())
-def half_max_width(side: pd.Series, slots: pd.Series, values: pd.Series, sky: pd.Series, peak: pd.Series) -> pd.Series:
+@F.pandas_udf(T.DoubleType())
+def half_max_width(side: pd.Series, window: pd.Series, sky: pd.Series, peak: pd.Series) -> pd.Series:
     """FWHM from the connected area over half maximum around the peak of each window.
 
-    A window is (2R+1)^2 samples; all windows of a batch grow together.  NULL when the
+    A window is (2R+1)^2 samples, NaN outside the frame; all windows of a batch grow together.  NULL when the
     area reaches the window edge or the frame edge.
     """
     n, s = len(side), int(side.iloc[0]) if len(side) else 1
     if n == 0:
         return pd.Series([], dtype="float64")
-    box = np.full((n, s * s), np.nan)
-    for i, (slot, value) in enumerate(zip(slots, values)):
-        box[i, slot] = value
-    box = box.reshape(n, s, s)
+    box = np.stack(window.to_list()).astype("float64").reshape(n, s, s)
     level = ((peak - sky) * 0.5).to_numpy("float64")
     base = sky.to_numpy("float64")
     outside = np.isnan(box)
@@ -86,43 +88,72 @@ def half_max_width(side: pd.Series, slots: pd.Series, values: pd.Series, sky: pd
     return pd.Series(np.where(ok, 2.0 * np.sqrt(area / np.pi), np.nan)).where(ok, None)
 
 
+def _windows(schema: T.StructType, r: int):
+    """Sums over the window (2R+1)^2 and the square ring at 2R of the candidates of one band, from its samples."""
+    arrow = to_arrow_schema(schema)
+    dy, dx = (a.ravel() for a in np.mgrid[-2 * r : 2 * r + 1, -2 * r : 2 * r + 1])
+    in_window, on_ring = np.maximum(abs(dy), abs(dx)) <= r, np.maximum(abs(dy), abs(dx)) == 2 * r
+    slots = np.concatenate([np.flatnonzero(in_window), np.flatnonzero(on_ring)])
+    dy, dx, side = dy[slots], dx[slots], int(in_window.sum())
+
+    def run(samples: pa.Table, found: pa.Table) -> pa.Table:
+        if not found.num_rows or not samples.num_rows:
+            return arrow.empty_table()
+        y, x, v = (samples[c].to_numpy().astype(t) for c, t in (("y", "int64"), ("x", "int64"), ("v", "float64")))
+        py, px = (found[c].to_numpy().astype("int64")[:, None] for c in ("peak_y", "peak_x"))
+        median, threshold = (found[c].to_numpy()[:, None] for c in ("median", "threshold"))
+        low, wide = x.min(), x.max() - x.min() + 1
+        key = y * wide + x - low
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        tx, wanted = px + dx, (py + dy) * wide + px + dx - low
+        at = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
+        here = (key[at] == wanted) & (tx >= low) & (tx < low + wide)
+        v = np.where(here, v[order][at], np.nan)
+        win, ring, here_win = v[:, :side], np.sort(v[:, side:], axis=1), here[:, :side]
+        net = np.where(here_win, np.maximum(win - median, 0.0), 0.0)
+        lit = here_win & ~(net <= 0)  # as in SQL, NaN is over every number
+        peak = np.where(lit, win, -np.inf).max(axis=1)
+        n = here[:, side:].sum(axis=1)
+        sky = pa.array(ring[np.arange(len(n)), n // 2], mask=n == 0)
+        out = {
+            "flux": net.sum(axis=1),
+            "_sx": (tx[:, :side] * net).sum(axis=1),
+            "_sy": ((py + dy)[:, :side] * net).sum(axis=1),
+            "peak": np.where(lit.any(axis=1), peak, 0.0),
+            "bright_pixels": (lit & ~(win <= threshold * 0.5)).sum(axis=1),
+            "local_sky": sky,
+            "_win": pa.ListArray.from_arrays(np.arange(len(n) + 1, dtype="int32") * side, win.ravel()),
+        }
+        return pa.table([out[f.name] if f.name in out else found[f.name] for f in arrow], schema=arrow)
+
+    return run
+
+
+# rows of a frame that are measured together, with 2R more on each side
+BAND = 64
+
+
 def measure(luminance: DataFrame, levels: DataFrame, candidates: DataFrame, config: Detection) -> DataFrame:
     """Centroid, flux, peak, snr, local sky and FWHM of each candidate, with ``reject_reason``.
 
-    One equi-join brings the window (2R+1)^2 and the square ring at 2R to the candidate.
+    The samples of a band of a frame's rows meet its candidates in one group; rows near the edge of a band go to both.
     """
     r = config.centroid_radius
-    dy, dx = F.col("_dy"), F.col("_dx")
-    in_window = (F.abs(dy) <= r) & (F.abs(dx) <= r)
-    on_ring = F.greatest(F.abs(dy), F.abs(dx)) == 2 * r
-    reach = F.sequence(F.lit(-2 * r), F.lit(2 * r))
+    band = lambda y: F.floor(y / BAND).cast("int")
     c = candidates.select(*FRAME, F.col("y").alias("peak_y"), F.col("x").alias("peak_x"), F.col("value"))
-    wanted = (
-        c.withColumn("_dy", F.explode(reach))
-        .withColumn("_dx", F.explode(reach))
-        .filter(in_window | on_ring)
-        .withColumn("y", F.col("peak_y") + dy)
-        .withColumn("x", F.col("peak_x") + dx)
-    )
-    j = wanted.join(luminance.select(*SITE, "v"), SITE).join(levels.select(*FRAME, "median", "sigma", "threshold"), FRAME)
-    net = F.when(in_window, F.greatest(F.col("v") - F.col("median"), F.lit(0.0))).otherwise(0.0)
-    j = j.withColumn("_net", net)
-    lit = F.col("_net") > 0
-    slot = ((dy + r) * (2 * r + 1) + dx + r).cast("int")
+    c = c.join(levels.select(*FRAME, "median", "sigma", "threshold"), FRAME).withColumn("_band", band(F.col("peak_y")))
+    bands = F.sequence(band(F.col("y") - 2 * r), band(F.col("y") + 2 * r))
+    samples = luminance.filter("v IS NOT NULL").select(*SITE, F.col("v").cast("double").alias("v")).withColumn("_band", F.explode(bands)).filter("_band >= 0")
     keys = [*FRAME, "peak_y", "peak_x"]
-    g = j.groupBy(*keys).agg(
-        F.first("value").alias("value"),
-        F.first("median").alias("median"),
-        F.first("sigma").alias("sigma"),
-        F.sum("_net").alias("flux"),
-        F.sum(F.col("x") * F.col("_net")).alias("_sx"),
-        F.sum(F.col("y") * F.col("_net")).alias("_sy"),
-        F.coalesce(F.max(F.when(lit, F.col("v"))), F.lit(0.0)).alias("peak"),
-        F.sum((lit & (F.col("v") > F.col("threshold") * 0.5)).cast("int")).alias("bright_pixels"),
-        F.sort_array(F.collect_list(F.when(on_ring, F.col("v")))).alias("_ring"),
-        F.collect_list(F.when(in_window, F.struct(slot.alias("slot"), F.col("v")))).alias("_win"),
-    )
-    local_sky = F.get("_ring", F.floor(F.size("_ring") / 2).cast("int"))
+    double = ["flux", "_sx", "_sy", "peak", "local_sky"]
+    schema = T.StructType([c.schema[k] for k in [*keys, "value", "median", "sigma"]])
+    for name in double:
+        schema = schema.add(name, T.DoubleType())
+    schema = schema.add("bright_pixels", T.LongType()).add("_win", T.ArrayType(T.DoubleType()))
+    together = [*FRAME, "_band"]
+    c = c.toDF(*c.columns)  # both sides may come of the same pixels
+    g = samples.groupBy(*together).cogroup(c.groupBy(*together)).applyInArrow(_windows(schema, r), schema)
     noise = F.col("sigma") * float(2 * r + 1)
     g = g.select(
         *keys,
@@ -135,7 +166,7 @@ def measure(luminance: DataFrame, levels: DataFrame, candidates: DataFrame, conf
         (F.col("_sx") / F.col("flux")).alias("x"),
         (F.col("_sy") / F.col("flux")).alias("y"),
         F.when(noise > 1e-10, F.col("flux") / noise).otherwise(F.sqrt("flux")).alias("snr"),
-        local_sky.alias("local_sky"),
+        "local_sky",
     )
     away = F.sqrt(F.pow(F.col("x") - F.col("peak_x"), 2) + F.pow(F.col("y") - F.col("peak_y"), 2))
     reason = (
@@ -151,8 +182,7 @@ def measure(luminance: DataFrame, levels: DataFrame, candidates: DataFrame, conf
 def with_fwhm(measured: DataFrame, config: Detection) -> DataFrame:
     width = half_max_width(
         F.lit(2 * config.centroid_radius + 1),
-        F.transform("_win", lambda s: s["slot"]),
-        F.transform("_win", lambda s: s["v"]),
+        F.col("_win"),
         F.col("local_sky"),
         F.col("value"),
     )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Stats
+from ..functions.arrays import sorted_mad, sorted_median
 from ..functions.columns import clamp, mad_sigma
 from ..model import FRAME
 from .pixels import luma_luminance, mean_luminance, strided_sample
@@ -15,6 +16,8 @@ from .pixels import luma_luminance, mean_luminance, strided_sample
 CHANNEL = [*FRAME, "ch"]
 # samples that one task sorts for medians
 TASK_SAMPLES = 1 << 18
+# samples up to which a frame is sorted as one array
+ARRAY_SAMPLES = 1 << 14
 
 
 def with_median(df: DataFrame, keys: list[str], value: str, weight: str, name: str) -> DataFrame:
@@ -66,8 +69,22 @@ def value_counts(df: DataFrame, keys: list[str], value: str, tasks: int | None =
     return counts.repartition(tasks, *keys) if tasks else counts
 
 
-def robust_stats(sample: DataFrame, keys: list[str], value: str = "v", tasks: int | None = None) -> DataFrame:
-    """median, mad, sigma = 1.4826*mad, min, max, n per group, from the counts of its distinct values."""
+def small(frames: DataFrame) -> bool:
+    """Whether each of ``frames`` has at most ARRAY_SAMPLES samples."""
+    return _samples(frames)[1] <= ARRAY_SAMPLES
+
+
+def robust_stats(sample: DataFrame, keys: list[str], value: str = "v", tasks: int | None = None, arrays: bool = False) -> DataFrame:
+    """median, mad, sigma = 1.4826*mad, min, max, n per group, from the counts of its distinct values.
+
+    ``arrays``: groups are of frames known to be `small`, and each is sorted as one array.
+    """
+    if arrays:
+        rows = sample.filter(F.col(value).isNotNull()).select(*keys, value)
+        rows = rows.repartition(tasks, *keys) if tasks else rows
+        g = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias("_a")).withColumn("median", sorted_median(F.col("_a")))
+        g = g.withColumn("mad", sorted_mad(F.col("_a"), F.col("median")))
+        return g.select(*keys, "median", "mad", mad_sigma(F.col("mad")).alias("sigma"), F.get("_a", F.lit(0)).alias("min"), F.element_at("_a", -1).alias("max"), F.size("_a").cast("long").alias("n"))
     g = with_median(value_counts(sample, keys, value, tasks), keys, value, "_n", "_m")
     g = with_median(g.withColumn("_d", F.abs(F.col(value) - F.col("_m"))), keys, "_d", "_n", "_mad")
     return g.groupBy(*keys).agg(
@@ -83,13 +100,13 @@ def robust_stats(sample: DataFrame, keys: list[str], value: str = "v", tasks: in
 def image_stats(pixels: DataFrame, frames: DataFrame, config: Stats = Stats()) -> DataFrame:
     """Channel statistics of every sample, or of the strided sample that ``config`` asks for."""
     sample = strided_sample(pixels, frames, config.max_samples, config.min_samples)
-    return robust_stats(sample, CHANNEL, tasks=tasks_for(frames))
+    return robust_stats(sample, CHANNEL, tasks=tasks_for(frames), arrays=small(frames))
 
 
 def luminance_stats(pixels: DataFrame, frames: DataFrame, weighted: bool = True, config: Stats = Stats()) -> DataFrame:
     sampled = strided_sample(pixels, frames, config.max_samples, config.min_samples)
     lum = luma_luminance(sampled) if weighted else mean_luminance(sampled)
-    return robust_stats(lum, FRAME, tasks=tasks_for(frames))
+    return robust_stats(lum, FRAME, tasks=tasks_for(frames), arrays=small(frames))
 
 
 def image_summary(stats: DataFrame) -> DataFrame:
@@ -117,7 +134,7 @@ def suggested_levels(stats: DataFrame, k: float = 2.8) -> DataFrame:
 
 def detection_background(luminance: DataFrame, frames: DataFrame, k: float | Column) -> DataFrame:
     """median, sigma (at least 1e-6) and threshold of a luminance frame."""
-    s = robust_stats(strided_sample(luminance, frames), FRAME, tasks=tasks_for(frames))
+    s = robust_stats(strided_sample(luminance, frames), FRAME, tasks=tasks_for(frames), arrays=small(frames))
     sigma = F.greatest(F.col("sigma"), F.lit(1e-6))
     k = k if isinstance(k, Column) else F.lit(float(k))
     return s.select(*FRAME, "median", sigma.alias("sigma"), (F.col("median") + k * sigma).alias("threshold"))
