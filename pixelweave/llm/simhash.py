@@ -4,8 +4,9 @@ A vantage-point tree is grown on the driver from a sample of at most ``TREE_SAMP
 size is bounded; every distinct fingerprint is then sent down it. At a node with vantage v and radius r a
 fingerprint goes inside where d(f, v) <= r, and outside where d(f, v) > r - limit. By the triangle inequality two
 fingerprints within `limit` of each other always meet in one of the two: shards overlap at the boundary only.
-Each shard goes on splitting itself in the same way in memory and compares what is left exactly. Shards return one
-link to a smallest member per local component, never the pairs of a dense group.
+Inside a shard fingerprints within `limit` bits agree in one of limit + 1 blocks of bits, so only those that share a block are
+compared; where many share one, they are split by further vantage points, and what is left is compared exactly. Shards return
+one link to a smallest member per local component, never the pairs of a dense group.
 
 At a shingle similarity of 0.8 fingerprints differ in some 15 of 100 bits, where triangle bounds prune nothing. For
 that width (`one_of_each`) a document has ``BANDS`` 64-bit SimHash fingerprints more, each of a sample of ``ROWS`` of its
@@ -38,6 +39,13 @@ LIMIT = 2
 SEED = 42
 TREE_SAMPLE = 20_000
 SHARD_SIZE = 4096
+# a sample's fingerprint weighs this much less than a document in a shard; fewer shards overlap less
+LIGHT = 16
+# fingerprints that are sent down the tree together
+AT_ONCE = 262_144
+# fingerprints that share a block of bits and are still compared pair by pair, and pairs held at once in a shard
+RUN = 64
+PAIRS = 1_000_000
 # shingles of the documents that are compared in one task
 SHARD_SHINGLES = 2_000_000
 # the wide form: the share of the shingles that near copies have in common, as a fraction
@@ -51,6 +59,9 @@ _RANDOM = np.random.default_rng(SEED)
 FACTORS = _RANDOM.integers(0, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 MIX = _RANDOM.integers(0, 2**63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 SALTS = _RANDOM.integers(0, 2**63, WORDS, np.uint64)
+BYTES = _RANDOM.integers(0, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+BASE = int(_RANDOM.integers(0, 2**61)) * 8 + 5
+_POWERS = np.ones((2, 1), np.uint64)
 
 
 def shingle_hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
@@ -63,18 +74,54 @@ def shingle_hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
     length = np.fromiter(map(len, words), np.int64, len(words))
     end = np.cumsum(length + 1) - 1
     begin = end - length
-    one = xxhash.xxh64_intdigest
+    one = xxhash.xxh64_digest
     n = len(words) - size + 1
-    return np.fromiter((one(joined[a:b], SEED) for a, b in zip(begin[:n].tolist(), end[size - 1 :].tolist())), np.uint64, n)
+    found = b"".join([one(joined[a:b], SEED) for a, b in zip(begin[:n].tolist(), end[size - 1 :].tolist())])
+    return np.frombuffer(found, ">u8").astype(np.uint64)
+
+
+def ascending(x: np.ndarray) -> np.ndarray:
+    """The distinct values, sorted."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
+def _powers(n: int) -> np.ndarray:
+    """The powers 0 to n of BASE, and of its inverse, modulo 2^64."""
+    if _POWERS.shape[1] <= n:
+        factors = np.array([[BASE], [pow(BASE, -1, 2**64)]], np.uint64).repeat(2 * n, axis=1)
+        globals()["_POWERS"] = np.concatenate((np.ones((2, 1), np.uint64), np.cumprod(factors, axis=1, dtype=np.uint64)), axis=1)
+    return _POWERS
+
+
+def shingle_set(text: str, shingle: int) -> np.ndarray:
+    """Ascending hashes of the distinct shingles, for the wide form: each is a polynomial of the shingle's bytes, as the difference of
+    two running sums, and mixed."""
+    joined = np.frombuffer(b" ".join(text.encode().lower().split()), np.uint8)
+    if not len(joined):
+        return np.empty(0, np.uint64)
+    power, inverse = _powers(len(joined))
+    sums = np.zeros(len(joined) + 1, np.uint64)
+    np.cumsum(BYTES[joined] * power[: len(joined)], out=sums[1:])
+    end = np.append(np.flatnonzero(joined == 32), len(joined))
+    begin = np.append(0, end[:-1] + 1)
+    size = min(shingle, len(end))
+    begin = begin[: len(end) - size + 1]
+    return ascending(_mixed((sums[end[size - 1 :]] - sums[begin]) * inverse[begin]))
+
+
+def majorities(hashes: np.ndarray) -> np.ndarray:
+    """The bits that over half of the rows have, of rows of one or more words."""
+    ones = np.zeros(64 * hashes.shape[1], np.int64)
+    for at in range(0, len(hashes), 255):  # so many ones fit in a byte
+        some = hashes[at : at + 255].astype("<u8")
+        ones += np.add.reduce(np.unpackbits(some.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")
 
 
 def majority(hashes: np.ndarray) -> int:
     """The bits that over half of the hashes have."""
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 4096):
-        bits = np.unpackbits(hashes[at : at + 4096].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += np.add.reduce(bits, axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
+    return int(majorities(hashes[:, None])[0])
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -96,7 +143,7 @@ def sample_fingerprints(least: np.ndarray) -> np.ndarray:
 
 def wide_fingerprint(hashes: np.ndarray) -> tuple[list[int], np.ndarray]:
     """The words of a SimHash of WORDS * 64 bits, and the fingerprints of BANDS samples of the shingles."""
-    words = [majority(_mixed(hashes ^ salt)) for salt in SALTS]
+    words = majorities(_mixed(hashes[:, None] ^ SALTS)).tolist()
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(hashes), 256):
         np.minimum(least, (hashes[at : at + 256, None] * FACTORS).min(axis=0), out=least)
@@ -123,10 +170,11 @@ def _split(fps: np.ndarray, pick: int, limit: int) -> tuple[np.int64, int, np.nd
     """Vantage, radius and distances of a useful split; None where one child would hold nearly everything."""
     vantage = fps[pick % len(fps)]
     d = distances(fps, vantage)
-    radius = int(np.median(d))
-    if radius == d.max():
+    within = np.bincount(d, minlength=65).cumsum()
+    radius = int(np.searchsorted(within, (len(fps) + 1) // 2))
+    if within[radius] == len(fps):
         radius -= 1
-    if radius < 0 or (d <= radius).sum() + (d > radius - limit).sum() > 1.7 * len(fps):
+    if radius < 0 or within[radius] - (within[radius - limit] if radius >= limit else 0) > 0.7 * len(fps):
         return None
     return vantage, radius, d
 
@@ -175,8 +223,57 @@ def shards_of(fps: np.ndarray, nodes: list[tuple[int, int, int, int]], limit: in
 
 def local_links(fps: np.ndarray, limit: int = LIMIT) -> tuple[np.ndarray, np.ndarray]:
     """Links (member, smallest of its part) that connect exactly what pairs within `limit` connect."""
+    fps = ascending(fps)
+    n = len(fps)
+    ends = np.linspace(0, 64, limit + 2).astype(int).tolist()
+    a, b = [], []
+    for low, high in zip(ends, ends[1:]):
+        block = (fps.view(np.uint64) >> np.uint64(low)) & np.uint64(2 ** (high - low) - 1)
+        order = np.argsort(block)
+        block, sorted_fps = block[order], fps[order]
+        first = np.flatnonzero(np.r_[n > 0, block[1:] != block[:-1]])
+        size = np.diff(np.r_[first, n])
+        for one, other in run_pairs(size):
+            near = distances(sorted_fps[one], sorted_fps[other]) <= limit
+            a.append(order[one[near]])
+            b.append(order[other[near]])
+            if sum(map(len, a)) > n + PAIRS:
+                a, b = _stars(n, a, b)
+        for k in np.flatnonzero(size > RUN).tolist():
+            member, least = split_links(sorted_fps[first[k] : first[k] + size[k]], limit)
+            a.append(np.searchsorted(fps, least))
+            b.append(np.searchsorted(fps, member))
+            if sum(map(len, a)) > n + PAIRS:
+                a, b = _stars(n, a, b)
+    if not any(map(len, a)):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    (root,), (moved,) = _stars(n, a, b)
+    return fps[moved], fps[root]
+
+
+def run_pairs(size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of places inside runs of these sizes that lie one behind the other; longer runs than RUN are left out."""
+    ends = np.cumsum(size)
+    after = np.repeat(ends, size) - np.arange(size.sum()) - 1  # members of its run behind each place
+    at = np.flatnonzero(np.repeat((size > 1) & (size <= RUN), size))
+    for step in range(1, RUN):
+        at = at[after[at] >= step]
+        if not len(at):
+            break
+        yield at, at + step
+
+
+def _stars(n: int, a: list[np.ndarray], b: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The smallest members, and what they connect, in place of the links a-b."""
+    root = _join(n, np.concatenate(a), np.concatenate(b))
+    moved = np.flatnonzero(root != np.arange(n))
+    return [root[moved]], [moved]
+
+
+def split_links(fps: np.ndarray, limit: int = LIMIT) -> tuple[np.ndarray, np.ndarray]:
+    """`local_links` of a part that is split by vantage points as the tree is."""
     left, right = [], []
-    stack = [np.unique(fps)]
+    stack = [ascending(fps)]
     turn = 0
     while stack:
         part = stack.pop()
@@ -229,6 +326,25 @@ def _walk(part: np.ndarray, limit: int, left: list, right: list) -> None:
             front.extend(found)
 
 
+def sent(batches: Iterator[np.ndarray], nodes: list[tuple[int, int, int, int]], limit: int = LIMIT, at_once: int = AT_ONCE) -> Iterator[pd.DataFrame]:
+    """shard and fps, one row for the fingerprints of some `at_once` that go to a shard: neither the walk down the tree nor the
+    rows are paid for by small batches, whose number grows with the input as that of the shards does."""
+    held: list[np.ndarray] = []
+
+    def walked() -> pd.DataFrame:
+        fps = np.concatenate(held)
+        found = [(shard, fps[rows].astype("<i8").tobytes()) for shard, rows in shards_of(fps, nodes, limit)]
+        return pd.DataFrame(found, columns=["shard", "fps"])
+
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) >= at_once:
+            yield walked()
+            held = []
+    if held:
+        yield walked()
+
+
 def links(distinct: DataFrame, limit: int = LIMIT, shard_size: int = SHARD_SIZE, sample_size: int = TREE_SAMPLE) -> DataFrame:
     """(fp, root) links between distinct fingerprints, through the shards of one vantage-point tree."""
     total = distinct.count()
@@ -236,16 +352,13 @@ def links(distinct: DataFrame, limit: int = LIMIT, shard_size: int = SHARD_SIZE,
     nodes = grow_tree(sample, max(2, round(shard_size * len(sample) / max(total, 1))), limit) if total > shard_size else []
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            fps = batch.fp.to_numpy()
-            for shard, rows in shards_of(fps, nodes, limit):
-                yield pd.DataFrame({"shard": np.full(len(rows), shard, np.int32), "fp": fps[rows]})
+        return sent((batch.fp.to_numpy() for batch in batches), nodes, limit)
 
     def close(shard: pd.DataFrame) -> pd.DataFrame:
-        a, b = local_links(shard.fp.to_numpy(), limit)
+        a, b = local_links(np.frombuffer(b"".join(shard.fps), "<i8"), limit)
         return pd.DataFrame({"fp": a, "root": b})
 
-    return distinct.select("fp").mapInPandas(send, "shard int, fp long").groupBy("shard").applyInPandas(close, "fp long, root long").distinct()
+    return distinct.select("fp").mapInPandas(send, "shard int, fps binary").groupBy("shard").applyInPandas(close, "fp long, root long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -293,7 +406,7 @@ def wide_fingerprints(docs: DataFrame, shingle: int, **columns: str) -> DataFram
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = [np.unique(shingle_hashes(t, shingle)) for t in batch.text]
+            sets = [shingle_set(t, shingle) for t in batch.text]
             found = [wide_fingerprint(x) for x in sets]
             words = np.array([w for w, _ in found], np.uint64).reshape(-1, WORDS)
             fp = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
@@ -328,11 +441,13 @@ def dealt(rows: DataFrame, key: str, parts: DataFrame) -> DataFrame:
     rows = rows.join(small(parts), key, "left").withColumn("own", F.when(F.col("blocks") > 1, own).otherwise(0))
     rows = rows.withColumn("pair", F.explode(F.when(F.col("blocks") > 1, all_others).otherwise(F.array(F.lit(0).cast("long")))))
     rows = rows.withColumn("block", F.least(b, other)).withColumn("other", F.greatest(b, other)).drop("own", "pair", "blocks")
-    return rows.repartition(key, "block", "other").sortWithinPartitions(key, "block", "other", "fp")
+    # a fixed number of partitions: the rows are small, comparing them is not
+    count = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(count, key, "block", "other").sortWithinPartitions(key, "block", "other", "fp")
 
 
-def task_links(rows: DataFrame, key: str, walk: Callable[[pd.DataFrame], Iterator[tuple[int, np.ndarray]]]) -> DataFrame:
-    """(fp, root) links of what `walk` joins inside each task of the `dealt` rows."""
+def task_links(rows: DataFrame, key: str, walk: Callable[[pd.DataFrame, np.ndarray, np.ndarray], Iterator[tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
+    """(fp, root) links of what `walk` joins inside each task of the `dealt` rows; it gets rows, and where tasks begin and end."""
     task = [key, "block", "other"]
 
     def close(rows: pd.DataFrame) -> pd.DataFrame:
@@ -340,7 +455,7 @@ def task_links(rows: DataFrame, key: str, walk: Callable[[pd.DataFrame], Iterato
         first = np.flatnonzero(np.r_[True, (cut[1:] != cut[:-1]).any(axis=1)])
         last = np.r_[first[1:], len(rows)]
         fps = rows.fp.to_numpy()
-        pairs = [(fps[a + more], np.full(len(more), fps[a + at])) for a, b in zip(first, last) if b - a > 1 for at, more in walk(rows.iloc[a:b])]
+        pairs = [(fps[at], fps[root]) for at, root in walk(rows, first, last)]
         none = np.empty(0, np.int64)
         return pd.DataFrame({"fp": np.concatenate([none, *(x for x, _ in pairs)]), "root": np.concatenate([none, *(y for _, y in pairs)])})
 
@@ -364,19 +479,42 @@ def task_links(rows: DataFrame, key: str, walk: Callable[[pd.DataFrame], Iterato
 def meeting(distinct: DataFrame, shard_size: int = SHARD_SIZE) -> DataFrame:
     """key, part: the sample fingerprints that others lie within LIMIT bits of, by the vantage-point tree, and the smallest
     that such links reach from them; the others are parts of their own."""
-    samples = settle(distinct.select(F.explode("first.keys").alias("fp")).distinct())
-    return components(links(samples, LIMIT, shard_size)).select(F.col("fp").alias("key"), F.col("root").alias("part"))
+    # a fixed number of partitions: the rows are small, the walk down the tree is not
+    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    samples = settle(distinct.select(F.explode("first.keys").alias("fp")).repartition(parts, "fp").distinct())
+    return components(links(samples, LIMIT, LIGHT * shard_size)).select(F.col("fp").alias("key"), F.col("root").alias("part"))
 
 
 def wide_links(distinct: DataFrame, limit: int = WIDE_LIMIT, shard_size: int = SHARD_SIZE) -> DataFrame:
     """(fp, root) links that connect exactly what pairs within `limit` bits connect whose samples meet in the tree."""
     names = [f"w{i}" for i in range(WORDS)]
-    keyed = distinct.select("fp", *[F.col("first.words")[i].alias(w) for i, w in enumerate(names)], F.explode("first.keys").alias("key"))
-    keyed = keyed.join(small(meeting(distinct, shard_size)), "key", "left").withColumn("key", F.coalesce("part", "key")).drop("part")
-    keyed = keyed.dropDuplicates(["fp", "key"])
-    crowded = keyed.groupBy("key").count().filter(F.col("count") > shard_size)
+    keyed = distinct.select("fp", F.explode("first.keys").alias("key"))
+    keyed = keyed.join(small(meeting(distinct, shard_size)), "key", "left").select("fp", F.coalesce("part", "key").alias("key"))
+    # most keys are held by one document, which meets nobody there
+    held = F.count(F.lit(1)).over(Window.partitionBy("key"))
+    shared = settle(keyed.repartition("key").withColumn("held", held).filter("held > 1").select("fp", "key").distinct())
+    words = distinct.select("fp", *[F.col("first.words")[i].alias(w) for i, w in enumerate(names)])
+    keyed = shared.join(words, "fp")
+    crowded = shared.groupBy("key").count().filter(F.col("count") > shard_size)
     parts = settle(crowded.select("key", F.ceil(2 * F.col("count") / shard_size).alias("blocks")))
-    return task_links(dealt(keyed, "key", parts), "key", lambda part: part_links(part[names].to_numpy().view(np.uint64), limit))
+
+    def walk(rows: pd.DataFrame, first: np.ndarray, last: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        words, n = rows[names].to_numpy().view(np.uint64), len(rows)
+        a, b = [], []
+        for one, other in run_pairs(last - first):
+            near = np.bitwise_count(words[one] ^ words[other]).sum(axis=1, dtype=np.int64) <= limit
+            a.append(one[near])
+            b.append(other[near])
+            if sum(map(len, a)) > n + PAIRS:
+                a, b = _stars(n, a, b)
+        if a:
+            (root,), (moved,) = _stars(n, a, b)
+            yield moved, root
+        for k in np.flatnonzero(last - first > RUN).tolist():
+            for at, more in part_links(words[first[k] : last[k]], limit):
+                yield first[k] + more, np.full(len(more), first[k] + at)
+
+    return task_links(dealt(keyed, "key", parts), "key", walk)
 
 
 def alike(one: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
@@ -428,10 +566,13 @@ def similar_links(docs: DataFrame, distinct: DataFrame, candidates: DataFrame, s
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.drop(columns="text").assign(hashes=[np.unique(shingle_hashes(x, shingle)).tobytes() for x in batch.text])
+            yield batch.drop(columns="text").assign(hashes=[shingle_set(x, shingle).tobytes() for x in batch.text])
 
-    def walk(part: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
-        return set_links(part[names].to_numpy().view(np.uint64), [np.frombuffer(x, np.uint64) for x in part.hashes], limit)
+    def walk(rows: pd.DataFrame, first: np.ndarray, last: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        words, sets = rows[names].to_numpy().view(np.uint64), [np.frombuffer(x, np.uint64) for x in rows.hashes]
+        for a, b in zip(first.tolist(), last.tolist()):
+            for at, more in set_links(words[a:b], sets[a:b], limit):
+                yield a + more, np.full(len(more), a + at)
 
     sets = rows.mapInPandas(hashed, f"fp long, root long, {', '.join(f'{w} long' for w in names)}, hashes binary").withColumnRenamed("root", "class")
     return task_links(dealt(sets, "class", parts.withColumnRenamed("root", "class")), "class", walk)

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from operator import eq
 
 import numpy as np
@@ -35,6 +35,8 @@ SIGNS = 20_000
 # documents of a class that must hold a sign, and standard errors its rate must differ by
 LEAST_HELD = 4
 LEAST_Z = 4.0
+# signs of documents that the fit adds up at once
+SUMMED = 65_536
 
 UPPER = bytes(range(65, 91))
 SYMBOLS = b"#*$%&|<>!"
@@ -68,20 +70,40 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(axis=1, keepdims=True)
 
 
+def summed(keys: np.ndarray, picks: np.ndarray, n: int) -> Callable[[np.ndarray], np.ndarray]:
+    """A function of x: the sums of the rows x[picks] that have each of the n ascending keys. Some SUMMED rows are gathered at once, so that
+    they stay in a core's cache and what is held beside the keys and picks stays small."""
+    present, first = np.unique(keys, return_index=True)
+    picks = picks.astype(np.int32)
+    cuts = np.r_[0, 1 + np.flatnonzero(np.diff(first // SUMMED)), len(present)] if len(present) else np.zeros(1, int)
+    ends = np.r_[first, len(keys)]
+    parts = [(present[a:b], first[a:b] - first[a], picks[first[a] : ends[b]]) for a, b in zip(cuts, cuts[1:])]
+
+    def of(x: np.ndarray) -> np.ndarray:
+        out = np.zeros((n, x.shape[1]))
+        for k in range(x.shape[1]):
+            column = np.ascontiguousarray(x[:, k])
+            for have, begin, some in parts:
+                out[have, k] = np.add.reduceat(column[some], begin)
+        return out
+
+    return of
+
+
 def logistic(rows: np.ndarray, columns: np.ndarray, kinds: np.ndarray, n_columns: int, rounds: int = 300, rate: float = 0.05, ridge: float = 2e-4) -> np.ndarray:
     """Weights (columns + 1 x 3, the last row the constants) of a three-class model on present signs, by Adam steps
-    over all rows."""
+    over all rows. ``rows`` ascend."""
     n = len(kinds)
     want = np.eye(3)[kinds]
     w = np.zeros((n_columns + 1, 3))
     m, v = np.zeros_like(w), np.zeros_like(w)
-    by_column = np.argsort(columns, kind="stable")
-    c_sorted, r_sorted = columns[by_column], rows[by_column]
+    by_row = summed(rows, columns, n)
+    order = np.argsort(columns, kind="stable")
+    by_column = summed(columns[order], rows[order], n_columns)
+    del order
     for step in range(1, rounds + 1):
-        z = np.column_stack([np.bincount(rows, weights=w[columns, k], minlength=n) for k in range(3)]) + w[-1]
-        error = (_softmax(z) - want) / n
-        g = np.column_stack([np.bincount(c_sorted, weights=error[r_sorted, k], minlength=n_columns) for k in range(3)])
-        g = np.vstack((g + ridge * w[:-1], error.sum(axis=0)))
+        error = (_softmax(by_row(w) + w[-1]) - want) / n
+        g = np.vstack((by_column(error) + ridge * w[:-1], error.sum(axis=0)))
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return w
@@ -129,9 +151,11 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = LABELLED, id_col: str =
 
     # at most `bound` labelled rows (times the rows that repeat an id)
     sample = labelled.mapInPandas(pick, "id long, kind int, held array<int>").toPandas().sort_values("id", kind="stable")
-    length = np.array([len(h) for h in sample.held])
-    columns = np.concatenate([np.asarray(h, np.int64) for h in sample.held]) if len(sample) else np.empty(0, np.int64)
-    w = logistic(np.repeat(np.arange(len(sample)), length), columns, sample.kind.to_numpy(int), len(names))
+    length = np.array([len(h) for h in sample.held], int)
+    columns = np.concatenate([np.asarray(h, np.int32) for h in sample.held]) if len(sample) else np.empty(0, np.int32)
+    kinds = sample.kind.to_numpy(int)
+    del sample
+    w = logistic(np.repeat(np.arange(len(kinds), dtype=np.int32), length), columns, kinds, len(names))
     return {s: w[i] for s, i in names.items()}, w[-1], (n[1] + n[2]) / sum(n)
 
 

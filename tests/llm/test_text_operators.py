@@ -472,3 +472,65 @@ def test_pipeline(spark):
             ids = {r.doc_id for r in docs.select("doc_id").collect()}
             assert ids <= {r.doc_id for r in before.select("doc_id").collect()}
     assert docs.columns == ["doc_id", "ids"] and docs.count() == before.count()
+
+
+def test_small_batches_walk_the_tree_together(spark):
+    # one row leaves for each shard, not one set of rows for each shard and batch
+    rng = np.random.default_rng(8)
+    fps = rng.integers(-(2**63), 2**63 - 1, 20_000)
+    nodes = simhash.grow_tree(fps[:2000], 50)
+    out = list(simhash.sent(iter(np.array_split(fps, 200)), nodes))
+    assert len(out) == 1 and len(out[0]) == out[0].shard.nunique() <= len(nodes) + 1
+    got = {s: set(np.frombuffer(x, "<i8").tolist()) for s, x in zip(out[0].shard, out[0].fps)}
+    assert got == {s: set(fps[rows].tolist()) for s, rows in simhash.shards_of(fps, nodes)}
+    assert len(list(simhash.sent(iter(np.array_split(fps, 200)), nodes, at_once=5000))) == 4
+
+
+def test_local_links_of_sparse_and_dense_shards():
+    rng = np.random.default_rng(11)
+    # over RUN fingerprints share each block of bits in the dense ones
+    for n, centres, limit in ((0, 1, 2), (1, 1, 2), (700, 700, 2), (600, 3, 2), (900, 60, 2), (400, 9, 0), (400, 9, 4)):
+        fps = rng.integers(-(2**63), 2**63 - 1, centres)[rng.integers(0, centres, n)]
+        for _ in range(4):
+            fps = fps ^ np.where(rng.random(n) < 0.6, np.int64(1) << rng.integers(0, 63, n), 0)
+        fps = np.unique(fps)
+        a, b = np.nonzero(np.triu(np.bitwise_count((fps[:, None] ^ fps[None, :]).view(np.uint64)) <= limit, 1))
+        root = simhash._join(len(fps), a, b)
+        for found in (simhash.local_links, simhash.split_links):
+            member, least = found(fps, limit)
+            again = simhash._join(len(fps), np.searchsorted(fps, least), np.searchsorted(fps, member))
+            assert (again == root).all() and (least < member).all()
+
+
+def test_a_shingle_hash_depends_on_its_words_alone():
+    text = "The the  cat\tsat on a mat the cat sat on a mat " + "ä " * 9
+    words = text.encode().lower().split()
+    grams = {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+    found = simhash.shingle_set(text, 5)
+    assert len(found) == len(grams) and (np.diff(found.astype(object)) > 0).all()
+    assert set(simhash.shingle_set("a mat the cat sat on", 5).tolist()) <= set(found.tolist())
+    assert [len(simhash.shingle_set(t, 5)) for t in ("", " \n", "a", "a b c", "a a a a a a")] == [0, 0, 1, 1, 1]
+    assert simhash.shingle_set("c", 5).tolist() != simhash.shingle_set("c c", 5).tolist()
+
+
+def test_keys_of_one_document_do_not_travel(spark):
+    # a part is compared only where two documents share a key; one document that has a key twice shares it with nobody
+    words = [[1, 2, 3, 4], [1, 2, 3, 4], [1, 2, 3, 4]]
+    rows = [(0, (words[0], [10, 1 << 40])), (1, (words[1], [1 << 40, -7])), (2, (words[2], [99, 99]))]
+    df = spark.createDataFrame(rows, "fp long, first struct<words: array<long>, keys: array<long>>")
+    assert [tuple(r) for r in simhash.wide_links(df).collect()] == [(1, 0)]
+
+
+def test_logistic_adds_up_by_keys():
+    rng = np.random.default_rng(4)
+    keys, picks, x = np.sort(rng.integers(0, 50, 900)), rng.integers(0, 30, 900), rng.normal(size=(30, 3))
+    keys[keys == 7] = 8  # a key without a row
+    want = np.zeros((50, 3))
+    np.add.at(want, keys, x[picks])
+    for at_once in (1, 64, 65_536):
+        old, sites.SUMMED = sites.SUMMED, at_once
+        try:
+            assert np.allclose(sites.summed(keys, picks, 50)(x), want)
+        finally:
+            sites.SUMMED = old
+    assert (sites.summed(keys[:0], picks[:0], 4)(x) == 0).all()
