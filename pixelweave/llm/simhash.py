@@ -348,7 +348,10 @@ def sent(batches: Iterator[np.ndarray], nodes: list[tuple[int, int, int, int]],
 def links(distinct: DataFrame, limit: int = LIMIT, shard_size: int = SHARD_SIZE, sample_size: int = TREE_SAMPLE) -> DataFrame:
     """(fp, root) links between distinct fingerprints, through the shards of one vantage-point tree."""
     total = distinct.count()
-    sample = distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample_size).toPandas().fp.to_numpy()
+    # each partition sends the driver its least hashes: of few, as at most some twice the sample lie below the bound
+    bound = -(2**63) + 2**64 * 2 * sample_size // max(total, 1)
+    low = distinct.select("fp").filter(F.xxhash64("fp") < bound) if bound < 2**63 else distinct.select("fp")
+    sample = low.orderBy(F.xxhash64("fp"), "fp").limit(sample_size).toPandas().fp.to_numpy()
     nodes = grow_tree(sample, max(2, round(shard_size * len(sample) / max(total, 1))), limit) if total > shard_size else []
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
